@@ -157,7 +157,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int =
     asked = materialize(query_in, "queries")
     row_blocks, query_blocks = (max(1, -(-x.count() // block)) for x, block in ((index, ROW_BLOCK), (asked, QUERY_BLOCK)))
     left = index.withColumn("i", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(row_blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).cast("long"))
+    right = asked.withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
 
     def cell(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         found = []
