@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from quarry.functions.recurrences import Smooth, smooth
 from quarry.functions.windows import change, days_since, flag, last_rows, ratio, rolling, series, streak
 
-C, H, L, V = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
-W = series()
-
 
 def enough_history(bars: DataFrame, least: int = 100) -> DataFrame:
     """Rows of tickers with at least that many bars."""
@@ -19,75 +16,75 @@ def enough_history(bars: DataFrame, least: int = 100) -> DataFrame:
 
 
 def on_balance_volume() -> Column:
-    step = C - F.lag(C).over(W)
-    return F.sum(F.when(step.isNull() | (step > 0), V).when(step < 0, -V).otherwise(0.0)).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    step = F.col("close") - F.lag(F.col("close")).over(series())
+    return F.sum(F.when(step.isNull() | (step > 0), F.col("volume")).when(step < 0, -F.col("volume")).otherwise(0.0)).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def with_trend(bars: DataFrame) -> DataFrame:
     """Averages, volume, range and momentum columns that need rolling windows only."""
     t = bars.select(
-        "*", *(rolling(F.avg, C, n, n).alias(f"SMA_{n}") for n in (20, 50, 200)), on_balance_volume().alias("OBV"),
-        *(change(C, n).alias(k) for k, n in (("RET_1M", 20), ("RET_3M", 60), ("RET_6M", 126))), (change(V, 14) * 100).alias("VROC_14"),
-        ratio(V, rolling(F.avg, V, 20, 20)).alias("Vol_Rel_20"), streak(V > F.lag(V).over(W)).alias("Consecutive_Volume_Growth"),
-        *(rolling(F.max, C, n, m).alias(f"max{n}") for n, m in ((90, 90), (252, 60))), *(rolling(F.min, C, n, m).alias(f"min{n}") for n, m in ((90, 90), (252, 60))),
-        (F.lead(C, 20).over(W) / C - 1).alias("fwd_20"),
+        "*", *(rolling(F.avg, F.col("close"), n, n).alias(f"SMA_{n}") for n in (20, 50, 200)), on_balance_volume().alias("OBV"),
+        *(change(F.col("close"), n).alias(k) for k, n in (("RET_1M", 20), ("RET_3M", 60), ("RET_6M", 126))), (change(F.col("volume"), 14) * 100).alias("VROC_14"),
+        ratio(F.col("volume"), rolling(F.avg, F.col("volume"), 20, 20)).alias("Vol_Rel_20"), streak(F.col("volume") > F.lag(F.col("volume")).over(series())).alias("Consecutive_Volume_Growth"),
+        *(rolling(F.max, F.col("close"), n, m).alias(f"max{n}") for n, m in ((90, 90), (252, 60))), *(rolling(F.min, F.col("close"), n, m).alias(f"min{n}") for n, m in ((90, 90), (252, 60))),
+        (F.lead(F.col("close"), 20).over(series()) / F.col("close") - 1).alias("fwd_20"),
     )
     above = F.col("SMA_50") > F.col("SMA_200")
-    was_above, was_below = F.lag(F.col("SMA_50") > F.col("SMA_200")).over(W), F.lag(F.col("SMA_50") < F.col("SMA_200")).over(W)
+    was_above, was_below = F.lag(F.col("SMA_50") > F.col("SMA_200")).over(series()), F.lag(F.col("SMA_50") < F.col("SMA_200")).over(series())
     base = F.when(F.col("RET_3M") == 0, 1e-9).otherwise(F.col("RET_3M")) + 1e-9
     return t.select(
         "*", change(F.col("OBV"), 20).alias("OBV_trend"), change(F.col("SMA_20"), 5).alias("MA_SLOPE_20"),
         F.when(flag(was_below) & flag(above), 1).when(flag(was_above) & flag(F.col("SMA_50") < F.col("SMA_200")), -1).otherwise(0).alias("Cross_Signal"),
-        F.col("Consecutive_Volume_Growth").alias("Vol_StreakUp"), ratio(C - F.col("min90"), F.col("max90") - F.col("min90")).alias("FIB_Range_90D"),
-        (F.col("RET_1M") / base).alias("Ret13_Ratio"), ratio(C - F.col("min252"), F.col("max252") - F.col("min252")).alias("Pct_in_52w_range"),
-        ratio(F.col("max252") - C, F.col("max252")).alias("Drawdown_52w"),
+        F.col("Consecutive_Volume_Growth").alias("Vol_StreakUp"), ratio(F.col("close") - F.col("min90"), F.col("max90") - F.col("min90")).alias("FIB_Range_90D"),
+        (F.col("RET_1M") / base).alias("Ret13_Ratio"), ratio(F.col("close") - F.col("min252"), F.col("max252") - F.col("min252")).alias("Pct_in_52w_range"),
+        ratio(F.col("max252") - F.col("close"), F.col("max252")).alias("Drawdown_52w"),
     )
 
 
 def with_cross_days(trend: DataFrame, fast: str = "SMA_50", slow: str = "SMA_200") -> DataFrame:
     """Rows since the fast average rose above the slow one, and since it fell back."""
     above = trend.withColumn("_a", flag(F.col(fast) > F.col(slow)))
-    was = F.coalesce(F.lag("_a").over(W), F.lit(False))
+    was = F.coalesce(F.lag("_a").over(series()), F.lit(False))
     marked = above.withColumn("_up", F.col("_a") & ~was).withColumn("_down", ~F.col("_a") & was)
     return marked.select("*", days_since(F.col("_up")).alias("Days_since_Golden"), days_since(F.col("_down")).alias("Days_since_Death")).drop("_a", "_up", "_down")
 
 
 def with_oscillators(bars: DataFrame) -> DataFrame:
     """Money flow, Bollinger %B, CCI, stochastics and Aroon."""
-    typical = (H + L + C) / 3
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     w14, w20, w25 = last_rows(14), last_rows(20), last_rows(25)
     t = bars.withColumn("_tp", typical)
-    t = t.withColumn("_up", F.col("_tp") - F.lag("_tp").over(W)).withColumn("_n", F.row_number().over(W))
-    flow = F.col("_tp") * V
+    t = t.withColumn("_up", F.col("_tp") - F.lag("_tp").over(series())).withColumn("_n", F.row_number().over(series()))
+    flow = F.col("_tp") * F.col("volume")
     plus, minus = F.sum(F.when(F.col("_up") > 0, flow).otherwise(0.0)).over(w14), F.sum(F.when(F.col("_up") < 0, flow).otherwise(0.0)).over(w14)
-    low, high = F.min(L).over(w14), F.max(H).over(w14)
-    mean, spread = F.avg(C).over(w20), F.stddev_pop(C).over(w20)
+    low, high = F.min(F.col("low")).over(w14), F.max(F.col("high")).over(w14)
+    mean, spread = F.avg(F.col("close")).over(w20), F.stddev_pop(F.col("close")).over(w20)
     tps = F.collect_list("_tp").over(w20)
     deviation = F.aggregate(tps, F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_mean"))) / 20
     closes = F.collect_list("close").over(w25)
-    t = t.select("*", F.avg("_tp").over(w20).alias("_mean"), tps.alias("_tps"), closes.alias("_c"), ratio(100 * (C - low), high - low).alias("_k"))
+    t = t.select("*", F.avg("_tp").over(w20).alias("_mean"), tps.alias("_tps"), closes.alias("_c"), ratio(100 * (F.col("close") - low), high - low).alias("_k"))
     t = t.withColumn("_dev", F.aggregate("_tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_mean"))) / 20)
     at = {"up": F.array_position("_c", F.array_max("_c")) - 1, "down": F.array_position("_c", F.array_min("_c")) - 1}
     enough = lambda n, c: F.when(F.col("_n") >= n, c)
     t = t.select(
-        "*", enough(15, ratio(100 * plus, plus + minus)).alias("MFI_14"), enough(20, ratio(C - (mean - 2 * spread), 4 * spread)).alias("PctB"),
+        "*", enough(15, ratio(100 * plus, plus + minus)).alias("MFI_14"), enough(20, ratio(F.col("close") - (mean - 2 * spread), 4 * spread)).alias("PctB"),
         enough(20, ratio(F.col("_tp") - F.col("_mean"), 0.015 * F.col("_dev"))).alias("CCI_20"), rolling(F.avg, enough(14, F.col("_k")), 3, 3).alias("STOCHk"),
         *(enough(25, 100 * (24 - p) / 24).alias(f"Aroon_{k}") for k, p in at.items()),
     )
     t = t.withColumn("STOCHd", rolling(F.avg, F.col("STOCHk"), 3, 3)).withColumn("Aroon_Diff_25", F.col("Aroon_up") - F.col("Aroon_down"))
     k, d = F.col("STOCHk"), F.col("STOCHd")
-    pk, pd = F.lag(k).over(W), F.lag(d).over(W)
+    pk, pd = F.lag(k).over(series()), F.lag(d).over(series())
     cross = F.when(flag((pk <= pd) & (k > d)), 1).when(flag((pk >= pd) & (k < d)), -1).otherwise(0)
     return t.withColumn("STOCH_Cross", cross).drop("_tp", "_up", "_n", "_mean", "_tps", "_c", "_k", "_dev")
 
 
 def with_recurrent(bars: DataFrame) -> DataFrame:
     """MACD with its histogram and slope, RSI, ATR in percent and ADX."""
-    lag = lambda c: F.lag(c).over(W)
-    up, down = H - lag(H), lag(L) - L
+    lag = lambda c: F.lag(c).over(series())
+    up, down = F.col("high") - lag(F.col("high")), lag(F.col("low")) - F.col("low")
     t = bars.select(
-        "*", F.greatest(H - L, F.abs(H - lag(C)), F.abs(L - lag(C))).alias("_tr"), F.greatest(C - lag(C), F.lit(0.0)).alias("_g"),
-        F.greatest(lag(C) - C, F.lit(0.0)).alias("_l"), lag(C).isNotNull().alias("_has"), F.when(flag((up > down) & (up > 0)), up).otherwise(0.0).alias("_pdm"),
+        "*", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lag(F.col("close"))), F.abs(F.col("low") - lag(F.col("close")))).alias("_tr"), F.greatest(F.col("close") - lag(F.col("close")), F.lit(0.0)).alias("_g"),
+        F.greatest(lag(F.col("close")) - F.col("close"), F.lit(0.0)).alias("_l"), lag(F.col("close")).isNotNull().alias("_has"), F.when(flag((up > down) & (up > 0)), up).otherwise(0.0).alias("_pdm"),
         F.when(flag((down > up) & (down > 0)), down).otherwise(0.0).alias("_mdm"),
     )
 
@@ -105,8 +102,8 @@ def with_recurrent(bars: DataFrame) -> DataFrame:
         Smooth("_p", 14, "rma", then("_pdm")), Smooth("_m", 14, "rma", then("_mdm")), Smooth("ADX_14", 14, "rma", dx),
     ])
     macd = F.col("_e12") - F.col("_e26")
-    t = t.select("*", macd.alias("MACD"), (macd - F.col("_signal")).alias("MACDh"), ratio(100 * F.col("_gain"), F.col("_gain") + F.col("_loss")).alias("RSI_14"), (ratio(F.col("ATR"), C) * 100).alias("ATRp_14"))
-    t = t.withColumn("MACD_Hist_Slope_5", F.col("MACDh") - F.lag("MACDh", 5).over(W))
+    t = t.select("*", macd.alias("MACD"), (macd - F.col("_signal")).alias("MACDh"), ratio(100 * F.col("_gain"), F.col("_gain") + F.col("_loss")).alias("RSI_14"), (ratio(F.col("ATR"), F.col("close")) * 100).alias("ATRp_14"))
+    t = t.withColumn("MACD_Hist_Slope_5", F.col("MACDh") - F.lag("MACDh", 5).over(series()))
     return t.select(*bars.columns, "MACD", "MACDh", "MACD_Hist_Slope_5", "RSI_14", "ATRp_14", "ADX_14")
 
 
@@ -120,8 +117,8 @@ def relative_strength(trend: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def relative_strength_aligned(bars: DataFrame, benchmark: DataFrame, n: int = 20) -> DataFrame:
     """The variant on the ticker's own rows: the benchmark's close is carried forward to them and lagged there."""
-    joined = bars.join(benchmark, "d", "left").withColumn("_b", F.last("bench", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.withColumn("RS_own", change(C, n) - change(F.col("_b"), n)).drop("_b", "bench")
+    joined = bars.join(benchmark, "d", "left").withColumn("_b", F.last("bench", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.withColumn("RS_own", change(F.col("close"), n) - change(F.col("_b"), n)).drop("_b", "bench")
 
 
 def return_classes(rows: DataFrame, value: str = "fwd_20", day: str = "d", high: float = 0.6, low: float = 0.4) -> DataFrame:
@@ -136,7 +133,7 @@ def return_classes(rows: DataFrame, value: str = "fwd_20", day: str = "d", high:
 def forward_close(bars: DataFrame, days: int = 7) -> Column:
     """As-of join forward, as a window: the first close at least ``days`` calendar days on."""
     number = F.datediff(F.col("d"), F.lit("1970-01-01"))
-    return F.first(C).over(Window.partitionBy("ticker").orderBy(number).rangeBetween(days, Window.unboundedFollowing))
+    return F.first(F.col("close")).over(Window.partitionBy("ticker").orderBy(number).rangeBetween(days, Window.unboundedFollowing))
 
 
 def as_of(rows: DataFrame, day: str, key: str = "ticker", time: str = "d") -> DataFrame:
@@ -152,7 +149,7 @@ def forward_targets(bars: DataFrame, benchmark: DataFrame, ahead: int = 7, width
     is 5 % either side and the target 2."""
     b = benchmark.select("d", (F.lead("bench", ahead).over(Window.orderBy("d")) / F.col("bench") - 1).alias("bench_fwd"))
     b = b.crossJoin(b.agg(F.stddev_samp("bench_fwd").alias("_s")))
-    t = bars.withColumn("next_close", forward_close(bars, 7)).withColumn("ret_week", F.coalesce(ratio(F.col("next_close"), C) - 1, F.lit(0.0))).join(b, "d", "left")
+    t = bars.withColumn("next_close", forward_close(bars, 7)).withColumn("ret_week", F.coalesce(ratio(F.col("next_close"), F.col("close")) - 1, F.lit(0.0))).join(b, "d", "left")
     t = t.withColumn("band_low", F.coalesce(F.col("bench_fwd") - width * F.col("_s"), F.lit(-0.05))).withColumn("band_high", F.coalesce(F.col("bench_fwd") + width * F.col("_s"), F.lit(0.05)))
     target = F.when(F.col("bench_fwd").isNull(), 2).when(F.col("ret_week") < F.col("band_low"), 1).when(F.col("ret_week") > F.col("band_high"), 3).otherwise(2)
     t = t.withColumn("Target", target).withColumn("Target3", (F.col("Target") == 3).cast("int"))

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from quarry.functions.windows import average_rank, flag, percentile_rank
 
 WEEK = "week_key"
-S = F.col("score")
 
 
 def placed(scored: DataFrame, by: str = WEEK, best: bool = True) -> DataFrame:
     """place from 1 in each week, by score and then ticker; missing scores come last."""
-    order = S.desc_nulls_last() if best else S.asc_nulls_last()
+    order = F.col("score").desc_nulls_last() if best else F.col("score").asc_nulls_last()
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col("ticker"))))
 
 
@@ -72,8 +71,8 @@ def sector_concentration(scored: DataFrame, k: int = 20) -> DataFrame:
 
 def weekly_spearman(scored: DataFrame, other: str, least: int) -> DataFrame:
     """Rank correlation of score and another column in each week of at least ``least`` rows."""
-    rows = scored.where(S.isNotNull() & F.col(other).isNotNull())
-    ranked = rows.select(WEEK, average_rank(S, WEEK).alias("a"), average_rank(F.col(other), WEEK).alias("b"))
+    rows = scored.where(F.col("score").isNotNull() & F.col(other).isNotNull())
+    ranked = rows.select(WEEK, average_rank(F.col("score"), WEEK).alias("a"), average_rank(F.col(other), WEEK).alias("b"))
     return ranked.groupBy(WEEK).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("spearman")).where(F.col("n") >= least)
 
 
@@ -93,7 +92,7 @@ def average_precision(scored: DataFrame) -> DataFrame:
 def _thresholds(scored: DataFrame) -> DataFrame:
     """Distinct scores with their positives and negatives and those at or above them."""
     by = known(scored).groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    up, every = Window.orderBy(S.desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    up, every = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
     return by.select("*", *(F.sum(c).over(w).alias(a) for c, w, a in (("pos", up, "pos_up"), ("neg", up, "neg_up"), ("pos", every, "all_pos"), ("neg", every, "all_neg"))))
 
 
@@ -115,7 +114,7 @@ def decile_spread(scored: DataFrame, buckets: int = 10, least: int = 20) -> Data
     rows = scored.where("score is not null and fwd_ret is not null")
     cuts = F.array_distinct(F.percentile("score", F.array(*(F.lit(i / buckets) for i in range(buckets + 1)))))
     edges = rows.groupBy(WEEK).agg(cuts.alias("e"), F.count("*").alias("n")).where(F.col("n") >= least)
-    b = rows.join(edges, WEEK).withColumn("b", F.greatest(F.lit(1), F.size(F.filter("e", lambda x: x < S))))
+    b = rows.join(edges, WEEK).withColumn("b", F.greatest(F.lit(1), F.size(F.filter("e", lambda x: x < F.col("score")))))
     last = F.size("e") - 1
     means = b.groupBy(WEEK).agg(F.avg(F.when(F.col("b") == last, F.col("fwd_ret"))).alias("top_bucket"), F.avg(F.when(F.col("b") == 1, F.col("fwd_ret"))).alias("low_bucket"), F.max(last).alias("k"))
     return means.where("k >= 2").select(WEEK, "top_bucket", "low_bucket", (F.col("top_bucket") - F.col("low_bucket")).alias("decile_spread"))
@@ -149,7 +148,7 @@ def score_shift(scored: DataFrame, warn: float = 1.5) -> DataFrame:
     """How far the last week's mean score lies from the earlier ones', in their deviations."""
     s = scored.where("score is not null").crossJoin(F.broadcast(scored.where("score is not null").agg(F.max(WEEK).alias("_last"))))
     now = F.col(WEEK) == F.col("_last")
-    out = s.agg(F.avg(F.when(now, S)).alias("mean_last"), F.avg(F.when(~now, S)).alias("mean_before"), F.stddev_samp(F.when(~now, S)).alias("std_before"))
+    out = s.agg(F.avg(F.when(now, F.col("score"))).alias("mean_last"), F.avg(F.when(~now, F.col("score"))).alias("mean_before"), F.stddev_samp(F.when(~now, F.col("score"))).alias("std_before"))
     out = out.withColumn("shift", F.abs(F.col("mean_last") - F.col("mean_before")) / F.greatest(F.col("std_before"), F.lit(1e-6)))
     return out.withColumn("warned", F.col("shift") > warn)
 
@@ -167,7 +166,7 @@ def smoothed(scored: DataFrame, alpha: float) -> DataFrame:
     """alpha * last week's score + (1 - alpha) * this one's, where the ticker has a score in the week before."""
     before = scored.select("ticker", F.date_add(WEEK, 7).alias(WEEK), F.col("score").alias("_p"))
     s = scored.join(before, ["ticker", WEEK], "left")
-    return s.withColumn("smoothed", F.when(F.col("_p").isNotNull(), alpha * F.col("_p") + (1 - alpha) * S).otherwise(S)).drop("_p")
+    return s.withColumn("smoothed", F.when(F.col("_p").isNotNull(), alpha * F.col("_p") + (1 - alpha) * F.col("score")).otherwise(F.col("score"))).drop("_p")
 
 
 def compare_runs(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
@@ -200,7 +199,7 @@ def backtest_averages(summary: DataFrame) -> DataFrame:
 def dynamic_k(scored: DataFrame, share: float = 0.95, low: int = 5, high: int = 20) -> DataFrame:
     """By week: how many scores are at or above their quantile, held within bounds."""
     edge = scored.where("score is not null").groupBy(WEEK).agg(F.percentile("score", F.lit(share)).alias("e"))
-    n = scored.join(edge, WEEK).groupBy(WEEK).agg(F.count(F.when(S >= F.col("e"), 1)).alias("n"))
+    n = scored.join(edge, WEEK).groupBy(WEEK).agg(F.count(F.when(F.col("score") >= F.col("e"), 1)).alias("n"))
     return n.select(WEEK, F.least(F.greatest(F.col("n"), F.lit(low)), F.lit(high)).alias("k"))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from quarry.functions.windows import clip, flag, last_rows, percentile_rank, ratio, rolling, series
 
 KEY, TIME = "ticker", "week_key"
-W = series(KEY, TIME)
 
 # Columns that are ranked, those that are never features, and the tables' names for one thing.
 RANKED = (
@@ -71,8 +70,8 @@ def finite(c: Column) -> Column:
 
 def filled(c: Column, backward_first: bool = True) -> Column:
     """Gaps of a series filled from the next value and then the last one, or the other way round."""
-    back = F.first(c, ignorenulls=True).over(W.rowsBetween(0, Window.unboundedFollowing))
-    forth = F.last(c, ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    back = F.first(c, ignorenulls=True).over(series(KEY, TIME).rowsBetween(0, Window.unboundedFollowing))
+    forth = F.last(c, ignorenulls=True).over(series(KEY, TIME).rowsBetween(Window.unboundedPreceding, 0))
     return F.coalesce(back, forth) if backward_first else F.coalesce(forth, back)
 
 
@@ -103,7 +102,7 @@ def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 def gap_shift(value: Column, n: int = 1, most_weeks: int = 2) -> Column:
     """lag over n rows, null where this row is more than most_weeks after the one before it."""
-    return F.when(F.datediff(F.col(TIME), F.lag(TIME).over(W)) <= 7 * most_weeks, F.lag(value, n).over(W))
+    return F.when(F.datediff(F.col(TIME), F.lag(TIME).over(series(KEY, TIME))) <= 7 * most_weeks, F.lag(value, n).over(series(KEY, TIME)))
 
 
 def with_returns(panel: DataFrame) -> DataFrame:
@@ -117,7 +116,7 @@ def with_returns(panel: DataFrame) -> DataFrame:
         "*", roll(F.stddev_samp, F.col("LogRet_1w"), 12, 6).alias("Vol_12w"), (F.col("Ret_1w_calc") - gap_shift(F.col("Ret_1w_calc"))).alias("MomAccel_1w"),
         ratio(F.col("close"), roll(F.max, F.col("close"), 4, 2)).alias("PriceToHigh4w"), ratio(F.col("close"), roll(F.min, F.col("close"), 4, 2)).alias("PriceToLow4w"),
         ratio(F.col("volume") - mean8, std8).alias("VolZScore_8w"),
-        *((F.col("close") / F.nullif(F.lag("close", n).over(W), F.lit(0.0)) - 1).alias(k) for k, n in (("RET_3M", 13), ("RET_6M", 26))),
+        *((F.col("close") / F.nullif(F.lag("close", n).over(series(KEY, TIME)), F.lit(0.0)) - 1).alias(k) for k, n in (("RET_3M", 13), ("RET_6M", 26))),
         roll(F.avg, F.abs(F.col("Ret_1w_calc")) / (F.col("close") * vol), 4, 2).alias("_illiq"),
     )
     return p.select("*", *((F.col(f"RET_{k}") / (F.col("Vol_12w") + 1e-6)).alias(f"RiskAdjMom_{k}") for k in ("3M", "6M")))

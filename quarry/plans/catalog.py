@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans.daily_queries import daily
+from quarry.plans.model_queries import models
+from quarry.plans.registry import Query
+from quarry.plans.scored_queries import ranking
+from quarry.plans.weekly_queries import weeks
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {**daily.queries, **weeks.queries, **ranking.queries, **models.queries}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**daily.sql, **weeks.sql, **ranking.sql, **models.sql}
