@@ -66,6 +66,7 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _IS_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _STOPS = np.isin(np.arange(256), [ord(x) for x in ".!?\n"])
+_CLAUSES = _STOPS | np.isin(np.arange(256), [ord(x) for x in ",;:"])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -140,10 +141,11 @@ class Words:
         at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + self.first[:-1][doc]
         return doc, range_hash(self.hashes, at, np.minimum(at + n, self.first[1:][doc]))
 
-    def sentences(self) -> tuple[np.ndarray, np.ndarray]:
+    def sentences(self, clauses: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(first word of each sentence, with the number of words at the end; first sentence of each text, likewise).
-        A sentence ends with a word that a full stop, exclamation or question mark closes, or before a line end."""
-        stops = np.concatenate(([0], np.cumsum(_STOPS[self.data])))
+        A sentence ends with a word that a full stop, exclamation or question mark closes, or before a line end; a clause also with one that a comma, semicolon or
+        colon closes."""
+        stops = np.concatenate(([0], np.cumsum((_CLAUSES if clauses else _STOPS)[self.data])))
         begins = np.zeros(len(self.start), dtype=bool)
         begins[1:] = stops[self.start[1:]] > stops[self.end[:-1] - 1]
         begins[self.first[:-1][np.diff(self.first) > 0]] = True

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans (operator 5).
 
-Every run of ``span`` consecutive sentences of a text is hashed; a run counts if it has at least ``min_words`` words. A
-run of fewer sentences counts as well if it is a whole text or if one sentence alone has ``long_words`` words. Runs are
+From every sentence of a text a run is hashed: of ``span`` consecutive sentences, or of more if these have fewer than
+``min_words`` words. A sentence alone is a run as well if it has ``long_words`` words. Clauses that a comma, semicolon
+or colon closes count as sentences, so that a passage that begins or ends inside a long sentence is found. Runs are
 joined over all documents: the first occurrence is the one in the document with the smallest id, there the earliest
 one. Sentences that any other occurrence covers are removed.
 
@@ -21,24 +22,23 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Words, materialize, mix, range_hash, slices, table, texts_of
 
-SPAN, MIN_WORDS, LONG_WORDS = 3, 12, 20
+SPAN, MIN_WORDS, LONG_WORDS = 3, 20, 20
 _NO_ID = -(2**63)
 
 
 def sentence_runs(words: Words, span: int, min_words: int, long_words: int) -> tuple[np.ndarray, ...]:
     """(text, first sentence in the text, sentences, hash) of every run that counts."""
-    at, of = words.sentences()
+    at, of = words.sentences(clauses=True)
     count = np.diff(of)
     doc = np.repeat(np.arange(len(words)), count)
     number = np.arange(len(doc)) - of[:-1][doc]
-    out = []
-    for size, least in ((span, min_words), (1, long_words)):
-        first = np.flatnonzero(number + size <= count[doc])
-        n_words = at[first + size] - at[first]
-        first = first[n_words >= least]
-        hashes = range_hash(words.hashes, at[first], at[first + size])
-        out.append((doc[first], number[first], np.full(len(first), size), mix(hashes + np.uint64(size))))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    end = of[1:][doc]
+    begin = np.arange(len(doc))
+    stop = np.maximum(begin + span, np.searchsorted(at, at[:-1] + min_words))
+    whole = np.flatnonzero(stop <= end)
+    long = np.flatnonzero(np.diff(at) >= long_words)
+    first, stop = np.concatenate((whole, long)), np.concatenate((stop[whole], long + 1))
+    return doc[first], number[first], stop - first, mix(range_hash(words.hashes, at[first], at[stop]) + np.uint64(1))
 
 
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
@@ -70,7 +70,7 @@ def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_
 
 def _removed(words: Words, runs: list[list[dict] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(whether each sentence goes, first words, first sentences)."""
-    at, of = words.sentences()
+    at, of = words.sentences(clauses=True)
     change = np.zeros(len(at), dtype=np.int64)
     for d, own in enumerate(runs):
         for run in own or ():
