@@ -15,7 +15,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
-MAX_PARTS = 250_000
+MAX_PARTS = 200_000
 _DOUBLE = re.compile(r"\s\s")
 _CLOSERS = frozenset(".,;:!?")
 

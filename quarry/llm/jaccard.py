@@ -88,15 +88,15 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def verify_cell(ids: np.ndarray, side: np.ndarray, copies: np.ndarray, band: int, hashes: np.ndarray, sets: list[np.ndarray],
-                threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(members with partners, their number of partners, a member that stands for the group) of one cell. Pairs lie
-    across the cell's two sides, or inside the one it has."""
+    across its two sides, or, in a cell of one sub-bucket, anywhere."""
     m = len(ids)
     sizes = np.array([len(x) for x in sets])
     both = _shared(sets)
     pairs = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
     np.fill_diagonal(pairs, False)
-    if len(set(side.tolist())) > 1:
+    if across:
         pairs &= side[:, None] != side[None, :]
     for k in range(band):
         pairs &= hashes[:, k][:, None] != hashes[:, k][None, :]
@@ -170,7 +170,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
             return pd.DataFrame({"cls": [], "links": [], "to": []}, dtype="int64")
         grams = [np.frombuffer(x, dtype=np.uint64) for x in pdf["grams"]]
         found = verify_cell(
-            pdf["cls"].to_numpy(), pdf["own"].to_numpy(), pdf["copies"].to_numpy(), int(pdf["band"].iat[0]), np.stack(pdf["bands"].to_numpy()), grams, threshold
+            pdf["cls"].to_numpy(), pdf["own"].to_numpy(), pdf["copies"].to_numpy(), int(pdf["band"].iat[0]), np.stack(pdf["bands"].to_numpy()), grams, threshold, bool(pdf["i"].iat[0] != pdf["j"].iat[0])
         )
         return pd.DataFrame(dict(zip(("cls", "links", "to"), found, strict=True)))
 

@@ -89,9 +89,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int =
     if len(y) == 0 or y.min() == y.max():
         return None
     lists = got["at"].combine_chunks()
-    row = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths()))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(lists.value_lengths()))
     column, value = np.asarray(lists.flatten()), np.asarray(got["x"].combine_chunks().flatten())
     held = np.asarray(mix(np.asarray(got["doc_id"]).astype(np.uint64))) % np.uint64(5) == 0
+    del got, lists
     fit = ~held if y[~held].min() < y[~held].max() else np.ones(len(y), bool)
 
     def margin(w: np.ndarray) -> np.ndarray:

@@ -61,7 +61,7 @@ class Model:
         return sigmoid(self.a * _log_odds(harm[of[1:]] - harm[of[:-1]]) + self.b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, steps: int = 150, ridge: float = 3e-4) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, steps: int = 150, ridge: float = 3e-4) -> Model | None:
     """Fit on labelled documents outside the held-out third."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and toxic in (0, 1)")
     labels = labels.where("crc32(cast(doc_id as string)) % 3 <> 1").dropDuplicates(["doc_id"])
@@ -85,17 +85,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, steps: int =
     if len(y) == 0 or y.min() == y.max():
         return None
     lists = got["sentence"].combine_chunks()
-    doc = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths()))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(lists.value_lengths()))
     inner, columns = np.asarray(lists.flatten()), [np.asarray(got[f].combine_chunks().flatten()) for f in families]
     bag = np.cumsum(np.concatenate(([False], (np.diff(doc) != 0) | (np.diff(inner) != 0)))[: len(doc)])
     bag_doc = doc[np.concatenate(([True], np.diff(bag) != 0))[: len(doc)]]
-    known = sum(sums_by(np.unique(doc * (1 << BITS) + c) % (1 << BITS), 1 << BITS) for c in columns) >= 2
-    columns = [np.where(known[c], c, SPARE) for c in columns]
     held = mix(np.asarray(got["doc_id"]).astype(np.uint64)) % np.uint64(5) == 0
+    del got, lists, inner
+    known = sum(sums_by(np.unique(doc.astype(np.int64) << BITS | c) & SPARE - 1, 1 << BITS) for c in columns) >= 2
+    columns = [np.where(known[c], c, np.int32(SPARE)) for c in columns]
+    bag, bag_doc = bag.astype(np.int32), bag_doc.astype(np.int32)
     fit = ~held if y[~held].min() < y[~held].max() else np.ones(len(y), bool)
 
     def harm(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = sums_by(bag, len(bag_doc), sum(w[c] for c in columns)) + w[-1] + _PRIOR
+        z = sum(sums_by(bag, len(bag_doc), w[c]) for c in columns) + w[-1] + _PRIOR
         return z, sums_by(bag_doc, len(y), np.logaddexp(0, z))
 
     def gradient(w: np.ndarray) -> np.ndarray:
