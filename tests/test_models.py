@@ -1,0 +1,20 @@
+"""Model pipelines keep their invariants on the smallest tables."""
+
+from quarry.operators.model import Settings, fit_and_score
+from quarry.operators.validate import before_anchor, splits
+from quarry.plans.model_queries import FEATURES, modelling_panel
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_fit_and_score_keeps_bounds(spark):
+    rows = modelling_panel(spark, SF).persist()
+    train = before_anchor(rows, "2000-06-04")
+    assert train.where("week_key > date '2000-05-28'").count() == 0
+    now = rows.where("week_key = date '2000-06-04'")
+    s = Settings(trees=2, depth=2, step=0.3, least_train=200, least_val=20)
+    out = fit_and_score(train, now, FEATURES, splits(train, folds=1), s)
+    scored = out.scored.collect()
+    assert len(scored) == now.count() and 0.35 <= out.weight <= 0.85
+    assert all(0 <= r.prob <= 1 and 0 < r.ranker_pct <= 1 and 0 <= r.prob_final <= 1 for r in scored)
+    assert {n for n, _ in out.features} <= set(FEATURES)
