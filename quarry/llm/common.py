@@ -163,6 +163,16 @@ def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     return rows.join(F.broadcast(ids), id_col)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, y of at most ``most`` documents that have a label (doc_id, y), those whose ids hash lowest. They
+    are chosen by ids alone and sent to where the texts are read, so no text is shuffled but the sample's own. Of rows
+    that repeat an id the smallest text is taken."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(labels, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = texts_of(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return rows.select("doc_id", "text", "y")
+
+
 def adam(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     """Minimise by full-batch Adam from zero; gradient(weights) gives the gradient."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, adam, mix, platt, sampled, sigmoid, slices, sums_by, table, texts_of
+from quarry.llm.common import Words, adam, labelled_sample, mix, platt, sigmoid, slices, sums_by, table, texts_of
 
 WORD_BITS, CHAR_BITS = 16, 14
 WIDTH = (2 << WORD_BITS) + (1 << CHAR_BITS)
@@ -66,7 +66,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int = 120, ridge: float = 1e-4) -> Model | None:
     """Fit on labelled documents; None where the labels lack a class."""
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"])
-    rows = sampled(texts_of(docs).where("doc_id is not null").join(labels, "doc_id"), "doc_id", max_rows)
+    rows = labelled_sample(docs, labels, max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

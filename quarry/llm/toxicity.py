@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, adam, mix, platt, sampled, sigmoid, slices, sums_by, table, texts_of
+from quarry.llm.common import Words, adam, labelled_sample, mix, platt, sigmoid, slices, sums_by, table, texts_of
 
 BITS = 17
 SPARE = 1 << BITS  # the place of features that too few documents have
@@ -65,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, steps: int =
     """Fit on labelled documents outside the held-out third."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and toxic in (0, 1)")
     labels = labels.where("crc32(cast(doc_id as string)) % 3 <> 1").dropDuplicates(["doc_id"])
-    rows = sampled(texts_of(docs).where("doc_id is not null").join(labels, "doc_id"), "doc_id", max_rows)
+    rows = labelled_sample(docs, labels, max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
