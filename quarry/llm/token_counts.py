@@ -2,7 +2,8 @@
 
 Documents are counted by encoded length; suffix sums over the histogram answer totals, quantiles and truncated totals
 for every context limit. The histogram has at most one row per distinct length. Its running sums are taken within
-blocks of ``BLOCK`` lengths and over the blocks' totals, so that no task holds more than one block.
+blocks of ``BLOCK`` lengths and over the blocks' totals, so that no task holds more than one block. The counts are
+written once, as both sums read them: texts are encoded once.
 
 Defined cases: null text has length 0; null and repeated ids count once per row; an empty table gives no rows.
 """
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, table, texts_of
+from quarry.llm.common import materialize, slices, table, texts_of
 from quarry.llm.encoding import Encoder
 
 BLOCK = 1024
@@ -38,7 +39,7 @@ def histogram(sizes: DataFrame) -> DataFrame:
     """limit (each length that occurs), n_docs of that length, docs_at_most, docs_over, tokens_at_most, tokens_over,
     truncated_total (tokens kept if every document is cut at limit), tokens_lost, quantile (share of documents within
     limit)."""
-    counts = sizes.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    counts = materialize(sizes.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths").withColumn("block", F.floor(F.col("length") / BLOCK))
     tokens = F.col("length") * F.col("n_docs")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     before, everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
