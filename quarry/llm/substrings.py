@@ -2,9 +2,12 @@
 
 From every sentence of a text a run is hashed: of ``span`` consecutive sentences, or of more if these have fewer than
 ``min_words`` words. A sentence alone is a run as well if it has ``long_words`` words. Clauses that a comma, semicolon
-or colon closes count as sentences, so that a passage that begins or ends inside a long sentence is found. Runs are
-joined over all documents: the first occurrence is the one in the document with the smallest id, there the earliest
-one. Sentences that any other occurrence covers are removed.
+or colon closes count as sentences, so that a passage that begins or ends inside a long sentence is found. A clause of
+``cut_words`` words or more is cut further, before words that a hash of the word chooses (one in four) and before a word
+said twice in a row: places that depend on the words alone, so a passage that no mark closes is cut alike wherever it
+stands. Runs are joined over all documents: the first occurrence is the one in the document with the smallest id, there
+the earliest one. Sentences that any other occurrence covers are removed. A text has one row for each different run, so
+text said over and over is no hot group.
 
 Defined cases: null and empty texts have no sentences and stay; null ids count as the smallest id; rows that repeat an
 id count as one document, so they do not repeat each other; an empty table gives no rows; other columns stay as they
@@ -22,13 +25,27 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Words, materialize, mix, range_hash, slices, table, texts_of
 
-SPAN, MIN_WORDS, LONG_WORDS = 3, 20, 20
+SPAN, MIN_WORDS, LONG_WORDS, CUT_WORDS = 3, 20, 20, 40
 _NO_ID = -(2**63)
 
 
+def pieces(words: Words, cut_words: int = CUT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each sentence as this operator counts them, with the number of words at the end; first sentence of
+    each text, likewise; first word of each clause, likewise)."""
+    clause, _ = words.sentences(clauses=True)
+    size = np.diff(clause)
+    begins = np.repeat(size >= cut_words, size)
+    same = np.zeros(len(begins), dtype=bool)
+    same[1:] = words.hashes[1:] == words.hashes[:-1]
+    begins &= same | (words.hashes & np.uint64(3) == 0)
+    begins[clause[:-1]] = True
+    at = np.append(np.flatnonzero(begins), len(begins))
+    return at, np.searchsorted(at[:-1], words.first), clause
+
+
 def sentence_runs(words: Words, span: int, min_words: int, long_words: int) -> tuple[np.ndarray, ...]:
     """(text, first sentence in the text, sentences, hash) of every run that counts."""
-    at, of = words.sentences(clauses=True)
+    at, of, clause = pieces(words)
     count = np.diff(of)
     doc = np.repeat(np.arange(len(words)), count)
     number = np.arange(len(doc)) - of[:-1][doc]
@@ -36,13 +53,13 @@ def sentence_runs(words: Words, span: int, min_words: int, long_words: int) -> t
     begin = np.arange(len(doc))
     stop = np.maximum(begin + span, np.searchsorted(at, at[:-1] + min_words))
     whole = np.flatnonzero(stop <= end)
-    long = np.flatnonzero(np.diff(at) >= long_words)
-    first, stop = np.concatenate((whole, long)), np.concatenate((stop[whole], long + 1))
+    long = np.flatnonzero(np.diff(clause) >= long_words)
+    first, stop = np.concatenate((whole, np.searchsorted(at, clause[long]))), np.concatenate((stop[whole], np.searchsorted(at, clause[long + 1])))
     return doc[first], number[first], stop - first, mix(range_hash(words.hashes, at[first], at[stop]) + np.uint64(1))
 
 
 def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """doc_id, hash, sentence, size, again (whether the same text has the run before)."""
+    """doc_id, hash, runs (first sentence and size of each run of the text that has this hash, in order)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,27 +67,30 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_wo
                 doc, sentence, size, key = sentence_runs(Words.of(part.column(1)), span, min_words, long_words)
                 order = np.lexsort((sentence, key, doc))
                 doc, sentence, size, key = doc[order], sentence[order], size[order], key[order]
-                again = np.zeros(len(doc), dtype=bool)
-                again[1:] = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1])
-                columns = [part.column(0).take(pa.array(doc)), *(pa.array(x) for x in (key.astype(np.int64), sentence.astype(np.int32), size.astype(np.int32), again))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "sentence", "size", "again"])
+                new = np.ones(len(doc), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+                first = np.flatnonzero(new)
+                run = pa.StructArray.from_arrays([pa.array(sentence.astype(np.int32)), pa.array(size.astype(np.int32))], names=["sentence", "size"])
+                runs = pa.ListArray.from_arrays(np.append(first, len(doc)).astype(np.int32), run)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[first])), pa.array(key[first].astype(np.int64)), runs], names=["doc_id", "hash", "runs"])
 
     ids = texts_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    return ids.mapInArrow(found, "doc_id long, hash long, sentence int, size int, again boolean")
+    return ids.mapInArrow(found, "doc_id long, hash long, runs array<struct<sentence:int,size:int>>")
 
 
 def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, runs (first sentence and size of each run to remove), first_docs (documents that keep them)."""
-    runs = materialize(spans(docs, span, min_words, long_words), "spans")
-    first = runs.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("again").alias("any"))
-    first = first.where("first_doc <> last_doc or any").select("hash", "first_doc")
-    gone = runs.join(first, "hash").where("again or doc_id <> first_doc")
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "size")).alias("runs"), F.collect_set("first_doc").alias("first_docs"))
+    found = materialize(spans(docs, span, min_words, long_words), "spans")
+    first = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max(F.size("runs")).alias("most"))
+    first = first.where("first_doc <> last_doc or most > 1").select("hash", "first_doc")
+    later = F.when(F.col("doc_id") != F.col("first_doc"), F.col("runs")).otherwise(F.slice("runs", 2, F.size("runs")))
+    gone = found.join(first, "hash").select("doc_id", "first_doc", F.explode(later).alias("run"))
+    return gone.groupBy("doc_id").agg(F.collect_set("run").alias("runs"), F.collect_set("first_doc").alias("first_docs"))
 
 
 def _removed(words: Words, runs: list[list[dict] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(whether each sentence goes, first words, first sentences)."""
-    at, of = words.sentences(clauses=True)
+    at, of, _ = pieces(words)
     change = np.zeros(len(at), dtype=np.int64)
     for d, own in enumerate(runs):
         for run in own or ():

@@ -208,6 +208,58 @@ def test_repeated_passages_go_and_clean_texts_stay(spark, odd, empty):
     assert substrings.without_repeats(empty, substrings.covered(empty)).count() == 0
 
 
+def brute_pieces(t):
+    """[first word, number of words] of each piece of a text, its words, and (first piece, pieces, words) of each clause."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+    hashes = dict(zip(dict.fromkeys(w for *_, w in words), Words.of(pa.array([" ".join(dict.fromkeys(w for *_, w in words))])).hashes.tolist(), strict=True))
+    clauses = []
+    for i, (a, _, _) in enumerate(words):
+        if i == 0 or re.search(r"[.!?\n,;:]", t[words[i - 1][1] - 1 : a]):
+            clauses.append([])
+        clauses[-1].append(i)
+    at, of = [], []
+    for c in clauses:
+        of.append((len(at), len(c)))
+        at.extend(i for i in c if i == c[0] or (len(c) >= 40 and (hashes[words[i][2]] % 4 == 0 or words[i][2] == words[i - 1][2])))
+    at.append(len(words))
+    return at, words, [(k, (of[n + 1][0] if n + 1 < len(of) else len(at) - 1) - k, size) for n, (k, size) in enumerate(of)]
+
+
+def brute_dedup(docs):
+    """{id: (text that stays, pieces removed, words removed)} by comparing the words of every run in order of ids."""
+    seen, out = {}, {}
+    for k in sorted(docs):
+        t = docs[k] or ""
+        at, words, clauses = brute_pieces(t)
+        n = len(at) - 1
+        runs = [(i, next((j for j in range(i + 3, n + 1) if at[j] - at[i] >= 20), None)) for i in range(n)]
+        runs = [(i, j) for i, j in runs if j] + [(i, i + m) for i, m, size in clauses if size >= 20]
+        gone = set()
+        for i, j in sorted(runs):
+            run = tuple(w for *_, w in words[at[i] : at[j]])
+            if seen.setdefault(run, (k, i)) != (k, i):
+                gone.update(range(i, j))
+        start = [0, *(words[at[i]][0] for i in range(1, n)), len(t)]
+        out[k] = ("".join(t[start[i] : start[i + 1]] for i in range(n) if i not in gone) if gone else docs[k], len(gone), sum(at[i + 1] - at[i] for i in gone))
+    return out
+
+
+def test_dedup_equals_brute_force(spark, texts):
+    rng = np.random.default_rng(9)
+    plain = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage = plain(70)
+    more = {10**6 + i: f"{plain(30)} {passage} {plain(30)}. {plain(5)}" for i in range(4)}
+    more |= {2 * 10**6 + i: t for i, t in enumerate(ODD)} | {3 * 10**6: "La " * 300, 3 * 10**6 + 1: "So. " + "La " * 90, 3 * 10**6 + 2: passage}
+    docs = dict(texts) | more
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed, r.words_removed) for r in substrings.without_repeats(df, substrings.covered(df)).collect()}
+    want = brute_dedup(docs)
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and got.keys() == want.keys()
+    assert all(want[10**6 + i][2] > 40 for i in (1, 2, 3)) and got[10**6][1] == 0 and got[3 * 10**6 + 1][2] == 90
+    rows = {r.doc_id: r for r in substrings.op5_substring_dedup(spark, SF).collect()}
+    assert {k: (r.text, r.n_removed, r.words_removed) for k, r in rows.items()} == {k: v for k, v in brute_dedup(texts).items() if v[1]}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
