@@ -1,7 +1,7 @@
 """Quality rules (operator 4): hashed word and character n-gram logistic regression.
 
 The model is fitted on at most ``max_rows`` labelled documents (a bounded sample, the lowest by a hash of their ids),
-calibrated by Platt scaling on a fifth of them, and applied to every document in Arrow batches against a fixed
+calibrated by Platt scaling on a fifth of them, in one task, so that the driver gets the weights alone, and applied to every document in Arrow batches against a fixed
 threshold, after fixed base rules. A document's features are the shares of its word 1- and 2-grams and byte 4-grams in
 hashed buckets, so its length alone does not move the score.
 
@@ -24,6 +24,7 @@ from quarry.llm.common import Words, adam, labelled_sample, mix, platt, sigmoid,
 WORD_BITS, CHAR_BITS = 16, 14
 WIDTH = (2 << WORD_BITS) + (1 << CHAR_BITS)
 SCALE = 30.0
+BLOCK = 1 << 20
 KEEP_FROM = 0.3
 _SYMBOL = np.isin(np.arange(256), [ord(x) for x in "#*$%&|<>"])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -84,7 +85,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int =
                 buckets = pa.ListArray.from_arrays(cut, (key % WIDTH).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), buckets, pa.ListArray.from_arrays(cut, value)], names=["doc_id", "y", "at", "x"])
 
-    got = rows.mapInArrow(features, "doc_id long, y int, at array<int>, x array<float>").toArrow().combine_chunks().sort_by("doc_id")
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (parts := list(batches)) and (model := _fit(pa.Table.from_batches(parts), steps, ridge)):
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (model.weights.tobytes(), model.bias, model.a, model.b)], names=["weights", "bias", "a", "b"])
+
+    sample = rows.mapInArrow(features, "doc_id long, y int, at array<int>, x array<float>").repartition(1)
+    found = sample.mapInArrow(fitted, "weights binary, bias double, a double, b double").collect()
+    return Model(np.frombuffer(found[0].weights, dtype=np.float32), found[0].bias, found[0].a, found[0].b) if found else None
+
+
+def _fit(sample: pa.Table, steps: int, ridge: float) -> Model | None:
+    """The model of one bounded sample; the features are gone through in blocks, so that little is held beside them."""
+    got = sample.combine_chunks().sort_by("doc_id")
     y = np.asarray(got["y"], dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -92,15 +104,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int =
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(lists.value_lengths()))
     column, value = np.asarray(lists.flatten()), np.asarray(got["x"].combine_chunks().flatten())
     held = np.asarray(mix(np.asarray(got["doc_id"]).astype(np.uint64))) % np.uint64(5) == 0
-    del got, lists
     fit = ~held if y[~held].min() < y[~held].max() else np.ones(len(y), bool)
+    blocks = [slice(k, k + BLOCK) for k in range(0, len(row), BLOCK)]
 
     def margin(w: np.ndarray) -> np.ndarray:
-        return sums_by(row, len(y), value * w[column]) + w[-1]
+        return sum((sums_by(row[k], len(y), value[k] * w[column[k]]) for k in blocks), np.zeros(len(y))) + w[-1]
 
     def gradient(w: np.ndarray) -> np.ndarray:
         error = np.where(fit, sigmoid(margin(w)) - y, 0) / fit.sum()
-        return np.append(sums_by(column, WIDTH, value * error[row]), error.sum()) + ridge * np.append(w[:-1], 0)
+        slope = sum((sums_by(column[k], WIDTH, value[k] * error[row[k]]) for k in blocks), np.zeros(WIDTH))
+        return np.append(slope, error.sum()) + ridge * np.append(w[:-1], 0)
 
     w = adam(gradient, WIDTH + 1, steps)
     a, b = platt(margin(w)[held], y[held]) if held.any() else (1.0, 0.0)
