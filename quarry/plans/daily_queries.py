@@ -194,6 +194,14 @@ def rule_scores_defaults(spark: SparkSession, d: str) -> DataFrame:
     return shown(rules.rule_scores(t.where("n % 20 = 0")).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
 
 
+@daily.add("rule_scores_defaults_all", _RULE.replace(" where n % 20 = 0", ""))
+def rule_scores_defaults_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same rules on every bar of every ticker."""
+    b = bars(spark, d)
+    t = indicators.relative_strength(indicators.with_trend(b), daily_benchmark(b))
+    return shown(rules.rule_scores(t).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
+
+
 @daily.add("rule_scores")
 def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     """Rules over the full set of indicators."""
