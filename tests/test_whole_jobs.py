@@ -1,6 +1,10 @@
 """Queries that look at all of their input, not at a part of it."""
 
-from quarry.plans import catalog
+import pytest
+
+from quarry.operators import validate
+from quarry.operators.model import Settings
+from quarry.plans import backtest, catalog, model_queries
 from quarry.sources.fixtures import bars
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +15,33 @@ def test_default_rule_scores_of_every_bar(spark):
     got = catalog.queries()["rule_scores_defaults_all"](spark, SF).select("ticker", "d")
     assert got.count() == every.count() and got.exceptAll(every).count() == 0
     assert "n % 20" not in catalog.oracle_sql()["rule_scores_defaults_all"]
+
+
+@pytest.mark.parametrize("name", ["pipeline_metrics", "production_ranking", "price_variant", "backtest_summary", "ablation"])
+def test_model_queries_run_at_the_librarys_sizes(spark, monkeypatch, name):
+    seen = []
+
+    def fit(train, score, features, folds, s):
+        seen.append((s, folds.select("fold").distinct().count(), len(validate.fold_bounds(validate.numbered_weeks(train).count(), folds=6))))
+        raise StopIteration
+
+    monkeypatch.setattr(backtest, "fit_and_score", fit)
+    with pytest.raises(StopIteration):
+        catalog.queries()[name](spark, SF)
+    assert [s for s, *_ in seen] == [Settings()] and all(found == six for _, found, six in seen)
+
+
+@pytest.mark.parametrize("name", ["forest_probability", "feature_importance"])
+def test_forest_queries_take_the_forests_defaults(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(model_queries, "fit_forest", lambda train, **sizes: seen.append(sizes))
+    catalog.queries()[name](spark, SF)
+    assert seen == [{}]
+
+
+def test_backtest_anchors_and_ablation_runs(spark):
+    rows = model_queries.modelling_panel(spark, SF).persist()
+    anchors = model_queries.last_anchors(rows)
+    known = sorted(str(r[0]) for r in rows.where("y is not null").select("week_key").distinct().collect())
+    assert len(anchors) == 17 and anchors == known[-17:]
+    assert model_queries.RUNS["ABLATION"] == (model_queries.RUNS["BASELINE"][0], model_queries.RUNS["NEW"][1])
