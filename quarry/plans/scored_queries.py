@@ -102,6 +102,12 @@ def permutation_test(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.permutation_test(scored_rows(spark, d), n=40))
 
 
+@ranking.add("permutation_test_full", ranking.sql["permutation_test"].replace("range(40)", "range(500)"))
+def permutation_test_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same test with the operator's own number of shuffles."""
+    return shown(metrics.permutation_test(scored_rows(spark, d)))
+
+
 DECILE_SQL = """de as (select week_key, list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as e, count(*) as n from has where fwd_ret is not null group by week_key having count(*) >= 20),
 db as (select has.week_key, fwd_ret, len(e) - 1 as k, greatest(1, len(list_filter(e, lambda x: x < score))) as b from has join de using (week_key) where fwd_ret is not null),
 dm as (select week_key, avg(fwd_ret) filter (b = k) as hi, avg(fwd_ret) filter (b = 1) as lo from db group by week_key having max(k) >= 2)"""
