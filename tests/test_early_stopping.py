@@ -1,0 +1,38 @@
+"""Validation rows choose the tree counts of both boosters, and their median goes into the last fit."""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from quarry.operators import model
+from quarry.operators.validate import before_anchor, splits
+from quarry.plans.model_queries import FEATURES, modelling_panel
+
+SF = "/root/testdata/sf0.001"
+S = model.Settings(trees=12, depth=3, step=0.3, least_train=200, least_val=20)
+
+
+def test_median_trees():
+    assert model.median_trees([11, 31, 20, 3], 60) == 20 and model.median_trees([2, 10], 60) == 60
+
+
+def test_folds_choose_the_tree_counts(spark, monkeypatch):
+    train = before_anchor(modelling_panel(spark, SF).persist(), "2000-06-04")
+    folds = splits(train, folds=1)
+    fold = train.join(folds, "week_key")
+    early, late = (fold.where(F.col("role") == role).drop("fold", "role") for role in ("train", "val"))
+    imputer, classifier, ranker = model.fit_two(early, FEATURES, S, late)
+    full = model.fit_two(early, FEATURES, S)
+    assert full[1].getNumTrees == full[2].getNumTrees == 12
+    rows = model.weighted(imputer.apply(early.withColumn("is_val", F.lit(False)).unionByName(late.withColumn("is_val", F.lit(True)))), S.half_life_weeks)
+    losses = full[1].evaluateEachIteration(rows.where("is_val"))
+    assert classifier.getNumTrees == 1 + losses.index(min(losses)) and 1 <= ranker.getNumTrees <= 12
+    whole = model.first_trees(full[1], 12)
+    a, b = (m.transform(rows).select(vector_to_array("probability")[1].alias("p")).collect() for m in (full[1], whole))
+    assert a == b
+
+    marked = []
+    for name in ("fit_classifier", "fit_ranker"):
+        monkeypatch.setattr(model, name, lambda d, s, f=getattr(model, name): (marked.append(("is_val" in d.columns, s.trees)), f(d, s))[1])
+    monkeypatch.setattr(model, "median_trees", lambda reached, otherwise: min(reached))
+    out = model.fit_and_score(train, train.limit(50), FEATURES, folds, S)
+    assert marked == [(True, 12), (True, 12), (False, out.trees[0]), (False, out.trees[1])]
