@@ -98,13 +98,17 @@ def _thresholds(scored: DataFrame) -> DataFrame:
 
 def permutation_test(scored: DataFrame, k: int = 20, n: int = 500) -> DataFrame:
     """Observed precision at k, its mean under n shuffles of scores within weeks, and the share at least as high. A
-    shuffle orders a week's rows by a hash of its number and the row; only the k first by hash are looked at."""
+    shuffle orders a week's rows by a hash of its number and the row; only the k first by hash are looked at. A week's rows
+    are one list, so that shuffles move no rows."""
     rows = known(scored).select(WEEK, "ticker", "y")
     observed = precision_by_week(scored, k).agg(F.avg("p_at_k").alias("observed"))
-    shuffled = rows.crossJoin(F.broadcast(scored.sparkSession.range(n).withColumnRenamed("id", "perm")))
-    key = F.md5(F.concat_ws("|", F.col("perm").cast("string"), F.col(WEEK).cast("string"), F.col("ticker").cast("string")))
-    place = F.row_number().over(Window.partitionBy("perm", WEEK).orderBy(key))
-    perms = shuffled.withColumn("p", place).where(F.col("p") <= k).groupBy("perm", WEEK).agg(F.avg("y").alias("v")).groupBy("perm").agg(F.avg("v").alias("v"))
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weeks = rows.repartition(parts, WEEK).groupBy(WEEK).agg(F.collect_list(F.struct("ticker", "y")).alias("rows"))
+    shuffled = weeks.crossJoin(F.broadcast(scored.sparkSession.range(n).withColumnRenamed("id", "perm")))
+    key = lambda x: F.md5(F.concat_ws("|", F.col("perm").cast("string"), F.col(WEEK).cast("string"), x["ticker"].cast("string")))
+    first = F.slice(F.sort_array(F.transform("rows", lambda x: F.struct(key(x).alias("k"), x["y"].cast("double").alias("y")))), 1, k)
+    mean = F.aggregate(first, F.lit(0.0), lambda total, x: total + x["y"]) / F.size(first)
+    perms = shuffled.select("perm", mean.alias("v")).groupBy("perm").agg(F.avg("v").alias("v"))
     return perms.crossJoin(observed).agg(F.max("observed").alias("observed"), F.avg("v").alias("perm_mean"), F.avg(F.when(F.col("v") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"))
 
 
