@@ -2,18 +2,23 @@
 
 Documents are put in ascending id order by range partitions and encoded there. Each partition cuts its ids into shards
 of about ``shard_tokens`` (whole documents); a shard is one row of a Parquet dataset in the file format below. In a
-shard, rounds replace the most frequent adjacent pairs of symbols by nonterminals, counts being exact in each round.
-No pair spans two documents, so each document has its own symbols, and the expansion lengths of the nonterminals tell
-where any token lies without decoding what stands before it.
+shard, rounds replace frequent adjacent pairs of symbols by nonterminals, the most frequent first: a round takes all
+pairs that reach its threshold, which falls to a quarter each time down to ``least``, and rounds go on there until no
+pair reaches it, so no frequent pair is left. A rule takes the room of three symbols (two sides and a length), so with
+``least`` = 4 each rule pays for itself; rarer pairs would make no file smaller. No pair spans two documents, so each
+document has its own symbols, and the expansion lengths of the nonterminals tell where any token lies without decoding what
+stands before it.
 
 File format, one row per shard: ``part`` int and ``seq`` int (order of shards), ``n_tokens`` long, ``base`` int (ids
 below it are terminals), ``doc_ids`` and ``doc_symbols`` (little-endian int64: ids, and end of each document in
-symbols; ``null_ids`` marks ids that are null), ``rules`` (uint32 pairs; rule r defines symbol base + r from smaller
-symbols), ``lengths`` (uint32 expansion length of each rule), ``width`` int (2 or 4) and ``symbols`` (unsigned, width
-bytes each).
+symbols; ``null_ids`` marks ids that are null), and, packed, ``rules`` (left and right sides in turn; rule r defines
+symbol base + r from smaller symbols), ``lengths`` (expansion length of each rule) and ``symbols``. Packed integers are
+their number and the number of planes (int64 each), the low 16 bits of each, and for every further bit, from the lowest,
+a plane: that bit of all of them, eight a byte.
 
 Defined cases: null text encodes as empty; a null doc_id comes first in the order; rows that repeat an id are kept, in
-text order; an empty table gives no files' rows and no result rows; columns other than the two named are not read.
+the order of their texts' hashes; an empty table gives no files' rows and no result rows; columns other than the two
+named are not read.
 """
 
 from __future__ import annotations
@@ -33,39 +38,52 @@ from quarry.llm.encoding import Encoder
 
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, base int, doc_ids binary, null_ids binary, doc_symbols binary,"
-    " rules binary, lengths binary, width int, symbols binary"
+    " rules binary, lengths binary, symbols binary"
 )
+LEAST = 4
+FALL = 4
+_HASH_BITS = 20
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, per_round: int = 2048, least: int = 12):
-    """(symbols, ends in symbols, rules): in each round the per_round most frequent pairs with at least ``least``
-    occurrences get nonterminals; where two chosen pairs overlap, the left one is replaced."""
-    seq = ids.astype(np.uint32)
+def _pairs(seq: np.ndarray, last: np.ndarray, newest: int) -> np.ndarray:
+    """Places of pairs with a symbol of newest or above, none across the end of a document."""
+    recent = seq >= newest
+    return np.flatnonzero((recent[:-1] | recent[1:]) & ~last[:-1])
+
+
+def _frequent(seq: np.ndarray, last: np.ndarray, least: int | None) -> tuple[int, np.ndarray]:
+    """(threshold, places of pairs that may reach it), by counts of pairs' hashes; a first threshold lies a fall below
+    the largest count."""
+    hashed = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)
+    count = np.bincount(hashed, minlength=1 << _HASH_BITS)
+    least = least or max(LEAST, int(count.max()) // FALL)
+    return least, np.flatnonzero((count >= least)[hashed] & ~last[:-1])
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, ends in symbols, rules), replacing until no pair occurs ``least`` times. Where two chosen pairs overlap
+    the left one is replaced, so none of a round's pairs is left after it: when the threshold stays, only pairs with a
+    new symbol can reach it."""
+    seq, sizes = ids.astype(np.uint32), np.diff(ends, prepend=0)
     last = np.zeros(len(seq), dtype=bool)
     last[ends[ends > 0] - 1] = True
-    sizes = np.diff(ends, prepend=0)
-    rules: list[np.ndarray] = []
-    top = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        key[last[:-1]] = np.uint64(2**64 - 1)
+    rules, top, newest, threshold = [], base, 0, None
+    while len(seq) > 1:
+        if threshold == least and newest:
+            at = _pairs(seq, last, newest)
+        else:
+            threshold, at = _frequent(seq, last, threshold and max(least, threshold // FALL))
+            newest = 0
+        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         ordered = np.sort(key)
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count, pair = np.diff(np.append(edge, len(ordered))), ordered[edge]
-        often = np.flatnonzero((count >= least) & (pair != np.uint64(2**64 - 1)))
-        if len(often) > per_round:
-            often = often[np.lexsort((pair[often], -count[often]))[:per_round]]
-        if not len(often):
-            break
-        chosen = np.sort(pair[often])
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
-        is_left, is_right = np.zeros(top + 1, bool), np.zeros(top + 1, bool)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~last[:-1])
-        place = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[place] == key[at]
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(at) else at
+        chosen = ordered[edge][np.diff(np.append(edge, len(at))) >= threshold]
+        if not len(chosen):
+            if threshold == least:
+                break
+            continue
+        place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+        hit = chosen[place] == key
         at, place = at[hit], place[hit]
         run = np.concatenate(([True], np.diff(at) != 1))
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -76,8 +94,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, per_ro
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([left, right], axis=1))
-        top += len(chosen)
+        rules.append(np.stack([(chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)], axis=1))
+        newest, top = top, top + len(chosen)
     stops = np.zeros(len(ends), dtype=np.int64)
     stops[sizes > 0] = np.flatnonzero(last) + 1
     return seq, np.maximum.accumulate(stops) if len(stops) else stops, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
@@ -97,33 +115,64 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return lengths
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids that the symbols stand for."""
-    symbols = symbols.astype(np.uint32)
-    while len(symbols) and (deep := symbols >= base).any():
-        size = np.where(deep, 2, 1)
-        stop = np.cumsum(size)
-        out = np.empty(stop[-1], dtype=np.uint32)
-        first = stop - size
-        out[first[~deep]] = symbols[~deep]
-        pair = rules[symbols[deep] - base]
-        out[first[deep]], out[first[deep] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+def sizes_of(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Ids that each symbol stands for."""
+    out = np.ones(len(symbols), dtype=np.int64)
+    deep = symbols >= base
+    out[deep] = lengths[symbols[deep] - base]
+    return out
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Ids that the symbols stand for: lengths say where each side of a rule goes, level by level."""
+    size = sizes_of(symbols, lengths, base)
+    stop = np.cumsum(size)
+    out, at = np.empty(stop[-1] if len(stop) else 0, dtype=np.uint32), stop - size
+    while len(symbols):
+        deep = symbols >= base
+        out[at[~deep]] = symbols[~deep]
+        left, right = rules[symbols[deep] - base].T
+        at = np.concatenate((at[deep], at[deep] + sizes_of(left, lengths, base)))
+        symbols = np.concatenate((left, right))
+    return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    planes = max(0, int(values.max(initial=0)).bit_length() - 16)
+    high = (np.packbits((values >> np.uint32(16 + k)).astype(np.uint8) & 1) for k in range(planes))
+    return b"".join((np.array([len(values), planes], "<i8").tobytes(), values.astype("<u2").tobytes(), *(x.tobytes() for x in high)))
+
+
+class Packed:
+    """Packed integers opened for reading; a slice unpacks its own part."""
+
+    def __init__(self, raw: bytes):
+        self.n, planes = np.frombuffer(raw, "<i8", 2).tolist()
+        self.low = np.frombuffer(raw, "<u2", self.n, 16)
+        self.high = np.frombuffer(raw, np.uint8, offset=16 + 2 * self.n).reshape(planes, -1) if planes else []
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        start, stop, _ = part.indices(self.n)
+        out = self.low[start:stop].astype(np.uint32)
+        for k, plane in enumerate(self.high):
+            bits = np.unpackbits(plane[start // 8 : -(-stop // 8)])[start % 8 :][: stop - start]
+            out |= bits.astype(np.uint32) << np.uint32(16 + k)
+        return out
 
 
 def shard_row(part: int, seq: int, doc_ids: list[int | None], ids: list[bytes], base: int) -> dict:
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
     symbols, stops, rules = repair(flat, ends, base)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
     return {
         "part": part, "seq": seq, "n_tokens": len(flat), "base": base,
         "doc_ids": np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(),
         "null_ids": np.array([x is None for x in doc_ids], dtype=np.uint8).tobytes(),
-        "doc_symbols": stops.astype("<i8").tobytes(), "rules": rules.astype("<u4").tobytes(),
-        "lengths": rule_lengths(rules, base).astype("<u4").tobytes(), "width": width,
-        "symbols": symbols.astype(f"<u{width}").tobytes(),
+        "doc_symbols": stops.astype("<i8").tobytes(), "rules": packed(rules.ravel()),
+        "lengths": packed(rule_lengths(rules, base)), "symbols": packed(symbols),
     }
 
 
@@ -132,35 +181,33 @@ class Shard:
 
     def __init__(self, row: dict):
         self.base = row["base"]
-        self.symbols = np.frombuffer(row["symbols"], dtype=f"<u{row['width']}")
-        self.rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
-        self.lengths = np.frombuffer(row["lengths"], dtype="<u4")
+        self.symbols = Packed(row["symbols"])
+        self.rules = Packed(row["rules"])[:].reshape(-1, 2)
+        self.lengths = Packed(row["lengths"])[:]
         self.stops = np.frombuffer(row["doc_symbols"], dtype="<i8")
         nulls = np.frombuffer(row["null_ids"], dtype=np.uint8)
         self.doc_ids = [None if gone else int(x) for x, gone in zip(np.frombuffer(row["doc_ids"], dtype="<i8"), nulls, strict=True)]
 
-    def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        wide = symbols.astype(np.int64) - self.base
-        if not len(self.lengths):
-            return np.ones(len(symbols), np.int64)
-        return np.where(wide < 0, 1, self.lengths[np.maximum(wide, 0)]).astype(np.int64)
+    def _own(self, k: int) -> np.ndarray:
+        return self.symbols[self.stops[k - 1] if k else 0 : self.stops[k]]
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, of whose shard nothing else is decoded."""
-        return expand(self.symbols[self.stops[k - 1] if k else 0 : self.stops[k]], self.rules, self.base)
+        return expand(self._own(k), self.rules, self.lengths, self.base)
 
     def tokens(self, k: int, start: int, n: int) -> np.ndarray:
         """Ids start .. start + n - 1 of the k-th document; only the symbols that hold them are expanded."""
-        own = self.symbols[self.stops[k - 1] if k else 0 : self.stops[k]]
-        stop = np.cumsum(self.sizes(own))
+        own = self._own(k)
+        stop = np.cumsum(sizes_of(own, self.lengths, self.base))
         lo, hi = np.searchsorted(stop, start, "right"), np.searchsorted(stop, start + n, "left") + 1
         skipped = int(stop[lo - 1]) if lo else 0
-        return expand(own[lo:hi], self.rules, self.base)[start - skipped : start - skipped + n]
+        return expand(own[lo:hi], self.rules, self.lengths, self.base)[start - skipped : start - skipped + n]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the whole shard, end of each document in them)."""
-        total = np.concatenate(([0], np.cumsum(self.sizes(self.symbols))))
-        return expand(self.symbols, self.rules, self.base), total[self.stops]
+        every = self.symbols[:]
+        total = np.concatenate(([0], np.cumsum(sizes_of(every, self.lengths, self.base))))
+        return expand(every, self.rules, self.lengths, self.base), total[self.stops]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, base: int = 1 << 16, shard_tokens: int = 1 << 20,
@@ -187,13 +234,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ba
             yield row()
 
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]  # an id that many rows repeat is dealt over partitions
+    ordered = texts_of(docs).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     ordered.mapInArrow(shards, SHARD_SCHEMA).write.parquet(path)
 
 
 SHARD_ARROW = pa.schema([
     ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()), ("base", pa.int32()), ("doc_ids", pa.binary()), ("null_ids", pa.binary()),
-    ("doc_symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("symbols", pa.binary()),
+    ("doc_symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()),
 ])
 
 
@@ -226,12 +274,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-
     import public_tokenizers
 
-
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, base=50257)
     return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
-
-

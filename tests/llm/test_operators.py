@@ -18,7 +18,7 @@ from quarry.llm.common import Words  # noqa: E402
 from quarry.llm.encoding import Encoder  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", None, " ", "a", "a  b\n\n c", "x <|endoftext|> y", " a", "a ", "\n", " \n x", "I'm don't\t x y z", "É Ê, éa ΑΣ İx 12 3.4, 日本. 𝄞", "b. b, b! b\nb.", "ab " * 400, "word" * 3000]
+ODD = ["", None, " ", "a", "a  b\n\n c", "x <|endoftext|> y", " a", "a ", "\n", " \n x", "I'm don't\t x y z", "É Ê, éa ΑΣ İx 12 3.4, 日本. 𝄞", "b. b, b! b\nb.", "ab " * 400, "word" * 3000, "a   b \n\n c  ", "don't 'twas \"x\"  (y) z_1 9½  é-É…"]
 SCHEMA = "doc_id long, text string, lang string, source string, text_hash string, runs string"
 
 
@@ -157,6 +157,20 @@ def test_grammar_gives_random_access():
     assert shard.tokens(2, 777, 50).tolist() == docs[2][777:827].tolist() and shard.tokens(4, 2999, 1).tolist() == docs[4][2999:].tolist()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 5000, 700)
+    docs = [np.concatenate((rng.integers(0, 5000, n), passage, rng.integers(0, 5000, n))).astype("<u4") for n in (3, 50, 0, 200, 9)] + [np.full(40_000, 7, "<u4")]
+    ends = np.cumsum([len(d) for d in docs])
+    symbols, stops, rules = token_output.repair(np.concatenate(docs), ends, 1 << 13)
+    pairs = collections.Counter(p for a, b in itertools.pairwise((0, *stops)) for p in itertools.pairwise(symbols[a:b].tolist()))
+    assert max(pairs.values()) < token_output.LEAST
+    lengths = token_output.rule_lengths(rules, 1 << 13)
+    assert lengths.max() >= 700 and token_output.expand(symbols, rules, lengths, 1 << 13).tolist() == np.concatenate(docs).tolist()
+    values = rng.integers(0, 1 << 19, 1001).astype(np.uint32)
+    assert (token_output.Packed(token_output.packed(values))[13:777] == values[13:777]).all()
+
+
 def test_quality_base_counts(texts):
     every = [*texts.values(), *ODD, "a b c d e f g h " * 5, "x y\n\nx y\n x y\nz"]
     got = quality.base_counts(Words.of(pa.array(every)))
