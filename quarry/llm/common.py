@@ -218,3 +218,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that most operators read, under fixed names."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name with as many underscores as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -212,12 +212,12 @@ def test_repeated_passages_go_and_clean_texts_stay(spark, odd, empty):
     rng = np.random.default_rng(5)
     sentence = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) + ". "
     own = [["".join(sentence(9) for _ in range(5)) for _ in range(2)] for _ in range(6)]
-    passage = "".join(sentence(10) for _ in range(6))
-    docs = [(i, a + (passage if i in (2, 4, 5) else "") + b, "x") for i, (a, b) in enumerate(own)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, n_removed string").drop("n_removed")
-    out = {r.doc_id: r for r in substrings.without_repeats(df, substrings.covered(df)).collect()}
-    for i, (a, b) in enumerate(own):
-        assert out[i].text == (a + passage + b if i == 2 else a + b) and (out[i].n_removed > 0) == (i in (4, 5))
+    for sizes in ((10,) * 6, (35, 19), (25, 8, 8, 5, 5)):
+        passage = "".join(sentence(n) for n in sizes)
+        docs = [(i, a + (passage if i in (2, 4, 5) else "") + b) for i, (a, b) in enumerate(own)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        out = {r.doc_id: r.text for r in substrings.without_repeats(df, substrings.covered(df)).collect()}
+        assert out == {i: a + passage + b if i == 2 else a + b for i, (a, b) in enumerate(own)}
     assert substrings.without_repeats(odd, substrings.covered(odd)).count() == odd.count()
     assert substrings.without_repeats(empty, substrings.covered(empty)).count() == 0
 
@@ -234,44 +234,67 @@ def brute_pieces(t):
     at, of = [], []
     for c in clauses:
         of.append((len(at), len(c)))
-        at.extend(i for i in c if i == c[0] or (len(c) >= 40 and (hashes[words[i][2]] % 4 == 0 or words[i][2] == words[i - 1][2])))
+        at.extend(i for i in c if i == c[0] or (len(c) >= 20 and (hashes[words[i][2]] % 4 == 0 or words[i][2] == words[i - 1][2])))
     at.append(len(words))
     return at, words, [(k, (of[n + 1][0] if n + 1 < len(of) else len(at) - 1) - k, size) for n, (k, size) in enumerate(of)]
 
 
 def brute_dedup(docs):
-    """{id: (text that stays, pieces removed, words removed)} by comparing the words of every run in order of ids."""
+    """For each (id, text): (text that stays, pieces removed, words removed), by comparing the words of every run in
+    order of documents."""
     seen, out = {}, {}
-    for k in sorted(docs):
-        t = docs[k] or ""
-        at, words, clauses = brute_pieces(t)
+    for k, t in sorted(set(docs), key=lambda x: (-(2**63) if x[0] is None else x[0], text_order(x[1]))):
+        at, words, clauses = brute_pieces(t or "")
         n = len(at) - 1
-        runs = [(i, next((j for j in range(i + 3, n + 1) if at[j] - at[i] >= 20), None)) for i in range(n)]
-        runs = [(i, j) for i, j in runs if j] + [(i, i + m) for i, m, size in clauses if size >= 20]
+        enough = lambda i, j: j - i >= 2 and at[j] - at[i] >= 20
+        runs = {(i, next((j for j in range(i, n + 1) if enough(i, j)), None)) for i in range(n)} | {(next((i for i in range(j, -1, -1) if enough(i, j)), None), j) for j in range(n + 1)}
+        runs = {r for r in runs if None not in r} | {(i, i + m) for i, m, size in clauses if size >= 20}
         gone = set()
         for i, j in sorted(runs):
             run = tuple(w for *_, w in words[at[i] : at[j]])
-            if seen.setdefault(run, (k, i)) != (k, i):
+            if seen.setdefault(run, (k, t, i)) != (k, t, i):
                 gone.update(range(i, j))
-        start = [0, *(words[at[i]][0] for i in range(1, n)), len(t)]
-        out[k] = ("".join(t[start[i] : start[i + 1]] for i in range(n) if i not in gone) if gone else docs[k], len(gone), sum(at[i + 1] - at[i] for i in gone))
+        start = [0, *(words[at[i]][0] for i in range(1, n)), len(t or "")]
+        out[k, t] = ("".join(t[start[i] : start[i + 1]] for i in range(n) if i not in gone) if gone else t, len(gone), sum(at[i + 1] - at[i] for i in gone))
     return out
 
 
-def test_dedup_equals_brute_force(spark, texts):
+def text_order(text):
+    """Spark's xxhash64, as it orders the texts of one id."""
+    from pyspark.sql import SparkSession
+
+    if text not in _ORDER:
+        _ORDER[text] = SparkSession.active().createDataFrame([(text,)], "t string").select(F.shiftrightunsigned(F.xxhash64("t"), 1)).first()[0]
+    return _ORDER[text]
+
+
+_ORDER = {}
+
+
+def test_dedup_equals_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ROWS", 2)  # so that some runs are hot
+    monkeypatch.setattr(substrings, "HOT_SHARE", 10**9)
     rng = np.random.default_rng(9)
     plain = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
     passage = plain(70)
-    more = {10**6 + i: f"{plain(30)} {passage} {plain(30)}. {plain(5)}" for i in range(4)}
-    more |= {2 * 10**6 + i: t for i, t in enumerate(ODD)} | {3 * 10**6: "La " * 300, 3 * 10**6 + 1: "So. " + "La " * 90, 3 * 10**6 + 2: passage}
-    docs = dict(texts) | more
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_removed, r.words_removed) for r in substrings.without_repeats(df, substrings.covered(df)).collect()}
+    more = [(10**6 + i, f"{plain(30)} {passage} {plain(30)}. {plain(5)}") for i in range(4)]
+    more += [(2 * 10**6 + i, t) for i, t in enumerate(ODD)] + [(3 * 10**6, "La " * 300), (3 * 10**6 + 1, "So. " + "La " * 90), (3 * 10**6 + 2, passage)]
+    clean, said = [f"{plain(9)}. {plain(12)}. {plain(3)}, {plain(14)}" for _ in range(6)], f"{plain(11)}. {plain(12)}."
+    more += [(7, clean[0]), (7, f"{clean[1]}. {said}"), (7, f"{said} {said} {clean[2]}"), (None, clean[3]), (None, f"{clean[4]}. {said}"), (None, clean[5]), (None, None), (2**62, said), (-(2**62), clean[0])]
+    docs = [*texts.items(), *more, more[0], (None, clean[3])]
+    names = ["n_removed", "Words_Removed", "n_sentences", "first_doc_ids", "_runs", "runs", "firsts", "id", "_id", "hash", "key", "doc", "sentence", "size"]
+    df = spark.createDataFrame([(k, t, *names) for k, t in docs], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    removal = substrings.covered(df).cache()
     want = brute_dedup(docs)
-    assert {k: v for k, v in got.items() if v != want[k]} == {} and got.keys() == want.keys()
-    assert all(want[10**6 + i][2] > 40 for i in (1, 2, 3)) and got[10**6][1] == 0 and got[3 * 10**6 + 1][2] == 90
-    rows = {r.doc_id: r for r in substrings.op5_substring_dedup(spark, SF).collect()}
-    assert {k: (r.text, r.n_removed, r.words_removed) for k, r in rows.items()} == {k: v for k, v in brute_dedup(texts).items() if v[1]}
+    cut = substrings.without_repeats(df, removal)
+    assert cut.columns == df.columns
+    got = sorted((repr(r.doc_id), repr(r.text)) for r in cut.collect() if tuple(r[2:]) == tuple(names))
+    assert got == sorted((repr(k), repr(want[k, t][0])) for k, t in docs)
+    rows = [(r.doc_id, r.text, r.n_removed, r.words_removed) for r in substrings.changed(df, removal).collect()]
+    assert sorted(rows, key=repr) == sorted(((k, *want[k, t]) for k, t in docs if want[k, t][1]), key=repr)
+    assert all(want[x][2] > 40 for x in more[1:4]) and want[more[0]][1] == 0
+    rows = {r.doc_id: (r.text, r.n_removed, r.words_removed) for r in substrings.op5_substring_dedup(spark, SF).collect()}
+    assert rows == {k: v for (k, _), v in brute_dedup(list(texts.items())).items() if v[1]}
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
