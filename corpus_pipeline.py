@@ -25,8 +25,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts change, so n_chars is counted anew where the column is there."""
-    cut = substrings.without_repeats(docs, substrings.covered(docs))
-    return _recounted(cut.select(*docs.columns))
+    return _recounted(substrings.without_repeats(docs, substrings.covered(docs)))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
