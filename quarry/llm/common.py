@@ -7,9 +7,10 @@ more than ``CHUNK_BYTES`` of text unless a single text is longer, so a task's me
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,6 +92,31 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return range_hash(_BYTE_VALUE[data], start, end)
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each begins, with the number of bytes at the end); null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    text = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data or b"", dtype=np.uint8)[text[0] : text[-1]], text - text[0]
+
+
+def runs(inside: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each maximal run of marked bytes within a text."""
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    cut = text[1:-1][(text[1:-1] > 0) & (text[1:-1] < len(inside))]
+    opens[cut] |= inside[cut]
+    closes[cut - 1] |= inside[cut - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
 @dataclass
 class Words:
     """All words of some texts. Text d has words first[d]:first[d+1]; word w has bytes start[w]:end[w]."""
@@ -105,22 +131,9 @@ class Words:
     @classmethod
     def of(cls, texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
         """Words of lower-cased texts, or runs of letters and digits only, if so asked."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if lower:
-            texts = pc.utf8_lower(texts)
-        _, offsets, data = texts.buffers()
-        text = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(data or b"", dtype=np.uint8)[text[0] : text[-1]] if len(texts) else np.zeros(0, np.uint8)
-        text = text - text[0] if len(texts) else np.zeros(1, np.int64)
-        inside = (_IS_LETTER if letters else _IS_WORD)[data]
-        opens, closes = inside.copy(), inside.copy()
-        opens[1:] &= ~inside[:-1]
-        closes[:-1] &= ~inside[1:]
-        cut = text[1:-1][(text[1:-1] > 0) & (text[1:-1] < len(data))]
-        opens[cut] |= inside[cut]
-        closes[cut - 1] |= inside[cut - 1]
-        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        return cls(data, text, start, end, np.searchsorted(start, text), range_hash(_BYTE_VALUE[data], start, end))
+        data, text = flat_bytes(pc.utf8_lower(texts.cast(pa.large_string())) if lower else texts)
+        start, end = runs((_IS_LETTER if letters else _IS_WORD)[data], text)
+        return cls(data, text, start, end, np.searchsorted(start, text), byte_hashes(data, start, end))
 
     def __len__(self) -> int:
         return len(self.text) - 1
@@ -165,14 +178,36 @@ def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """doc_id, text, y of at most ``most`` documents that have a label (doc_id, y), those whose ids hash lowest. They
-    are chosen by ids alone and sent to where the texts are read, so no text is shuffled but the sample's own. Of rows
-    that repeat an id the smallest text is taken."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(labels, "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"))
+    are chosen by ids alone and sent to where the texts are read, so no text is shuffled but the sample's own. Of labels
+    that differ the larger is taken, of rows that repeat an id the smallest text."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(labels, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = texts_of(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return rows.select("doc_id", "text", "y")
 
 
+def fit_in_one_task(features: DataFrame, counted: str, most: int, fit: Callable[[pa.Table], object | None]) -> object | None:
+    """What fit makes of the rows of features (doc_id and more), in one task, so that the driver gets the model alone.
+    Rows come in the order of their ids' hashes and end before the lists in the column ``counted`` hold more than
+    ``most`` values together, so the task's memory is bounded however long the texts are."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            stop = held + np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(counted)), 0)))
+            n = int(np.searchsorted(stop, most, "right"))
+            parts.append(batch.slice(0, n))
+            if n < batch.num_rows:
+                break
+            held = int(stop[-1]) if n else held
+        model = fit(pa.Table.from_batches(parts).combine_chunks().sort_by("doc_id")) if parts else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = features.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = rows.mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
+
+
 def adam(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
     """Minimise by full-batch Adam from zero; gradient(weights) gives the gradient."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)

@@ -1,12 +1,14 @@
 """Quality rules (operator 4): hashed word and character n-gram logistic regression.
 
-The model is fitted on at most ``max_rows`` labelled documents (a bounded sample, the lowest by a hash of their ids),
-calibrated by Platt scaling on a fifth of them, in one task, so that the driver gets the weights alone, and applied to every document in Arrow batches against a fixed
-threshold, after fixed base rules. A document's features are the shares of its word 1- and 2-grams and byte 4-grams in
-hashed buckets, so its length alone does not move the score.
+The model is fitted on at most ``max_rows`` labelled documents (a bounded sample, the lowest by a hash of their ids, up
+to ``MAX_FEATURES`` features), calibrated by Platt scaling on a fifth of them, in one task, so that the driver gets the
+weights alone, and applied to every document in Arrow batches against a fixed threshold, after fixed base rules. A
+document's features are the shares of its word 1- and 2-grams and character 4-grams in hashed buckets, so its length
+alone does not move the score.
 
 Defined cases: null text has no words and fails the base rules; documents without labels are scored, not trained on;
-null ids are scored; without labels of both classes the base rules decide alone; an empty table gives no rows.
+null ids are scored; of labels that differ the better counts; without labels of both classes the base rules decide
+alone; an empty table gives no rows; other columns are not read, and stay as they are where documents are filtered.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, adam, labelled_sample, mix, platt, sigmoid, slices, sums_by, table, texts_of
+from quarry.llm.common import Words, adam, fit_in_one_task, labelled_sample, mix, platt, sigmoid, slices, sums_by, table, texts_of
 
 WORD_BITS, CHAR_BITS = 16, 14
 WIDTH = (2 << WORD_BITS) + (1 << CHAR_BITS)
 SCALE = 30.0
 BLOCK = 1 << 20
+MAX_FEATURES = 12_000_000
 KEEP_FROM = 0.3
 _SYMBOL = np.isin(np.arange(256), [ord(x) for x in "#*$%&|<>"])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -35,11 +38,12 @@ def gram_features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield words.doc(), (mix(words.hashes + np.uint64(1)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     doc, grams = words.grams(2)
     yield doc, (mix(grams + np.uint64(2)) >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << WORD_BITS)
-    data = words.data.astype(np.uint32)
-    if len(data) > 3:
-        code = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
-        bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)).astype(np.int64) + (2 << WORD_BITS)
-        doc = np.repeat(np.arange(len(words)), np.diff(words.text))
+    points = np.frombuffer(words.data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    if len(points) > 3:
+        code = points[:-3] * np.uint32(0x9E3779B1) ^ points[1:-2] * np.uint32(0x85EBCA77) ^ points[2:-1] * np.uint32(0xC2B2AE3D) ^ points[3:]
+        bucket = ((code * np.uint32(0x27D4EB2F)) >> np.uint32(32 - CHAR_BITS)).astype(np.int64) + (2 << WORD_BITS)
+        before = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))[words.text]
+        doc = np.repeat(np.arange(len(words)), np.diff(before))
         whole = doc[3:] == doc[:-3]
         yield doc[3:][whole], bucket[whole]
 
@@ -66,7 +70,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int = 120, ridge: float = 1e-4) -> Model | None:
     """Fit on labelled documents; None where the labels lack a class."""
-    labels = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and quality in (0, 1)").dropDuplicates(["doc_id"])
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and quality in (0, 1)")
     rows = labelled_sample(docs, labels, max_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,18 +89,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int =
                 buckets = pa.ListArray.from_arrays(cut, (key % WIDTH).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), buckets, pa.ListArray.from_arrays(cut, value)], names=["doc_id", "y", "at", "x"])
 
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (parts := list(batches)) and (model := _fit(pa.Table.from_batches(parts), steps, ridge)):
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (model.weights.tobytes(), model.bias, model.a, model.b)], names=["weights", "bias", "a", "b"])
+    sample = rows.mapInArrow(features, "doc_id long, y int, at array<int>, x array<float>")
+    return fit_in_one_task(sample, "at", MAX_FEATURES, lambda got: _fit(got, steps, ridge))
 
-    sample = rows.mapInArrow(features, "doc_id long, y int, at array<int>, x array<float>").repartition(1)
-    found = sample.mapInArrow(fitted, "weights binary, bias double, a double, b double").collect()
-    return Model(np.frombuffer(found[0].weights, dtype=np.float32), found[0].bias, found[0].a, found[0].b) if found else None
 
-
-def _fit(sample: pa.Table, steps: int, ridge: float) -> Model | None:
+def _fit(got: pa.Table, steps: int, ridge: float) -> Model | None:
     """The model of one bounded sample; the features are gone through in blocks, so that little is held beside them."""
-    got = sample.combine_chunks().sort_by("doc_id")
     y = np.asarray(got["y"], dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None
