@@ -2,12 +2,13 @@
 
 A document is a bag of sentences. A sentence's toxicity is a logistic function of its hashed words; a document is toxic
 unless all its sentences are harmless (noisy-or), and only document labels are used to fit the sentence scores. The fit
-takes at most ``max_rows`` labelled documents, a bounded sample; every document is scored. A last Platt step on a fifth
-of the sample calibrates the document score. Sentences with a score of ``OFFENDING`` or more are located.
+takes at most ``max_rows`` labelled documents, a bounded sample of up to ``MAX_WORDS`` words, in one task, so that the
+driver gets the weights alone; every document is scored. A last Platt step on a fifth of the sample calibrates the
+document score. Sentences with a score of ``OFFENDING`` or more are located.
 
 Defined cases: null and empty texts have no sentences and get the score of a bag without offence; words of fewer than
-two training documents have no say; null ids are scored and not held out; without labels of both classes every score is
-0; an empty table gives no rows.
+two training documents have no say; null ids are scored and not held out; of labels that differ the worse counts;
+without labels of both classes every score is 0; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, adam, labelled_sample, mix, platt, sigmoid, slices, sums_by, table, texts_of
+from quarry.llm.common import Words, adam, fit_in_one_task, labelled_sample, mix, platt, sigmoid, slices, sums_by, table, texts_of
 
 BITS = 17
 SPARE = 1 << BITS  # the place of features that too few documents have
 PREFIXES = (4, 5, 6)
 OFFENDING = 0.5
 THRESHOLD = 0.7
+MAX_WORDS = 6_000_000
 _PRIOR = -7.0
 
 
@@ -64,8 +66,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, steps: int = 150, ridge: float = 3e-4) -> Model | None:
     """Fit on labelled documents outside the held-out third."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and toxic in (0, 1)")
-    labels = labels.where("crc32(cast(doc_id as string)) % 3 <> 1").dropDuplicates(["doc_id"])
-    rows = labelled_sample(docs, labels, max_rows)
+    rows = labelled_sample(docs, labels.where("crc32(cast(doc_id as string)) % 3 <> 1"), max_rows)
+    families = [f"f{k}" for k in range(1 + len(PREFIXES))]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +81,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, steps: int =
                     names=["doc_id", "y", "sentence", *families],
                 )
 
-    families = [f"f{k}" for k in range(1 + len(PREFIXES))]
-    got = rows.mapInArrow(features, "doc_id long, y int, sentence array<int>, " + ", ".join(f"{f} array<int>" for f in families)).toArrow().combine_chunks().sort_by("doc_id")
+    sample = rows.mapInArrow(features, "doc_id long, y int, sentence array<int>, " + ", ".join(f"{f} array<int>" for f in families))
+    return fit_in_one_task(sample, "sentence", MAX_WORDS, lambda got: _fit(got, families, steps, ridge))
+
+
+def _fit(got: pa.Table, families: list[str], steps: int, ridge: float) -> Model | None:
     y = np.asarray(got["y"], dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None
