@@ -1,24 +1,31 @@
 """Encoding of whole texts with public tokenizers, part by part.
 
 The tokenizers' own split never joins characters across the places where ``Encoder`` cuts, so the ids of a text are
-those of its parts one after the other. Parts and words met before come from tables in the worker's memory, which hold
-two generations of at most ``MAX_PARTS`` entries each: when one is full, it takes the place of the older one. Words go
-to the library's model; parts of any unusual shape go through the whole library. Ids are kept as bytes, little-endian
-unsigned 32-bit integers.
+those of its parts one after the other. The parts of all texts of a chunk are hashed at once, and ids of parts met before
+are gathered from ``Known``, flat arrays in the worker's memory; a part is made once. A part of letters and printable
+ASCII is split into words as the tokenizer splits it, and words go to the library's model; any other part goes through
+the whole library.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-MAX_PARTS = 200_000
-_DOUBLE = re.compile(r"\s\s")
-_CLOSERS = frozenset(".,;:!?")
+import numpy as np
+import pyarrow as pa
+import regex
 
+from quarry.llm.common import Words, byte_hashes, flat_bytes, runs
+
+MAX_PARTS, MAX_IDS, FRESH = 1_000_000, 8_000_000, 60_000
+MAX_WORDS, LONG = 200_000, 256
+#: Parts that are split here, and their split with a space before them or without; special tokens hold "<|".
+_SIMPLE = regex.compile(r"[ \n]?[!-~\p{L}]*")
+_SPACED = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s")
+_BARE = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level tokenizers show a byte as itself where that prints, the others in order as the characters from 256 on.
@@ -29,23 +36,125 @@ def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-class _Table(dict):
-    """key -> bytes, filled on demand."""
+class Table(dict):
+    """key -> bytes, filled on demand. Two generations of at most MAX_WORDS entries each: when one is full, it takes the
+    place of the older one. Keys of more than LONG characters are not kept."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        if len(self) >= MAX_WORDS:
+            self.older = dict(self)
+            self.clear()
         self[key] = value
         return value
 
-    def turn(self) -> None:
-        if len(self) > MAX_PARTS:
-            self.older = dict(self)
-            self.clear()
+
+class Known:
+    """Ids of parts by their 64-bit hashes, in arrays sorted by hash: an older, large set, and what is new since. Of more
+    than MAX_PARTS parts or MAX_IDS ids the half used last stays."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.clock, self.used, self.flat = make, 0, 0, np.zeros(1 << 16, dtype=np.uint32)
+        self.old, self.new = self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> list[np.ndarray]:
+        """Hashes, first places in flat, numbers of ids, and when each was used last."""
+        return [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, one after the other; number of ids of each)."""
+        self.clock += 1
+        self._shrink()
+        if not len(hashes):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        at, size = self._find(ordered[first], data, start[order[first]], end[order[first]])
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = np.cumsum(first) - 1
+        sizes = size[of]
+        stop = np.cumsum(sizes)
+        return self.flat[np.repeat(at[of] - (stop - sizes), sizes) + np.arange(stop[-1])], sizes
+
+    def _find(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, size, todo = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        for have in (self.old, self.new):
+            if len(have[0]):
+                place = np.minimum(np.searchsorted(have[0], keys), len(have[0]) - 1)
+                hit = np.flatnonzero(have[0][place] == keys)
+                place = place[hit]
+                at[hit], size[hit], todo[hit] = have[1][place], have[2][place], False
+                have[3][place] = self.clock
+        missing = np.flatnonzero(todo)
+        if len(missing):
+            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+            size[missing] = [len(x) // 4 for x in made]
+            at[missing] = self.used + np.cumsum(size[missing]) - size[missing]
+            self._store(np.frombuffer(b"".join(made), dtype="<u4"))
+            place = np.searchsorted(self.new[0], keys[missing])
+            fresh = (keys[missing], at[missing], size[missing], np.full(len(missing), self.clock))
+            self.new = [np.insert(x, place, y) for x, y in zip(self.new, fresh, strict=True)]
+        return at, size
+
+    def _store(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + len(ids), np.uint32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _shrink(self) -> None:
+        if len(self.new[0]) > FRESH or self.used > MAX_IDS:
+            every = [np.concatenate(x) for x in zip(self.old, self.new, strict=True)]
+            order = np.argsort(every[0])
+            self.old, self.new = [x[order] for x in every], self._empty()
+        if len(self.old[0]) > MAX_PARTS or self.used > MAX_IDS:
+            keep = (self.old[3] > np.median(self.old[3])) & (self.old[2] <= LONG)
+            key, at, size, stamp = (x[keep] for x in self.old)
+            stop = np.cumsum(size)
+            ids = self.flat[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+            self.old, self.used, self.flat = [key, stop - size, size, stamp], len(ids), ids
+
+
+def _odd_spaces(data: np.ndarray) -> np.ndarray:
+    """Bytes of white space other than space and line end: tab, vertical tab, form feed, return, and the wide ones."""
+    odd = np.isin(data, [9, 11, 12, 13])
+    one, two = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: len(data)]
+    pair = (data == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    general = (data == 0xE2) & (((one == 0x80) & (((two >= 0x80) & (two <= 0x8A)) | np.isin(two, [0xA8, 0xA9, 0xAF]))) | ((one == 0x81) & (two == 0x9F)))
+    triple = general | ((data == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((data == 0xE3) & (one == 0x80) & (two == 0x80))
+    for first, n in ((pair, 2), (triple, 3)):
+        at = np.flatnonzero(first)
+        for k in range(n):
+            odd[at + k] = True
+    return odd
+
+
+def spaced_parts(data: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each part, first part of each text, with the number of parts at the end). A part begins with the last of
+    a run of spaces and line ends; the rest of the run is a part before it, as is the whole run at the end of a text. A
+    run beside other white space, or a longer one before what may be a special token, begins no part."""
+    n = len(data)
+    start, end = runs((data == 32) | (data == 10), text)
+    begins, ends, odd = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.append(_odd_spaces(data), [False, False])
+    filled = np.diff(text) > 0
+    begins[text[:-1][filled]], ends[text[1:][filled]] = True, True
+    after = np.append(data, [0, 0]).astype(np.uint16)
+    special = (end - start > 1) & (after[end] == ord("<")) & (after[end + 1] == ord("|"))
+    good = ~((~begins[start] & odd[start - 1]) | (~ends[end] & (odd[end] | special)))
+    start, end = start[good], end[good]
+    begins[start] = True
+    begins[end[~ends[end]] - 1] = True
+    at = np.flatnonzero(begins[:n])
+    return at, np.searchsorted(at, text)
 
 
 class Encoder:
@@ -59,9 +168,8 @@ class Encoder:
 
         self.library, self.spaces = Tokenizer.from_file(path), spaces
         self.model = self.library.model
-        self.line = self.whole("\n")
-        self.words = _Table(self._word)
-        self.parts = _Table(self._spaced if spaces else self._bare)
+        self.words = Table(self._word)
+        self.known = Known(self._spaced if spaces else self._bare)
 
     @classmethod
     def of(cls, path: str, spaces: bool) -> Encoder:
@@ -74,50 +182,46 @@ class Encoder:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """Letters, with a space before them or not; or one closing mark."""
-        if word.isascii():
-            shown = f"Ġ{word[1:]}" if word[0] == " " else word
+        """One word of the tokenizer's split, its space included."""
+        if word.isascii() and word.isprintable():
+            shown = word.replace(" ", "Ġ")
         else:
             shown = word.encode().decode("latin-1").translate(_SHOWN)
         return _packed([t.id for t in self.model.tokenize(shown)])
 
     def _spaced(self, part: str) -> bytes:
-        """A part of a text that keeps its space, which the key leaves out, or begins with a line end."""
-        if part.isalpha():
-            return self.words[f" {part}"]
-        if part[-1:] in _CLOSERS and part[:-1].isalpha():
-            return self.words[f" {part[:-1]}"] + self.words[part[-1]]
-        return self._lined(part) if part[:1] == "\n" else self.whole(f" {part}")
-
-    def _lined(self, part: str) -> bytes:
-        if part[1:].isalpha():
-            return self.line + self.words[part[1:]]
-        if part[-1] in _CLOSERS and part[1:-1].isalpha():
-            return self.line + self.words[part[1:-1]] + self.words[part[-1]]
-        return self.whole(part)
+        """A part of a text with the white space before it."""
+        if part.isspace():
+            return self._word(part)
+        if "<|" in part or not _SIMPLE.fullmatch(part):
+            return self.whole(part)
+        return b"".join(map(self.words.__getitem__, _SPACED.findall(part)))
 
     def _bare(self, part: str) -> bytes:
         """A part without white space at its ends."""
-        if not part:
-            return b""
-        core, close = (part[:-1], part[-1]) if part[-1] in _CLOSERS else (part, "")
-        if core.isalpha() and "Σ" not in core and "İ" not in core and unicodedata.is_normalized("NFC", core):
-            return self.words[core.lower()] + (self.words[close] if close else b"")
-        return self.whole(part)
-
-    def one(self, text: str) -> bytes:
-        if not self.spaces:
-            return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
-        if _DOUBLE.search(text):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.parts.__getitem__, rest))
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text; null counts as empty."""
-        out = []
-        for text in texts:
-            out.append(self.one(text) if text else b"")
-            self.parts.turn()
-            self.words.turn()
-        return out
+        if not part.isascii() and ("Σ" in part or "İ" in part or not unicodedata.is_normalized("NFC", part)):
+            return self.whole(part)
+        if part.isalpha():
+            return self.words[part.lower()]
+        if "<|" in part or not _SIMPLE.fullmatch(part):
+            return self.whole(part)
+        return b"".join(map(self.words.__getitem__, _BARE.findall(part.lower())))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; where each text's ids end); null counts as empty."""
+        if self.spaces:
+            data, text = flat_bytes(texts)
+            start, first = spaced_parts(data, text)
+            end = np.append(start[1:], len(data))
+            hashes = byte_hashes(data, start, end)
+        else:
+            words = Words.of(texts)
+            data, start, end, first, hashes = words.data, words.start, words.end, words.first, words.hashes
+        ids, sizes = self.known.ids(data, start, end, hashes)
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[first[1:]]
+
+    def encode_each(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.encode(texts)
+        raw, stops = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]

@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
         encoder, packer = Encoder.of(tokenizer, spaces=False), Packer(TaskContext.get().partitionId() << 40, tiers, step_tokens)
         for batch in batches:
             for piece in slices(batch):
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode_each(piece.column(1)), strict=True):
                     packer.add(doc_id, ids + end)
                 if packer.out:
                     yield packer.rows()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ def lengths(docs: DataFrame, tokenizer: str, spaces: bool = True) -> DataFrame:
         encoder = Encoder.of(tokenizer, spaces)
         for batch in batches:
             for piece in slices(batch):
-                size = [len(x) // 4 for x in encoder.encode(piece.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64())], names=["doc_id", "length"])
+                _, ends = encoder.encode(piece.column(1))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(ends, prepend=0).astype(np.int64))], names=["doc_id", "length"])
 
     return texts_of(docs).mapInArrow(counted, "doc_id long, length long")
 

@@ -223,7 +223,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ba
 
         for batch in batches:
             for piece in slices(batch):
-                for doc_id, got in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                for doc_id, got in zip(piece.column(0).to_pylist(), encoder.encode_each(piece.column(1)), strict=True):
                     doc_ids.append(doc_id)
                     ids.append(got + end)
                     held += len(got) // 4 + 1
