@@ -4,8 +4,9 @@ An Aho-Corasick automaton over the pieces reads each word once. At every positio
 end there, and each relaxes the best score of that position. For a ``unigram`` model the score of a path is the sum of
 its pieces' scores. In a ``bpe`` model the scores are merge priorities, not costs: the path wanted is the one that
 merging by priority builds. It is the one path each of whose neighbouring pieces stay apart when merged on their own, so
-a piece relaxes a position only if it follows the best path's last piece that way; exactly one does. Characters that no
-piece covers become byte pieces. Words met before come from a table of two generations.
+a piece relaxes a position only if it follows the best path's last piece that way; exactly one does. A word that begins
+with a run of spaces, whose merges tie, is merged by a heap instead. Characters that no piece covers become byte pieces.
+Ids of words met before are gathered from flat arrays.
 
 Defined cases: null and empty texts have no ids; runs of spaces are kept; an unknown character is its UTF-8 bytes; null
 and repeated ids give a row each; an empty table gives no rows.
@@ -13,20 +14,20 @@ and repeated ids give a row each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import slices, table, texts_of
-from quarry.llm.encoding import _Table
+from quarry.llm.common import byte_hashes, flat_bytes, runs, slices, table, texts_of
+from quarry.llm.encoding import Known
 
 SPACE = "▁"
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _UNKNOWN = -1
 _UNKNOWN_PENALTY = 10.0
 
@@ -45,7 +46,10 @@ class Pieces:
         self.rank = {t: scores[i] for i, t in texts.items()}
         self.lowest = min(scores.values(), default=0.0)
         self.apart: dict[tuple[str, str], bool] = {}
-        self.units = _Table(self._unit)
+        self.known = Known(lambda part: self._unit(part.replace(" ", SPACE)))
+        size = max(self.raw, default=-1) + 1
+        self.raw_size = np.array([len(self.raw.get(i, b"")) for i in range(size)], dtype=np.int64)
+        self.raw_flat = np.frombuffer(b"".join(self.raw.get(i, b"") for i in range(size)), dtype=np.uint8)
         self.automaton = ahocorasick.Automaton()
         for i, t in texts.items():
             if kind == "unigram" or self.merged(t) == [t]:
@@ -66,17 +70,28 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Merging by priority, the leftmost of equals first: the definition, for single pieces and pairs."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.rank.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list[str | None] = list(text)
+        after, before, heap = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)], []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] >= 0:
+                pair = parts[k] + parts[after[k]]
+                if pair in self.rank:
+                    heapq.heappush(heap, (-self.rank[pair], k, pair))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        while heap:
+            _, k, pair = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] is None or j < 0 or len(parts[k]) + len(parts[j]) != len(pair) or parts[k] + parts[j] != pair:
+                continue
+            parts[k], parts[j], after[k] = pair, None, after[j]
+            if after[j] >= 0:
+                before[after[j]] = k
+            offer(before[k])
+            offer(k)
+        return [x for x in parts if x is not None]
 
     def _stay_apart(self, a: str, b: str) -> bool:
         known = self.apart.get((a, b))
@@ -146,23 +161,39 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in piece.encode())
         return out.tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; where each text's ids end)."""
         if self.kind == "unigram":
-            return self._unit(SPACE + text.replace(" ", SPACE))
-        words = text.split(" ")
-        units = [SPACE + w for w in words] if "" not in words and SPACE not in text else _UNIT.findall(SPACE + text.replace(" ", SPACE))
-        out = b"".join(map(self.units.__getitem__, units))
-        self.units.turn()
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.raw.__getitem__, array("I", ids))).decode("utf-8", "replace")
+            each = [self._unit(SPACE + t.replace(" ", SPACE)) if t else b"" for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), dtype="<u4"), np.cumsum([len(x) // 4 for x in each], dtype=np.int64)
+        data, text = spaced(texts)
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[runs(data == 32, text)[0]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))[: len(start)]
+        ids, sizes = self.known.ids(data, start, end, byte_hashes(data, start, end))
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(start, text)[1:]]
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes that the ids stand for, each text with the space before it."""
+        size = self.raw_size[ids]
+        stop = np.cumsum(size)
+        at = np.cumsum(self.raw_size) - self.raw_size
+        return self.raw_flat[np.repeat(at[ids] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.decoded(ids).tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each text begins) of the texts as they are encoded: a space before each that is not empty, and the
+    model's own mark for spaces taken for one."""
+    plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE, " ")
+    nothing, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    return flat_bytes(pc.if_else(pc.equal(plain, nothing), plain, pc.binary_join_element_wise(nothing, plain, space)))
+
+
 def encode_documents(docs: DataFrame, model: str, kind: str = "bpe", with_ids: bool = True) -> DataFrame:
     """doc_id, ids (unless with_ids is false), n_ids, n_bytes (ids that are byte pieces), ids_crc32, round_trip (whether
     decoding gives the text back; a text that holds the model's own space mark comes back with spaces)."""
@@ -172,16 +203,16 @@ def encode_documents(docs: DataFrame, model: str, kind: str = "bpe", with_ids: b
         low, high = pieces.byte_ids[0], pieces.byte_ids[-1]
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(1).to_pylist()
-                ids = [pieces.encode(x) for x in texts]
-                arrays = [np.frombuffer(x, dtype="<u4") for x in ids]
+                ids, ends = pieces.encode(part.column(1))
+                cut = np.concatenate(([0], ends)).astype(np.int64)
+                raw = memoryview(ids.astype("<u4").tobytes())
                 columns = {
                     "doc_id": part.column(0),
-                    **({"ids": pa.array([x.astype(np.int32) for x in arrays], pa.list_(pa.int32()))} if with_ids else {}),
-                    "n_ids": pa.array([len(x) for x in arrays], pa.int64()),
-                    "n_bytes": pa.array([int(((x >= low) & (x <= high)).sum()) for x in arrays], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    "round_trip": pa.array([pieces.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                    **({"ids": pa.ListArray.from_arrays(cut.astype(np.int32), ids.astype(np.int32))} if with_ids else {}),
+                    "n_ids": pa.array(np.diff(cut)),
+                    "n_bytes": pa.array(np.diff(np.concatenate(([0], np.cumsum((ids >= low) & (ids <= high))))[cut]).astype(np.int64)),
+                    "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.int64()),
+                    "round_trip": pa.array(_round_trips(pieces, part.column(1), ids, cut), pa.bool_()),
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -189,7 +220,16 @@ def encode_documents(docs: DataFrame, model: str, kind: str = "bpe", with_ids: b
     return texts_of(docs).mapInArrow(encoded, f"doc_id long, {ids}n_ids long, n_bytes long, ids_crc32 long, round_trip boolean")
 
 
+def _round_trips(pieces: Pieces, texts: pa.Array, ids: np.ndarray, cut: np.ndarray) -> list[bool]:
+    data, text = spaced(texts)
+    back = pieces.decoded(ids)
+    if np.array_equal(back, data):
+        return [True] * len(texts)
+    stop = np.concatenate(([0], np.cumsum(pieces.raw_size[ids])))[cut]
+    return [np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(stop[:-1], stop[1:], text[:-1], text[1:], strict=True)]
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -13,8 +13,8 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
-from quarry.llm import jaccard, neighbours, packing, quality, secrets, sentencepiece, substrings, token_counts, token_output, toxicity  # noqa: E402
-from quarry.llm.common import Words  # noqa: E402
+from quarry.llm import common, jaccard, neighbours, packing, quality, secrets, sentencepiece, substrings, token_counts, token_output, toxicity  # noqa: E402
+from quarry.llm.common import Words, byte_hashes, mix, range_hash  # noqa: E402
 from quarry.llm.encoding import Encoder  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -53,7 +53,7 @@ def test_words_are_runs_between_white_space():
 def test_encoder_equals_library(texts, name, spaces):
     e = Encoder(public_tokenizers.path(name), spaces)
     every = [*texts.values(), *(t for t in ODD if t)]
-    for t, got in zip(every, e.encode(every), strict=True):
+    for t, got in zip(every, e.encode_each(pa.array(every)), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
 
 
@@ -62,9 +62,10 @@ def test_pieces_equal_library(texts):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     model, own = library.SentencePieceProcessor(model_file=path), sentencepiece.Pieces.of(path)
-    for t in [*texts.values(), *(t for t in ODD if t)]:
-        ids = own.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t) and own.decode(ids) == t
+    every = [*texts.values(), *ODD, " " * 1000, "  a" + " " * 37 + "b", "aaaa" * 50 + "   aaa"]
+    ids, ends = own.encode(pa.array(every))
+    for t, got in zip(every, np.split(ids, ends[:-1]), strict=True):
+        assert got.tolist() == model.encode(t or "") and own.decode(got) == (t or "")
 
 
 def test_unigram_path_is_the_best():
@@ -199,6 +200,70 @@ def test_quality_and_toxicity_learn(spark):
     assert auc(t["score"].to_numpy(), t["toxic"].to_numpy()) > 0.85 and t["score"].between(0, 1).all()
 
 
+def hash_of(*parts):
+    """The operators' hash of a byte string, or of hashes in a row."""
+    values = np.frombuffer(parts[0], np.uint8) if isinstance(parts[0], bytes) else np.array(parts, np.uint64)
+    whole = np.array([0]), np.array([len(values)])
+    return (byte_hashes if isinstance(parts[0], bytes) else range_hash)(values, *whole)[0]
+
+
+def bucket_of(h, salt, bits):
+    return int(mix(np.array([h + np.uint64(salt)]))[0] >> np.uint64(64 - bits))
+
+
+def test_quality_verdict_equals_brute_force(spark, texts):
+    rng = np.random.default_rng(8)
+    model = quality.Model(rng.normal(0, 0.3, quality.WIDTH).astype(np.float32), 0.1, 0.7, -0.2)
+    docs = {**{k: t for k, t in texts.items() if len(t) < 3000}, 10**6: None, 10**6 + 1: "日本語のテキスト 𝄞𝄞𝄞𝄞 ab", 10**6 + 2: "abc"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(df, model).collect()}
+    for k, t in docs.items():
+        t, total = t or "", 0.0
+        words = [hash_of(w.encode()) for w in words_of(t)]
+        pairs = [hash_of(*p) for p in itertools.pairwise(words)] if len(words) > 1 else [hash_of(*words)] if words else []
+        chars = []
+        for a, b, c, d in zip(t, t[1:], t[2:], t[3:], strict=False):
+            code = (ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA77 ^ ord(c) * 0xC2B2AE3D ^ ord(d)) & 0xFFFFFFFF
+            chars.append((code * 0x27D4EB2F & 0xFFFFFFFF) >> (32 - quality.CHAR_BITS))
+        for at in ([bucket_of(h, 1, 16) for h in words], [bucket_of(h, 2, 16) + (1 << 16) for h in pairs], [x + (2 << 16) for x in chars]):
+            total += quality.SCALE * sum(float(model.weights[x]) for x in at) / max(len(at), 1)
+        p = 1 / (1 + np.exp(-(0.7 * (total + model.bias) - 0.2)))
+        assert abs(got[k].quality - p) < 1e-6 and got[k].kept == (not got[k].base_failed and got[k].quality >= quality.KEEP_FROM)
+
+
+def test_toxicity_is_noisy_or_of_sentences(spark, texts):
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -4.0, 0.9, 0.1)
+    docs = {**{k: t for k, t in texts.items() if len(t) < 3000}, 10**6: None, 10**6 + 1: "One. TWO, é日本! \n x?", 10**6 + 2: " . "}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        raw, sentences, last = (docs[r.doc_id] or "").lower().encode(), [], None
+        for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw):
+            if last is None or re.search(rb"[.!?\n]", raw[last : m.start()]):
+                sentences.append((m.start(), model.bias))
+            last = m.end()
+            prefixes = [m[0], *(m[0][:n] for n in toxicity.PREFIXES)]
+            sentences[-1] = (sentences[-1][0], sentences[-1][1] + sum(float(model.weights[bucket_of(hash_of(x), 7 + k, toxicity.BITS)]) for k, x in enumerate(prefixes)))
+        harmless = sum(np.log1p(np.exp(z)) for _, z in sentences)
+        p = 1 / (1 + np.exp(-(0.9 * np.log(np.expm1(np.clip(harmless, 1e-9, 500))) + 0.1)))
+        assert abs(r.score - p) < 1e-6 and r.predicted == (r.score >= 0.7) and r.n_sentences == len(sentences)
+        assert [x["starts"] for x in r.offending] == [a for a, z in sentences if z >= 0]
+
+
+def test_labels_that_differ_and_long_texts_in_the_fit(spark, texts):
+    rows = [(k, t) for k, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, int("a" in (t or "")[:9]), k % 2) for k, t in rows]
+    once = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lower = spark.createDataFrame([(k, 0, 0) for k, *_ in labels], once.schema)
+    for fit in (quality.train, toxicity.train):
+        a, b = fit(docs, once), fit(docs, lower.union(once))
+        assert (a.weights == b.weights).all() and (a.bias, a.a, a.b) == (b.bias, b.a, b.b)
+    features = spark.createDataFrame([(i, [0] * n) for i, n in enumerate((5, 50, 5, 5))], "doc_id long, at array<int>")
+    assert common.fit_in_one_task(features, "at", 4, lambda got: got.num_rows) == 0
+    assert common.fit_in_one_task(features, "at", 65, lambda got: got.num_rows) == 4
+
+
 def test_filters_and_scores_take_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.train(odd, none) is None and toxicity.train(odd, none) is None
@@ -330,6 +395,86 @@ def test_copied_values_are_examples(spark):
     assert cut[0] == rows[0][1] and cut[7] == f"key {secrets.PLACEHOLDER}"
 
 
+def added_spans(t):
+    """The added kinds, with Python's own patterns of the same meaning."""
+    rules = [
+        (r"(?i)\bbearer\x20{1,16}([A-Za-z0-9._~+/-]{20,}=*)", 3), (r"\bgh[pousr]_[A-Za-z0-9]{36,}", 4), (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 5),
+        (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 6), (r"\b[a-z][a-z0-9+.-]{0,15}://[^\s/:@]{1,256}:([^\s/:@]{8,256})@", 7),
+        (r"-----BEGIN\x20[A-Z\x20]{0,40}PRIVATE\x20KEY-----", 8),
+    ]
+    return [(m.start(), k, m.end(), m[m.lastindex or 0]) for p, k in rules for m in re.finditer(p, t, re.ASCII)]
+
+
+def brute_secrets(docs, max_owners=2, max_repositories=4):
+    """For each (id, text, repository, owner): ([start, rank, stop], live ones as (start, stop))."""
+    found = {}
+    for row in docs:
+        t = row[1] or ""
+        base = [(a, k, b, ASSIGN.fullmatch(t, a, b)[2] if k == 0 else t[a:b]) for a, k, _, b in base_spans(t)]
+        found[row] = sorted(base + added_spans(t))
+    holders = collections.defaultdict(set)
+    for (_, _, repository, owner), spans in found.items():
+        for *_, value in spans:
+            holders[value].add((owner, repository))
+    live = {v: len({o for o, _ in h}) <= max_owners and len(h) <= max_repositories for v, h in holders.items()}
+    return {row: ([x[:3] for x in spans if x[1] < 3 or live[x[3]]], [(x[0], x[2]) for x in spans if live[x[3]]]) for row, spans in found.items()}
+
+
+def redacted(t, live):
+    out, at = "", 0
+    for a, b in live:
+        if a >= at:
+            out += t[at:a] + secrets.PLACEHOLDER
+        at = max(at, b)
+    return out + t[at:]
+
+
+def test_secrets_equal_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT_ROWS", 3)  # so that some values are hot
+    monkeypatch.setattr(secrets, "HOT_SHARE", 10**9)
+    rng = np.random.default_rng(2)
+    key = lambda n, letters="abcdef0123456789": "".join(rng.choice(list(letters), n))
+    shapes = [f"Bearer {key(24)}==", f"ghp_{key(36)}", f"xoxb-{key(14)}", f"eyJ{key(9)}.{key(9)}.{key(9)}", f"ftp://user:{key(9)}@host", "-----BEGIN RSA PRIVATE KEY-----", f"token = '{key(20)}'", f"AKIA{key(16, 'ABC12')}"]
+    docs = [(i, t, f"r{i % 11}", f"o{i % 5}") for i, t in texts.items()]
+    docs += [(10**6 + i, f"é𝄞 {key(5)} {x} z {shapes[i % 3]}\n", f"r{i}", f"o{i}") for i, x in enumerate(shapes * 2)]
+    docs += [(None, shapes[1], None, None), (None, shapes[4], None, None), (5, f"{shapes[2]} a", "r", None), (5, " ".join(f"password: {key(30)}" for _ in range(700)) + "é" * 5000 + shapes[0], "r", "o")]
+    names = ["hash", "_hash", "text_hash", "spans", "found", "value", "live", "a", "b"]
+    df = spark.createDataFrame([(*x, *names) for x in docs], "doc_id long, text string, repository string, owner string, " + ", ".join(f"`{n}` string" for n in names))
+    want = brute_secrets(docs)
+    order = [k.name for k in secrets.KINDS]
+    got = secrets.report(secrets.scan(df, F.col("repository"), F.col("owner"))).select("doc_id", "spans").collect()
+    assert sorted(map(repr, got)) == sorted(f"Row(doc_id={r[0]}, spans={','.join(f'{order[k]}:{a}:{b}' for a, k, b in want[r][0])!r})" for r in docs)
+    cut = secrets.redact(df, F.col("repository"), F.col("owner"))
+    assert cut.columns == df.columns and sorted(repr(tuple(r)) for r in cut.collect()) == sorted(repr((r[0], redacted(r[1], want[r][1]), r[2], r[3], *names)) for r in docs)
+
+
+def test_long_texts_take_no_long_time(spark):
+    import time
+
+    rng = np.random.default_rng(6)
+    keys = ["".join(x) for x in rng.choice(list("ABCDEFGH0123"), (50_000, 16))]
+    every = ["a." * 500_000, " " * 1_000_000, "x" * 1_000_000, " ".join(f"é AKIA{k}" for k in keys), "eyJ-" * 250_000, "a://b:c" * 140_000, "a  b" * 250_000, "password=" * 100_000]
+    docs = [(i, t, f"s{i}") for i, t in enumerate(every)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(8).cache()
+    df.count()
+    begin = time.perf_counter()
+    for r in secrets.report(secrets.scan(df, F.col("source"), F.col("source"))).collect():
+        s = base_spans(every[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in s).encode()).hexdigest()
+    cut = {r.doc_id: r.text for r in secrets.redact(df, F.col("source"), F.col("source")).collect()}
+    assert cut[3] == " ".join(["é [SECRET]"] * 50_000) and cut[0] == every[0]
+    pieces = sentencepiece.Pieces.of(public_tokenizers.path("piece_bpe_32k.model"))
+    ids, ends = pieces.encode(pa.array(every))
+    assert all(pieces.decode(x) == t for x, t in zip(np.split(ids, ends[:-1]), every, strict=True))
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = Encoder(public_tokenizers.path(name), spaces)
+        for t, got in zip(every, e.encode_each(pa.array(every)), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
+    for found in (jaccard.jaccard_join(df), substrings.covered(df), quality.judge(df, None), toxicity.score(df, None)):
+        found.collect()
+    assert time.perf_counter() - begin < 240
+
+
 def test_neighbours_recall_and_cases(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data], dtype=float)
