@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+HOT_ROWS = HOT_SHARE = 10_000
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -29,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where the session names none and runs on this machine
+    alone, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -46,6 +50,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_common(rows: DataFrame, facts: DataFrame, keys: str | list[str], n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined to facts, which has one row for each key and in ``n`` how many of the rows have it (``total``
+    together, summed up if not given). Keys that more than HOT_ROWS rows have, and more than one in HOT_SHARE, number
+    HOT_SHARE at most; these facts are broadcast, so no task gets all the rows of a common key. rows is read twice."""
+    keys = [keys] if isinstance(keys, str) else keys
+    if total is None:
+        total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_SHARE)
+    rest = facts.where(~hot).drop(n)
+    if total <= HOT_ROWS:  # no key can be hot
+        return rows.join(rest, keys)
+    few = F.broadcast(facts.where(hot).drop(n))
+    return rows.join(few, keys).unionByName(rows.join(few, keys, "left_anti").join(rest, keys))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A fixed 64-bit bijection that spreads its input over all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -6,7 +6,8 @@ hash are candidates. A bucket whose members are those of a bucket of an earlier
 pair. The n-gram sets of the classes that are left are joined to their buckets and verified there, exactly, each pair
 in the first band that both share. Buckets of more than ``CELL`` members are dealt over cells, one for each pair of
 sub-buckets, so that no task holds more than two sub-buckets and no pair is lost. A cell returns one row for each
-member that has partners: how many, and one edge to the member's group. Groups are the connected components.
+member that has partners: how many, and one edge to the member's group. Groups are the connected components. Rows of
+common classes and buckets meet theirs by broadcast, so no task gets all of them.
 
 Defined cases: words are lower-cased; a text of fewer words than n has one n-gram, all its words; texts without words
 (null, empty, blank) have no n-grams, no links and each its own group, the row's id; rows that repeat an id count as
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, materialize, mix, slices, stream, table, texts_of
+from quarry.llm.common import Words, join_common, materialize, mix, slices, stream, table, texts_of
 from quarry.llm.components import connected_components
 
-CELL = 400
+CELL = 800
 COLUMNS = 4096
 
 
@@ -147,17 +148,17 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     bands, rows = choose_bands(threshold, recall)
     every = materialize(sketch(docs, n, bands, rows), "sketch")
     keyed = every.where("key1 is not null")
-    classes = keyed.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"))
+    classes = keyed.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     reps = keyed.join(classes.select("key1", "key2", F.col("rep").alias("doc_id"), "copies"), ["key1", "key2", "doc_id"], "left_semi")
     reps = reps.dropDuplicates(["key1", "key2"]).join(classes.select("key1", "key2", "copies"), ["key1", "key2"])
     # a class is known by its key from here on: one id may stand for two classes if its rows differ
-    reps = reps.select(F.xxhash64("key1", "key2").alias("cls"), "copies", "bands")
+    reps = materialize(reps.select(F.xxhash64("key1", "key2").alias("cls"), "copies", "bands"), "representatives")
     spread = reps.select("cls", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("d1"), F.sum(F.xxhash64("cls", F.lit(5)).cast("decimal(38,0)")).alias("d2"))
     buckets = buckets.where("m > 1").groupBy("m", "d1", "d2").agg(F.min(F.struct("band", "hash")).alias("b"))
-    buckets = buckets.select("b.band", "b.hash", F.ceil(F.col("m") / CELL).cast("int").alias("parts"))
-    members = materialize(spread.join(buckets, ["band", "hash"]), "members")
+    buckets = materialize(buckets.select("b.band", "b.hash", F.ceil(F.col("m") / CELL).cast("int").alias("parts"), F.col("m").alias("n")), "buckets")
+    members = materialize(join_common(spread, buckets, ["band", "hash"]), "members")
     wanted = members.select("cls").distinct()
     sets = _sets(docs, wanted, classes, n)
     own = F.pmod(F.xxhash64("cls", F.lit(9)), F.col("parts")).cast("int")
@@ -176,15 +177,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     found = materialize(cells.groupBy("band", "hash", "i", "j").applyInPandas(verified, "cls long, links long, to long"), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    names = classes.select(F.xxhash64("key1", "key2").alias("cls"), "rep", "copies")
+    names = classes.select(F.xxhash64("key1", "key2").alias("cls"), "rep", "copies", "n")
     groups = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b")))
     grouped = names.join(groups.withColumnRenamed("v", "cls"), "cls")
     least = grouped.groupBy("label").agg(F.min("rep").alias("class_id"))
     joined = grouped.join(least, "label").join(links, "cls").select("cls", "class_id", "links")
     per_class = names.join(joined, "cls", "left").select(
-        "cls", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "cls", "n", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    rows_in = keyed.select("doc_id", F.xxhash64("key1", "key2").alias("cls")).join(per_class, "cls").select("doc_id", "class_id", "n_links")
+    per_class = materialize(per_class, "per-class")
+    rows_in = join_common(keyed.select("doc_id", F.xxhash64("key1", "key2").alias("cls")), per_class, "cls").select("doc_id", "class_id", "n_links")
     alone = every.where("key1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return rows_in.union(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, table, unused
+from quarry.llm.common import join_common, materialize, table, unused
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,6 @@ KINDS = (
 )
 MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 PLACEHOLDER = "[SECRET]"
-#: A value is hot if more spans than this, and than this share of all, have it; so there are at most 10,000 such values.
-HOT_ROWS, HOT_SHARE = 10_000, 10_000
 BLOCK, CHUNK = 256, 4096
 _SPAN = "array<struct<start:int,rank:int,stop:int,value:bigint>>"
 
@@ -110,10 +108,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column, max_owners: int = M
     found = materialize(candidates(docs, repository, owner), "candidates")
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     values = materialize(ownership(found).select("value", "n", live.alias("live")), "values")
-    hot = F.col("n") > F.greatest(F.lit(HOT_ROWS), F.lit((values.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE))
     each = found.where(F.size("found") > 0).select("doc_id", "text_hash", "found").distinct().select("doc_id", "text_hash", F.explode("found").alias("s"))
-    each, common = each.select("*", F.col("s.value").alias("value")), F.broadcast(values.where(hot))
-    judged = each.join(common, "value").union(each.join(common, "value", "left_anti").join(values.where(~hot), "value"))
+    judged = join_common(each.select("*", F.col("s.value").alias("value")), values, "value")
     base_rank = sum(not kind.added for kind in KINDS)
     judged = judged.where(F.col("live") | (F.col("s.rank") < base_rank))
     span = F.struct(*(F.col(f"s.{f}").alias(f) for f in ("start", "rank", "stop")), "value", "live")
