@@ -3,7 +3,7 @@
 A rotation that makes the signs of rotated vectors good binary codes (iterative quantisation) is learned on at most
 ``sample_rows`` vectors, with the Hamming radius within which the sample's own neighbours lie. Every vector is indexed:
 equal vectors once, with the smallest ids they have (more can never be among the nearest). Rows and queries are dealt
-over cells of bounded blocks. A cell cuts the codes into substrings and indexes each; by the pigeonhole principle every
+over cells of bounded blocks, a row once for each 16,384 queries and a query once for each 16,384 rows. A cell cuts the codes into substrings and indexes each; by the pigeonhole principle every
 code within the radius agrees with the query in some substring up to a few bits, so probing those buckets finds them
 all. The codes found within the radius are reranked by true distances. Where a cell finds fewer than k, its radius grows.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, sampled, stream, table
 
 SUBSTRINGS = 4
-ROW_BLOCK, QUERY_BLOCK = 16_384, 2_048
+ROW_BLOCK = QUERY_BLOCK = 16_384
 
 
 @dataclass
@@ -139,8 +139,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample_rows: int =
     """query_id, rank, vec_id, score (Euclidean distance) of the k rows nearest to each query, itself left out. rows and
     queries have vec_id and embedding."""
     spark = rows.sparkSession
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == queries.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     clean = [
-        x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+        x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
         for x in (rows, queries)
     ]
     sample = sampled(clean[0], "vec_id", sample_rows).toArrow().combine_chunks().sort_by("vec_id")
