@@ -5,10 +5,11 @@ From every sentence of a text two runs are hashed: the shortest of at least ``sp
 ``min_words`` words. Clauses that a comma, semicolon or colon closes count as sentences, so that a passage that begins
 or ends inside a long sentence is found. A clause of ``min_words`` words or more, which can hold a passage of its own, is
 cut further, before words that a hash of the word chooses (one in four) and before a word said twice in a row: places
-that depend on the words alone, so a passage that no mark closes is cut alike wherever it stands. Runs are joined over
-all documents: the first occurrence is the one in the document with the smallest key, there the earliest one. Sentences
-that any other occurrence covers are removed. A text has one row for each different run, so text said over and over is
-no hot group; runs that a large share of all rows have are few, and are joined by broadcast.
+that depend on the words alone, so a passage that no mark closes is cut alike wherever it stands. Runs meet over all
+documents, in one shuffle: the first occurrence is the one in the document with the smallest key, there the earliest one.
+Sentences that any other occurrence covers are removed. A text has one row for each different run, so text said over and
+over is no hot group. Runs that are common in a sample of the documents are dealt over ``SALTS`` groups each, and their
+first documents are broadcast; the sample decides who gathers where, not what is removed.
 
 A document is a doc_id with a text; its key is the id, a null id first, then a hash of the text. Defined cases: rows that
 repeat an id with other texts are documents of their own, and so are rows with null ids and different texts; rows that
@@ -24,14 +25,15 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Words, materialize, mix, range_hash, slices, table, unused
 
 SPAN, MIN_WORDS = 2, 20
-#: A run is hot if more rows than this, and than this share of all, have it; so there are at most 10,000 such runs.
-HOT_ROWS, HOT_SHARE = 10_000, 10_000
+#: One document in SAMPLE shows which runs are common: those with more than COMMON rows there and more than one row in
+#: SHARE, which are SHARE at most.
+SAMPLE, COMMON, SHARE, SALTS = 64, 50, 10_000, 64
 _NO_ID = -(2**63)
 _RUN = "struct<sentence:int,size:int>"
 
@@ -104,12 +106,18 @@ def spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
 
 def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, runs (first sentence and size of each run to remove), firsts (keys of documents that keep them)."""
-    found = materialize(spans(docs, span, min_words), "spans")
-    shared = found.groupBy("hash").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.max(F.col("more").isNotNull()).alias("again"))
-    shared = materialize(shared.where("n > 1 or again").select("hash", "first", "n"), "shared-runs")
-    hot = F.col("n") > max(HOT_ROWS, found.count() // HOT_SHARE)
-    common = F.broadcast(shared.where(hot))
-    joined = found.join(common, "hash").union(found.join(common, "hash", "left_anti").join(shared.where(~hot), "hash"))
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    counts = materialize(spans(few, span, min_words).groupBy("hash").agg(F.count("*").alias("n")), "sampled-runs")
+    most = max(COMMON, (counts.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    common = F.broadcast(counts.where(F.col("n") > most).select("hash", F.lit(True).alias("common")))
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(-1)
+    dealt = spans(docs, span, min_words).join(common, "hash", "left").withColumn("salt", salt).drop("common")
+    met = Window.partitionBy("hash", "salt")
+    found = dealt.select("*", F.min("doc").over(met).alias("first"), F.count("*").over(met).alias("n"))
+    found = materialize(found.where("n > 1 or salt >= 0 or more is not null").drop("n"), "shared-runs")
+    salted = found.where("salt >= 0")
+    firsts = F.broadcast(salted.groupBy("hash").agg(F.min("first").alias("first")))
+    joined = found.where("salt < 0").unionByName(salted.drop("first").join(firsts, "hash"))
     own = F.array(F.struct("sentence", "size"))
     runs = F.when(F.col("doc") == F.col("first"), F.col("more")).when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))
     gone = joined.select("doc", "first", runs.alias("runs")).where("runs is not null")

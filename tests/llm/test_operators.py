@@ -13,7 +13,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
-from quarry.llm import common, jaccard, neighbours, packing, quality, secrets, sentencepiece, substrings, token_counts, token_output, toxicity  # noqa: E402
+from quarry.llm import common, components, jaccard, neighbours, packing, quality, secrets, sentencepiece, substrings, token_counts, token_output, toxicity  # noqa: E402
 from quarry.llm.common import Words, byte_hashes, mix, range_hash  # noqa: E402
 from quarry.llm.encoding import Encoder  # noqa: E402
 
@@ -92,6 +92,9 @@ def near(text):
 
 def test_jaccard_equals_all_pairs(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 3)  # so that groups are dealt over cells
+    for module in (common, components):  # and classes, buckets, hubs and labels are hot
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
     rng = np.random.default_rng(1)
     base = [f"w{x}" for x in rng.integers(0, 1000, 120)]
     docs = dict(texts)
@@ -100,7 +103,7 @@ def test_jaccard_equals_all_pairs(spark, texts, monkeypatch):
         for at in rng.integers(0, 120, i % 4):
             w[at] = f"x{i}"
         docs[10_000 + i] = " ".join(w)
-    docs |= {20_000: None, 20_001: "", 20_002: "one two", 20_003: "One  two"}
+    docs |= {20_000: None, 20_001: "", 20_002: "one two", 20_003: "One  two"} | {30_000 + i: " ".join(base) for i in range(9)}
     sets = {k: near(v) for k, v in docs.items()}
     links, parent = collections.Counter(), {k: k for k in docs}
 
@@ -120,6 +123,16 @@ def test_jaccard_equals_all_pairs(spark, texts, monkeypatch):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(k, root(k), links[k]) for k in docs}
 
 
+def test_components_of_paths_and_stars(spark, monkeypatch):
+    for module in (common, components):
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(50, i) for i in range(200, 220)] + [(220, 219), (7, 7), (1, 2), (2, 1)]
+    got = {(r.v, r.label) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(i, 100) for i in range(100, 141)} | {(i, 50) for i in (50, *range(200, 221))} | {(1, 1), (2, 1)}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard_cases(odd, empty):
     rows = jaccard.jaccard_join(odd).collect()
     assert len(rows) == len({r.doc_id for r in rows}) == odd.where("doc_id is not null").select("doc_id").distinct().count()
@@ -337,8 +350,8 @@ _ORDER = {}
 
 
 def test_dedup_equals_brute_force(spark, texts, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_ROWS", 2)  # so that some runs are hot
-    monkeypatch.setattr(substrings, "HOT_SHARE", 10**9)
+    for name, value in (("SAMPLE", 2), ("COMMON", 2), ("SHARE", 10**9), ("SALTS", 3)):  # so that some runs are common
+        monkeypatch.setattr(substrings, name, value)
     rng = np.random.default_rng(9)
     plain = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
     passage = plain(70)
@@ -430,8 +443,8 @@ def redacted(t, live):
 
 
 def test_secrets_equal_brute_force(spark, texts, monkeypatch):
-    monkeypatch.setattr(secrets, "HOT_ROWS", 3)  # so that some values are hot
-    monkeypatch.setattr(secrets, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # so that some values are hot
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
     rng = np.random.default_rng(2)
     key = lambda n, letters="abcdef0123456789": "".join(rng.choice(list(letters), n))
     shapes = [f"Bearer {key(24)}==", f"ghp_{key(36)}", f"xoxb-{key(14)}", f"eyJ{key(9)}.{key(9)}.{key(9)}", f"ftp://user:{key(9)}@host", "-----BEGIN RSA PRIVATE KEY-----", f"token = '{key(20)}'", f"AKIA{key(16, 'ABC12')}"]
