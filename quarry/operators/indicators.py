@@ -60,7 +60,6 @@ def with_oscillators(bars: DataFrame) -> DataFrame:
     low, high = F.min(F.col("low")).over(w14), F.max(F.col("high")).over(w14)
     mean, spread = F.avg(F.col("close")).over(w20), F.stddev_pop(F.col("close")).over(w20)
     tps = F.collect_list("_tp").over(w20)
-    deviation = F.aggregate(tps, F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_mean"))) / 20
     closes = F.collect_list("close").over(w25)
     t = t.select("*", F.avg("_tp").over(w20).alias("_mean"), tps.alias("_tps"), closes.alias("_c"), ratio(100 * (F.col("close") - low), high - low).alias("_k"))
     t = t.withColumn("_dev", F.aggregate("_tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_mean"))) / 20)
@@ -130,10 +129,14 @@ def return_classes(rows: DataFrame, value: str = "fwd_20", day: str = "d", high:
     return ranked.withColumn("Target_Class", cls).where(F.col("Target_Class").isNotNull())
 
 
-def forward_close(bars: DataFrame, days: int = 7) -> Column:
-    """As-of join forward, as a window: the first close at least ``days`` calendar days on."""
+def with_forward_close(bars: DataFrame, days: int = 7, name: str = "next_close") -> DataFrame:
+    """As-of join forward: the first close at least ``days`` calendar days on. Each row stands once with its own day and
+    once with the day it asks for; from the last day back, the close seen last is the one wanted. One sort, linear."""
     number = F.datediff(F.col("d"), F.lit("1970-01-01"))
-    return F.first(F.col("close")).over(Window.partitionBy("ticker").orderBy(number).rangeBetween(days, Window.unboundedFollowing))
+    both = bars.withColumn("_q", F.explode(F.array(F.struct(number.alias("at"), F.lit(0).alias("asks")), F.struct((number + days).alias("at"), F.lit(1).alias("asks")))))
+    w = Window.partitionBy("ticker").orderBy(F.col("_q.at").desc(), F.col("_q.asks")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("_q.asks") == 0, F.struct("close")), ignorenulls=True).over(w)
+    return both.withColumn(name, seen["close"]).where("_q.asks = 1").drop("_q")
 
 
 def as_of(rows: DataFrame, day: str, key: str = "ticker", time: str = "d") -> DataFrame:
@@ -149,7 +152,7 @@ def forward_targets(bars: DataFrame, benchmark: DataFrame, ahead: int = 7, width
     is 5 % either side and the target 2."""
     b = benchmark.select("d", (F.lead("bench", ahead).over(Window.orderBy("d")) / F.col("bench") - 1).alias("bench_fwd"))
     b = b.crossJoin(b.agg(F.stddev_samp("bench_fwd").alias("_s")))
-    t = bars.withColumn("next_close", forward_close(bars, 7)).withColumn("ret_week", F.coalesce(ratio(F.col("next_close"), F.col("close")) - 1, F.lit(0.0))).join(b, "d", "left")
+    t = with_forward_close(bars, 7).withColumn("ret_week", F.coalesce(ratio(F.col("next_close"), F.col("close")) - 1, F.lit(0.0))).join(b, "d", "left")
     t = t.withColumn("band_low", F.coalesce(F.col("bench_fwd") - width * F.col("_s"), F.lit(-0.05))).withColumn("band_high", F.coalesce(F.col("bench_fwd") + width * F.col("_s"), F.lit(0.05)))
     target = F.when(F.col("bench_fwd").isNull(), 2).when(F.col("ret_week") < F.col("band_low"), 1).when(F.col("ret_week") > F.col("band_high"), 3).otherwise(2)
     t = t.withColumn("Target", target).withColumn("Target3", (F.col("Target") == 3).cast("int"))

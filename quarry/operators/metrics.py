@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.windows import average_rank, flag, percentile_rank
+from quarry.sources.tables import stored
 
 WEEK = "week_key"
 
@@ -22,7 +23,8 @@ def top(scored: DataFrame, k: int, by: str = WEEK, best: bool = True) -> DataFra
 
 
 def known(scored: DataFrame) -> DataFrame:
-    return scored.where("score is not null and y is not null")
+    """Rows with a label and a finite score."""
+    return scored.where("score is not null and y is not null and not isnan(score) and abs(score) < double('infinity')")
 
 
 def precision_by_week(scored: DataFrame, k: int) -> DataFrame:
@@ -51,9 +53,10 @@ def ndcg(scored: DataFrame, k: int = 20) -> DataFrame:
 
 
 def spread(scored: DataFrame, k: int = 20) -> DataFrame:
-    """Mean weekly return of the top k less that of the bottom k."""
+    """Mean weekly return of the top k less that of the bottom k; without returns, of the labels' means."""
+    value = "fwd_ret" if "fwd_ret" in scored.columns else "y"
     rows = scored.where("score is not null")
-    sides = [top(rows, k, best=b).groupBy(WEEK).agg(F.avg("fwd_ret").alias("r")).agg(F.avg("r").alias(name)) for b, name in ((True, "top_ret"), (False, "bottom_ret"))]
+    sides = [top(rows, k, best=b).groupBy(WEEK).agg(F.avg(value).alias("r")).agg(F.avg("r").alias(name)) for b, name in ((True, "top_ret"), (False, "bottom_ret"))]
     return sides[0].crossJoin(sides[1]).withColumn("spread", F.col("top_ret") - F.col("bottom_ret"))
 
 
@@ -90,10 +93,19 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 
 def _thresholds(scored: DataFrame) -> DataFrame:
-    """Distinct scores with their positives and negatives and those at or above them."""
+    """Distinct scores with their positives and negatives and those at or above them. Scores are dealt over ranges, which
+    are written so that they stay; sums run over the few ranges, and within each."""
     by = known(scored).groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    up, every = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return by.select("*", *(F.sum(c).over(w).alias(a) for c, w, a in (("pos", up, "pos_up"), ("neg", up, "neg_up"), ("pos", every, "all_pos"), ("neg", every, "all_neg"))))
+    ranged = stored(by.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "scores")
+    ranges = ranged.groupBy("range").agg(F.min("score").alias("least"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    above, every = Window.orderBy(F.col("least").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    ranges = ranges.select(
+        "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in "pn"), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg")
+    )
+    up = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(ranges), "range").select(
+        "score", "pos", "neg", "all_pos", "all_neg", (F.col("p_above") + F.sum("pos").over(up)).alias("pos_up"), (F.col("n_above") + F.sum("neg").over(up)).alias("neg_up")
+    )
 
 
 def permutation_test(scored: DataFrame, k: int = 20, n: int = 500) -> DataFrame:
@@ -274,3 +286,41 @@ def best_weight(scored: DataFrame, by: str | None = "fold", k: int = 20) -> Data
 def class_ratio(scored: DataFrame) -> DataFrame:
     n = lambda v: F.greatest(F.count(F.when(F.col("y") == v, 1)), F.lit(1))
     return scored.agg((n(0) / n(1)).alias("ratio"))
+
+
+def anchor_by_benchmark(panel: DataFrame, benchmark: int | str) -> DataFrame:
+    """anchor: the benchmark ticker's last week, or the last of all where it has none."""
+    return panel.agg(F.coalesce(F.max(F.when(F.col("ticker") == benchmark, F.col(WEEK))), F.max(WEEK)).alias("anchor"))
+
+
+def placed_by_keys(scored: DataFrame, keys: list[str], by: str = WEEK) -> DataFrame:
+    """place from 1 in each week by several scores, the first that differs deciding, and then by ticker."""
+    order = [F.col(c).desc_nulls_last() for c in keys]
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order, "ticker")))
+
+
+def label_correlations(panel: DataFrame, columns: list[str], label: str = "y", least: int = 50) -> DataFrame:
+    """feature, r: absolute correlation of each column with the label, over more than ``least`` rows that have both."""
+    both = [F.col(c).isNotNull() & F.col(label).isNotNull() for c in columns]
+    row = panel.agg(*(F.when(F.count(F.when(b, 1)) > least, F.abs(F.corr(c, label))).alias(c) for c, b in zip(columns, both, strict=True)))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns)))).where("r is not null")
+
+
+def new_feature_positions(importance: DataFrame, new: list[str], alert: int = 30) -> DataFrame:
+    """Of importance (feature, importance): place, feature, importance of the new features, whether the place is beyond
+    ``alert``, and whether it is the best or the worst of the new ones."""
+    ranked = importance.withColumn("place", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))).where(F.col("feature").isin(new))
+    every = Window.partitionBy()
+    return ranked.select(
+        "place", "feature", "importance", (F.col("place") > alert).alias("alert"),
+        (F.col("place") == F.min("place").over(every)).alias("best"), (F.col("place") == F.max("place").over(every)).alias("worst"),
+    )
+
+
+def run_deltas(runs: DataFrame, measure: str, base: str = "BASELINE") -> DataFrame:
+    """place, run_label, the measure, its change from the base run, and whether the run is the best; runs has a row for
+    each."""
+    order = Window.orderBy(F.col(measure).desc_nulls_last(), "run_label")
+    b = runs.where(F.col("run_label") == base).agg(F.max(measure).alias("_base"))
+    out = runs.crossJoin(F.broadcast(b)).withColumn("place", F.row_number().over(order))
+    return out.select("place", "run_label", measure, (F.col(measure) - F.col("_base")).alias("change"), (F.col("place") == 1).alias("best"))

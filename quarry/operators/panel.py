@@ -30,7 +30,7 @@ def roll(agg, value: Column, n: int, least: int) -> Column:  # noqa: ANN001
 
 def clean_name(name: str) -> str:
     """Runs of characters other than letters, digits and _ become one _, none at the ends."""
-    return re.sub(r"_+", "_", re.sub(r"\W+", "_", name.strip())).strip("_")
+    return re.sub(r"[\W_]+", "_", name).strip("_")
 
 
 def cleaned_columns(df: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def finite(c: Column) -> Column:
 
 def filled(c: Column, backward_first: bool = True) -> Column:
     """Gaps of a series filled from the next value and then the last one, or the other way round."""
-    back = F.first(c, ignorenulls=True).over(series(KEY, TIME).rowsBetween(0, Window.unboundedFollowing))
+    back = F.last(c, ignorenulls=True).over(Window.partitionBy(KEY).orderBy(F.col(TIME).desc()).rowsBetween(Window.unboundedPreceding, 0))
     forth = F.last(c, ignorenulls=True).over(series(KEY, TIME).rowsBetween(Window.unboundedPreceding, 0))
     return F.coalesce(back, forth) if backward_first else F.coalesce(forth, back)
 
@@ -141,12 +141,18 @@ def with_lottery(panel: DataFrame, ret: str = "Ret_1w_calc") -> DataFrame:
 
 
 def with_masks(panel: DataFrame, ret: str, price: float = 5.0, dollars: float = 5e6, still: float = 0.2) -> DataFrame:
-    """Universe masks: price, dollar volume, share of unmoved weeks, and all three."""
-    traded = roll(F.avg, F.col("close") * F.nullif(F.col("volume"), F.lit(0.0)), 4, 2)
+    """Universe masks: price, dollar volume, share of unmoved weeks, and all three. Without a volume, relative volume
+    stands for it, to be over a half; without either, all rows pass."""
+    if "volume" in panel.columns:
+        active = flag(roll(F.avg, F.col("close") * F.nullif(F.col("volume"), F.lit(0.0)), 4, 2) > dollars)
+    elif "Vol_Rel_20" in panel.columns:
+        active = flag(roll(F.avg, F.col("close") * F.col("Vol_Rel_20"), 4, 2) > 0.5)
+    else:
+        active = F.lit(True)
     unmoved = F.coalesce(F.abs(F.col(ret)) < 1e-4, F.lit(False)).cast("double")
     w12 = last_rows(12, KEY, TIME)
     share = F.when(F.count(unmoved).over(w12) >= 6, F.avg(unmoved).over(w12))
-    p = panel.select("*", flag(F.col("close") > price).alias("univ_price"), flag(traded > dollars).alias("univ_volume"), flag(share < still).alias("univ_moves"))
+    p = panel.select("*", flag(F.col("close") > price).alias("univ_price"), active.alias("univ_volume"), flag(share < still).alias("univ_moves"))
     return p.withColumn("univ_pass", F.col("univ_price") & F.col("univ_volume") & F.col("univ_moves"))
 
 
@@ -167,12 +173,6 @@ def regime(benchmark: DataFrame, value: str = "bench_close") -> DataFrame:
     return b.select(TIME, "r4", "vol4", r.alias("regime"))
 
 
-def decay_weight(half_life_weeks: float = 26) -> Column:
-    """0.5 ** (age in weeks / half life), age from the latest week of the set."""
-    latest = F.max(TIME).over(Window.partitionBy())
-    return F.pow(F.lit(0.5), F.datediff(latest, F.col(TIME)) / 7 / half_life_weeks)
-
-
 # --- cross-section --------------------------------------------------------------------------------------------------
 
 

@@ -19,6 +19,22 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tol
     return j.withColumn("finding", side).where("finding is not null").drop("_a", "_b")
 
 
+def compare_places(a: DataFrame, b: DataFrame, columns: list[str], tolerance: float = 1e-4) -> DataFrame:
+    """Top lists (place, ticker, columns) held against each other place by place: one row of the numbers of rows on each
+    side, places whose tickers differ, the first of them, and places at which some column differs by more than the
+    tolerance or is missing on one side."""
+    left = a.select("place", F.col("ticker").alias("_ta"), *(F.col(c).alias(f"_a{k}") for k, c in enumerate(columns)))
+    right = b.select("place", F.col("ticker").alias("_tb"), *(F.col(c).alias(f"_b{k}") for k, c in enumerate(columns)))
+    j = left.join(right, "place", "full")
+    other = ~F.col("_ta").eqNullSafe(F.col("_tb"))
+    off = F.lit(False)
+    for k in range(len(columns)):
+        x, y = F.col(f"_a{k}"), F.col(f"_b{k}")
+        off = off | (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tolerance, F.lit(False))
+    count = lambda test: F.count(F.when(test, 1))
+    return j.agg(count(F.col("_ta").isNotNull()).alias("rows_a"), count(F.col("_tb").isNotNull()).alias("rows_b"), count(other).alias("tickers_differ"), F.min(F.when(other, F.col("place"))).alias("first_place"), count(off).alias("scores_differ"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """A 12-digit hexadecimal fingerprint of all rows, whatever their order, and their number."""
     row = F.xxhash64(*df.columns)

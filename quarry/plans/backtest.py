@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import metrics, panel, validate
-from quarry.operators.model import Fitted, Settings, fit_and_score, stack
+from quarry.operators.model import Fitted, Settings, at_once, calibrate, calibrated, fit_and_score, stack
+from quarry.sources import tables
 
 WEEK = "week_key"
 
@@ -63,7 +64,8 @@ def run_price_variant(c: Context, low: float | None, high: float | None, s: Sett
     bounds = validate.overlapping_bounds if overlapping else validate.fold_bounds
     f = fit_and_score(pool, rows.join(F.broadcast(late), WEEK, "left_semi"), list(c.features), validate.splits(pool, bounds), s)
     if stacked:
-        f.oof = stack(f.oof, s.k)
+        f.oof, f.scored = stack(f.oof, f.scored, s.k)
+        f.scored = calibrated(f.scored, calibrate(f.oof))
     return _measured(f, s).withColumn("low", F.lit(low).cast("double")).withColumn("high", F.lit(high).cast("double"))
 
 
@@ -77,12 +79,22 @@ def run_single_backtest(c: Context, anchor: str, features: list[str] | None = No
 
 
 def run_backtest(c: Context, anchors: list[str], s: Settings = Settings(), folds: int = 6) -> dict[str, DataFrame]:
-    """All anchors that the panel has, one after the other: each is a chain of Spark jobs. Tables: scored, summary,
-    attribution, averages, absent (anchors that the panel lacks)."""
+    """All anchors that the panel has, a few at a time: each is a chain of Spark jobs, whose scores are written. Tables:
+    scored, summary, attribution, averages, absent (anchors that the panel lacks). Without any anchor all but the last
+    are empty."""
     wanted = c.rows.sparkSession.createDataFrame([(a,) for a in anchors], "a string").select(F.col("a").cast("date").alias(WEEK))
     weeks = c.rows.select(WEEK).distinct()
     there = [str(x[0]) for x in wanted.join(weeks, WEEK, "left_semi").orderBy(WEEK).collect()]
-    parts = [run_single_backtest(c, a, s=s, folds=folds) for a in there]
+    keep = ["ticker", WEEK, "sector", "close", "y", "fwd_ret", "bench_ret", "prob", "ranker", "ranker_pct", "score", "prob_final", "beat"]
+
+    def one(anchor: str) -> DataFrame:
+        rows = run_single_backtest(c, anchor, s=s, folds=folds)
+        return tables.stored(rows.select(*(x for x in keep if x in rows.columns)), "backtest")
+
+    parts = at_once([lambda a=a: one(a) for a in there], 3)
+    if not parts:
+        kinds = dict(c.rows.dtypes) | {"prob": "double", "ranker": "double", "ranker_pct": "double", "score": "double", "prob_final": "double", "beat": "int"}
+        parts = [c.rows.sparkSession.createDataFrame([], ", ".join(f"`{x}` {kinds[x]}" for x in keep if x in kinds))]
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
@@ -97,3 +109,17 @@ def run_ablation(c: Context, runs: dict[str, tuple[list[str], str | None]], s: S
         row = run_pipeline(c, features, mask, s, folds)["metrics"].withColumn("run_label", F.lit(label))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def run_variants(c: Context, bands: dict[str, tuple[float | None, float | None]], s: Settings = Settings(), stacked: bool = True, overlapping: bool = True) -> DataFrame:
+    """One row of metrics for each price band, by precision at k: the older pipelines' runs side by side."""
+    rows = at_once([lambda name=name, band=band: run_price_variant(c, *band, s, stacked, overlapping).withColumn("run_label", F.lit(name)) for name, band in bands.items()], 3)
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out.orderBy(F.col(f"p_at_{s.k}").desc_nulls_last(), "run_label")
+
+
+def save(found: dict[str, DataFrame], root: str, run_label: str, anchor: str | None = None) -> None:
+    """The tables of a run or a backtest under root, partitioned by run and, if given, anchor date."""
+    tables.write_tables(found, root, run_label=run_label, **({"anchor_date": anchor} if anchor else {}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.plans.comparison_queries import comparisons
 from quarry.plans.daily_queries import daily
 from quarry.plans.model_queries import models
 from quarry.plans.registry import Query
@@ -10,8 +11,8 @@ from quarry.plans.weekly_queries import weeks
 
 
 def queries() -> dict[str, Query]:
-    return {**daily.queries, **weeks.queries, **ranking.queries, **models.queries}
+    return {**daily.queries, **weeks.queries, **ranking.queries, **comparisons.queries, **models.queries}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**daily.sql, **weeks.sql, **ranking.sql, **models.sql}
+    return {**daily.sql, **weeks.sql, **ranking.sql, **comparisons.sql, **models.sql}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.windows import percentile_rank
-from quarry.operators import indicators, panel, parity, rules
+from quarry.operators import indicators, metrics, panel, parity, rules
 from quarry.plans.registry import Catalog, r, shown
 from quarry.sources import tables
 from quarry.sources.fixtures import BARS_SQL, bars, daily_benchmark
@@ -68,7 +68,7 @@ _OSC = ["MFI_14", "PctB", "CCI_20", "STOCHk", "STOCHd", "Aroon_up", "Aroon_down"
 _ROWS = "over (partition by ticker order by d rows between {} preceding and current row)"
 
 
-@daily.add("oscillators", f"""with {BARS_SQL}, a as (select *, (high + low + close) / 3 as tp, row_number() over w as n from bars {_W}),
+_OSC_SQL = f"""a as (select *, (high + low + close) / 3 as tp, row_number() over w as n from bars {_W}),
 b as (select *, tp - lag(tp) over w as up, avg(tp) {_ROWS.format(19)} as mean_tp, list(tp) {_ROWS.format(19)} as tps, list(close) {_ROWS.format(24)} as cs,
   100 * (close - min(low) {_ROWS.format(13)}) / nullif(max(high) {_ROWS.format(13)} - min(low) {_ROWS.format(13)}, 0) as k0,
   avg(close) {_ROWS.format(19)} as m, stddev_pop(close) {_ROWS.format(19)} as s from a {_W}),
@@ -76,7 +76,10 @@ c as (select *, sum(case when up > 0 then tp * volume else 0 end) {_ROWS.format(
   list_sum(list_transform(tps, lambda x: abs(x - mean_tp))) / 20 as dev, case when n >= 14 then k0 end as k1,
   case when n >= 25 then 100 * (24 - (list_position(cs, list_max(cs)) - 1)) / 24.0 end as au, case when n >= 25 then 100 * (24 - (list_position(cs, list_min(cs)) - 1)) / 24.0 end as ad from b),
 e as (select *, {_win('avg', 'k1', 3, 3)} as k from c), f as (select *, {_win('avg', 'k', 3, 3)} as dd from e),
-g as (select *, lag(k) over w as pk, lag(dd) over w as pd from f {_W})
+g as (select *, lag(k) over w as pk, lag(dd) over w as pd from f {_W})"""
+
+
+@daily.add("oscillators", f"""with {BARS_SQL}, {_OSC_SQL}
 select ticker, d, {r('case when n >= 15 then 100 * pos / nullif(pos + neg, 0) end', 'MFI_14')}, {r('case when n >= 20 then (close - (m - 2 * s)) / nullif(4 * s, 0) end', 'PctB')},
 {r('case when n >= 20 then (tp - mean_tp) / nullif(0.015 * dev, 0) end', 'CCI_20')}, {r('k', 'STOCHk')}, {r('dd', 'STOCHd')}, {r('au', 'Aroon_up')}, {r('ad', 'Aroon_down')}, {r('au - ad', 'Aroon_Diff_25')},
 cast(case when pk <= pd and k > dd then 1 when pk >= pd and k < dd then -1 else 0 end as bigint) as STOCH_Cross from g""")
@@ -84,7 +87,11 @@ def oscillators(spark: SparkSession, d: str) -> DataFrame:
     return shown(indicators.with_oscillators(bars(spark, d)).select("ticker", "d", *_OSC, "STOCH_Cross"))
 
 
-def _recurrent_sql() -> str:
+_RECURRENT_FINAL = f"""select ticker, d, {r('macd', 'MACD')}, {r('macd - sig', 'MACDh')}, {r('(macd - sig) - lag(macd - sig, 5) over w', 'MACD_Hist_Slope_5')}, {r('100 * gain / nullif(gain + loss, 0)', 'RSI_14')},
+{r('atr / nullif(close, 0) * 100', 'ATRp_14')}, {r('adx', 'ADX_14')} from f {_W}"""
+
+
+def _recurrent_sql(final: str = _RECURRENT_FINAL, first: str = f"with recursive {BARS_SQL},") -> str:
     """A recursive walk over row numbers that carries count, seed sum and value of each smoothed column."""
     steps = [("e12", 12, "ema", "b.close"), ("e26", 26, "ema", "b.close"), ("sig", 9, "ema", None), ("gain", 14, "rma", "b.g"), ("loss", 14, "rma", "b.l"), ("atr", 14, "rma", "b.tr"), ("p", 14, "rma", "b.pdm"), ("m", 14, "rma", "b.mdm"), ("adx", 14, "rma", None)]
 
@@ -104,7 +111,7 @@ def _recurrent_sql() -> str:
         return f"""{k}_w(ticker, rn, x, c, s) as (select ticker, cast(0 as bigint), cast(null as double), 0, cast(0 as double) from bars group by ticker union all
   select b.ticker, b.rn, b.{source}, w.c + (case when b.{source} is null then 0 else 1 end), {value(k, n, kind, f'b.{source}', 'w.c', 'w.s')} from {k}_w w join {of} b on b.ticker = w.ticker and b.rn = w.rn + 1)"""
 
-    return f"""with recursive {BARS_SQL},
+    return f"""{first}
 h as (select *, row_number() over w as rn, lag(close) over w as c1, lag(high) over w as h1, lag(low) over w as l1 from bars {_W}),
 x as (select ticker, d, rn, close, greatest(high - low, abs(high - c1), abs(low - c1)) as tr, case when c1 is not null then greatest(close - c1, 0) end as g,
   case when c1 is not null then greatest(c1 - close, 0) end as l, case when c1 is not null then case when high - h1 > l1 - low and high - h1 > 0 then high - h1 else 0 end end as pdm,
@@ -116,8 +123,7 @@ z as (select *, e12 - e26 as macd, case when p + m = 0 then null else 100 * abs(
 {chained('sig', 9, 'ema', 'macd', 'z')}, {chained('adx', 14, 'rma', 'dx', 'z')},
 f as (select z.*, case when sw.x is not null and sw.c >= 9 then sw.s end as sig, case when aw.x is not null and aw.c >= 14 then aw.s end as adx
   from z join sig_w sw on sw.ticker = z.ticker and sw.rn = z.rn join adx_w aw on aw.ticker = z.ticker and aw.rn = z.rn)
-select ticker, d, {r('macd', 'MACD')}, {r('macd - sig', 'MACDh')}, {r('(macd - sig) - lag(macd - sig, 5) over w', 'MACD_Hist_Slope_5')}, {r('100 * gain / nullif(gain + loss, 0)', 'RSI_14')},
-{r('atr / nullif(close, 0) * 100', 'ATRp_14')}, {r('adx', 'ADX_14')} from f {_W}"""
+{final}"""
 
 
 @daily.add("recurrent_indicators", _recurrent_sql())
@@ -175,7 +181,7 @@ def as_of_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 _RULE = f"""with {TREND_SQL}, {_BENCH}, bl as (select d, bench / lag(bench, 20) over (order by d) - 1 as b1, bench / lag(bench, 60) over (order by d) - 1 as b3, bench / lag(bench, 126) over (order by d) - 1 as b6 from db),
 s0 as (select trend.*, coalesce(RET_1M - b1, 0) as RS1M, coalesce(RET_3M - b3, 0) as RS3M, coalesce(RET_6M - b6, 0) as RS6M, coalesce(SMA_50 / nullif(SMA_200, 0), 1) as ma, coalesce(close / nullif(SMA_200, 0), 1) as cm,
-  coalesce(close > SMA_200, false) as above from trend left join bl using (d) where n % 20 = 0),
+  coalesce(close > SMA_200, false) as above from trend left join bl using (d)),
 s1 as (select *, coalesce(Pct_in_52w_range >= 0.9 and Vol_Rel_20 < 1.2, false) as quiet, coalesce(RS1M >= 0.02, false)::int + coalesce(RS3M >= 0.04, false)::int + coalesce(RS6M >= 0, false)::int as strong from s0),
 s2 as (select *, round((above::int + (ma >= 1.02)::int + (cm >= 1.02)::int) / 5.0 * 100, 0) as Trend_Score, round(coalesce(Vol_Rel_20 >= 1.2, false)::int / 4.0 * 100, 0) as Momentum_Score,
   round((strong + coalesce(Ret13_Ratio >= 1.1, false)::int) / 4.0 * 100, 0) as RelStr_Score, round((1 + (not quiet)::int) / 4.0 * 100, 0) as RiskPos_Score from s1)
@@ -188,21 +194,46 @@ cast(greatest(0, (RS1M >= 0.1)::int - (ma >= 1.18)::int) as bigint) as ScoreSimp
 
 @daily.add("rule_scores_defaults", _RULE)
 def rule_scores_defaults(spark: SparkSession, d: str) -> DataFrame:
-    """Rules where RSI, MACD, ADX, Aroon, %B and ATR are absent, so that defaults apply; every twentieth bar."""
+    """Rules where RSI, MACD, ADX, Aroon, %B and ATR are absent, so that defaults apply."""
     b = bars(spark, d)
-    t = indicators.relative_strength(indicators.with_trend(b), daily_benchmark(b)).withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("d")))
-    return shown(rules.rule_scores(t.where("n % 20 = 0")).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
+    t = indicators.relative_strength(indicators.with_trend(b), daily_benchmark(b))
+    return shown(rules.rule_scores(t).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
 
 
-@daily.add("rule_scores_defaults_all", _RULE.replace(" where n % 20 = 0", ""))
+@daily.add("rule_scores_defaults_all", _RULE)
 def rule_scores_defaults_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same rules on every bar of every ticker."""
-    b = bars(spark, d)
-    t = indicators.relative_strength(indicators.with_trend(b), daily_benchmark(b))
-    return shown(rules.rule_scores(t).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
+    """The same, under its older name."""
+    return rule_scores_defaults(spark, d)
+
+
+_RULES_SQL = f"""with recursive {TREND_SQL}, {_BENCH}, bl as (select d, bench / lag(bench, 20) over (order by d) - 1 as b1, bench / lag(bench, 60) over (order by d) - 1 as b3,
+  bench / lag(bench, 126) over (order by d) - 1 as b6 from db),
+osc as (with {_OSC_SQL} select ticker, d, case when n >= 20 then (close - (m - 2 * s)) / nullif(4 * s, 0) end as PctB, au - ad as aroon from g),
+rec as ({_recurrent_sql(f"""select ticker, d, macd as MACD, (macd - sig) - lag(macd - sig, 5) over w as slope, 100 * gain / nullif(gain + loss, 0) as RSI, atr / nullif(close, 0) * 100 as atrp, adx from f {_W}""", "with recursive")}),
+s0 as (select trend.*, PctB, aroon, MACD, slope, RSI, atrp, adx, coalesce(RET_1M - b1, 0) as RS1M, coalesce(RET_3M - b3, 0) as RS3M, coalesce(RET_6M - b6, 0) as RS6M,
+  coalesce(SMA_50 / nullif(SMA_200, 0), 1) as ma, coalesce(close / nullif(SMA_200, 0), 1) as cm, coalesce(close > SMA_200, false) as above
+  from trend join osc using (ticker, d) join rec using (ticker, d) left join bl using (d)),
+s1 as (select *, coalesce(Vol_Rel_20 >= 1.2, false) as loud, coalesce(Pct_in_52w_range >= 0.9, false) as near, coalesce(adx >= 20, false) as moving,
+  coalesce(RS1M >= 0.02, false)::int + coalesce(RS3M >= 0.04, false)::int + coalesce(RS6M >= 0, false)::int as strong from s0),
+s2 as (select *, near and loud and moving as breakout, near and coalesce(Vol_Rel_20 < 1.2, false) as quiet,
+  coalesce(Pct_in_52w_range between 0.2 and 0.5 and Drawdown_52w between 0.2 and 0.4 and slope > 0 and RSI >= 45, false) as recovery,
+  above and coalesce(ma >= 1 and aroon >= 20 and adx between 18 and 40 and RSI between 45 and 55 and PctB between 0.2 and 0.5 and slope > 0, false) as pullback,
+  coalesce(RSI between 28 and 40 and slope > 0 and PctB <= 0.2 and adx < 25, false) as rebound from s1),
+s3 as (select *,
+  round((above::int + (ma >= 1.02)::int + (cm >= 1.02)::int + coalesce(aroon >= 50, false)::int + coalesce(adx between 18 and 35, false)::int) / 5.0 * 100, 0) as Trend_Score,
+  round((coalesce(RSI between 58 and 72, false)::int + coalesce(MACD > 0, false)::int + coalesce(slope > 0, false)::int + (loud or coalesce(PctB between 0.8 and 1.1, false))::int) / 4.0 * 100, 0) as Momentum_Score,
+  round((strong + coalesce(Ret13_Ratio >= 1.1, false)::int) / 4.0 * 100, 0) as RelStr_Score,
+  round((breakout::int + recovery::int + coalesce(atrp <= 4, false)::int + (not quiet)::int) / 4.0 * 100, 0) as RiskPos_Score,
+  concat_ws(' | ', case when pullback then 'Trend+Pullback' end, case when breakout then 'Breakout+Vol' end, case when strong >= 2 then 'RS Leader' end,
+    case when recovery then 'Value Recov' end, case when rebound then 'Rebound' end, case when quiet then 'NearHigh NO Vol' end) as tags from s2)
+select ticker, d, {r('Trend_Score')}, {r('Momentum_Score')}, {r('RelStr_Score')}, {r('RiskPos_Score')}, cast(quiet::int as bigint) as NearHigh_NoVol,
+case when tags <> '' then tags when Trend_Score = greatest(Trend_Score, Momentum_Score, RelStr_Score, RiskPos_Score) then 'Trend'
+  when Momentum_Score = greatest(Momentum_Score, RelStr_Score, RiskPos_Score) then 'Momentum' when RelStr_Score >= RiskPos_Score then 'RelStr' else 'RiskPos' end as Setup_Tag,
+cast(greatest(0, 2 * coalesce(atrp >= 3 and atrp <= 5.5, false)::int + coalesce(atrp > 5.5 and atrp <= 8, false)::int - 2 * coalesce(atrp < 1.8, false)::int + (RS1M >= 0.1)::int
+  + coalesce(atrp <= 3 and RET_6M <= -0.08, false)::int + coalesce(atrp > 3 and RET_1M > -0.08, false)::int - (ma >= 1.18)::int - coalesce(PctB >= 0.9 and Vol_Rel_20 < 1.2, false)::int) as bigint) as ScoreSimple from s3"""
 
 
-@daily.add("rule_scores")
+@daily.add("rule_scores", _RULES_SQL)
 def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     """Rules over the full set of indicators."""
     b = bars(spark, d)
@@ -213,16 +244,33 @@ def rule_scores(spark: SparkSession, d: str) -> DataFrame:
     return shown(rules.rule_scores(full).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
 
 
-@daily.add("indicator_coverage", f"""with {TREND_SQL} select ticker, count(*) as n_rows, max(d) as last_day, cast((count(SMA_50) > 0)::int + (count(SMA_200) > 0)::int + (count(RET_6M) > 0)::int + (count(Drawdown_52w) > 0)::int as bigint) as present,
-case when (count(SMA_50) > 0)::int + (count(SMA_200) > 0)::int + (count(RET_6M) > 0)::int + (count(Drawdown_52w) > 0)::int >= 4 then 'WARN' else 'FAIL' end as status from trend group by ticker""")
+#: The indicators that the coverage report expects, in its order.
+EXPECTED = [
+    "MFI_14", "MACDh_12_26_9", "PctB", "OBV_trend", "STOCH_Cross", "ADX_14", "MA_SLOPE_20", "Cross_Signal", "ATRp_14", "VROC_14", "Consecutive_Volume_Growth", "FIB_Range_90D", "RSI_14", "MACD_Hist_Slope_5",
+    "RET_1M", "RET_3M", "RET_6M", "Aroon_Diff_25", "Vol_Rel_20", "Vol_StreakUp", "Days_since_Golden", "Days_since_Death", "Ret13_Ratio", "Pct_in_52w_range", "Drawdown_52w", "SMA_50", "SMA_200",
+    "RS1M_SPY", "RS3M_SPY", "RS6M_SPY",
+]
+_TREND_EXPECTED = [c for c in EXPECTED if c in _TREND]
+_COVERED = " + ".join(f"(count({c}) > 0)::int" for c in _TREND_EXPECTED)
+#: Always there: Cross_Signal and the streaks, days since crossings, STOCH_Cross, relative strength.
+_COVERAGE_SQL = f"""with recursive {TREND_SQL},
+osc as (with {_OSC_SQL} select ticker, d, case when n >= 15 then 100 * pos / nullif(pos + neg, 0) end as MFI, case when n >= 20 then (close - (m - 2 * s)) / nullif(4 * s, 0) end as PctB, au - ad as aroon from g),
+rec as ({_recurrent_sql(f"""select ticker, d, macd - sig as hist, (macd - sig) - lag(macd - sig, 5) over w as slope, 100 * gain / nullif(gain + loss, 0) as RSI, atr / nullif(close, 0) * 100 as atrp, adx from f {_W}""", "with recursive")}),
+p as (select ticker, count(*) as n_rows, max(d) as last_day, cast(9 + {_COVERED} + (count(MFI) > 0)::int + (count(PctB) > 0)::int + (count(aroon) > 0)::int + (count(hist) > 0)::int + (count(slope) > 0)::int
+  + (count(RSI) > 0)::int + (count(atrp) > 0)::int + (count(adx) > 0)::int as bigint) as present from trend join osc using (ticker, d) join rec using (ticker, d) group by ticker having count(*) >= 100)
+select *, case when present = 30 then 'PASS' when present >= 24 then 'WARN' else 'FAIL' end as status from p"""
+
+
+@daily.add("indicator_coverage", _COVERAGE_SQL)
 def indicator_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return shown(metrics_coverage(indicators.with_trend(indicators.enough_history(bars(spark, d), 1))))
-
-
-def metrics_coverage(t: DataFrame) -> DataFrame:
-    from quarry.operators.metrics import coverage
-
-    return coverage(t, ["SMA_50", "SMA_200", "RET_6M", "Drawdown_52w", "never_there"])
+    """Tickers with enough history, and how many of the expected indicators each has."""
+    b = indicators.enough_history(bars(spark, d))
+    t = indicators.with_cross_days(indicators.relative_strength(indicators.with_trend(b), daily_benchmark(b)))
+    osc = indicators.with_oscillators(b).select("ticker", "d", "MFI_14", "PctB", "Aroon_Diff_25", "STOCH_Cross")
+    rec = indicators.with_recurrent(b).select("ticker", "d", "MACDh", "RSI_14", "MACD_Hist_Slope_5", "ADX_14", "ATRp_14")
+    full = t.join(osc, ["ticker", "d"]).join(rec, ["ticker", "d"])
+    renamed = full.withColumnsRenamed({"MACDh": "MACDh_12_26_9", "RS1M": "RS1M_SPY", "RS3M": "RS3M_SPY", "RS6M": "RS6M_SPY"})
+    return shown(metrics.coverage(renamed, EXPECTED))
 
 
 @daily.add("last_rows_per_ticker", f"with {BARS_SQL}, k as (select *, row_number() over (partition by ticker order by d desc) as k from bars) select ticker, d, {r('close', digits=10)} from k where k <= 52")

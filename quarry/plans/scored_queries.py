@@ -11,7 +11,7 @@ from quarry.sources.fixtures import SCORED_SQL
 from quarry.sources.fixtures import scored as scored_rows
 
 ranking = Catalog()
-_KNOWN = SCORED_SQL + ",\nkn as (select * from scored where score is not null and y is not null),\npk as (select *, row_number() over (partition by week_key order by score desc, ticker) as place from kn),\nhas as (select * from scored where score is not null),\npl as (select *, row_number() over (partition by week_key order by score desc, ticker) as place from has)"
+KNOWN_SQL = SCORED_SQL + ",\nkn as (select * from scored where score is not null and y is not null),\npk as (select *, row_number() over (partition by week_key order by score desc, ticker) as place from kn),\nhas as (select * from scored where score is not null),\npl as (select *, row_number() over (partition by week_key order by score desc, ticker) as place from has)"
 
 
 @ranking.add("scored_panel", f"with {SCORED_SQL} select ticker, week_key, sector, {r('score')}, {r('fwd_ret')}, {r('bench_ret')}, cast(y as bigint) as y from scored")
@@ -19,18 +19,18 @@ def scored_panel(spark: SparkSession, d: str) -> DataFrame:
     return shown(scored_rows(spark, d))
 
 
-@ranking.add("precision_by_week", f"with {_KNOWN} select week_key, {r('avg(y)', 'p_at_k')}, count(*) as n from pk where place <= 20 group by week_key")
+@ranking.add("precision_by_week", f"with {KNOWN_SQL} select week_key, {r('avg(y)', 'p_at_k')}, count(*) as n from pk where place <= 20 group by week_key")
 def precision_by_week(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.precision_by_week(scored_rows(spark, d), 20))
 
 
-@ranking.add("precision_summary", f"""with {_KNOWN}, w as (select week_key, avg(y) filter (place <= 10) as a, avg(y) filter (place <= 15) as b, avg(y) filter (place <= 20) as c, sum(y) as s, count(*) as n from pk group by week_key)
+@ranking.add("precision_summary", f"""with {KNOWN_SQL}, w as (select week_key, avg(y) filter (place <= 10) as a, avg(y) filter (place <= 15) as b, avg(y) filter (place <= 20) as c, sum(y) as s, count(*) as n from pk group by week_key)
 select {r('avg(a)', 'p_at_10')}, {r('avg(b)', 'p_at_15')}, {r('avg(c)', 'p_at_20')}, {r('sum(s) / sum(n)', 'base_rate')}, {r('avg(c) / (sum(s) / sum(n))', 'lift')} from w""")
 def precision_summary(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.precision_summary(scored_rows(spark, d)))
 
 
-@ranking.add("oof_holdout_gap", f"""with {_KNOWN}, h as (select distinct week_key from kn order by week_key desc limit 20), w as (select week_key, avg(y) as p, week_key in (select week_key from h) as ho from pk where place <= 20 group by week_key)
+@ranking.add("oof_holdout_gap", f"""with {KNOWN_SQL}, h as (select distinct week_key from kn order by week_key desc limit 20), w as (select week_key, avg(y) as p, week_key in (select week_key from h) as ho from pk where place <= 20 group by week_key)
 select {r('avg(p) filter (not ho)', 'oof')}, {r('avg(p) filter (ho)', 'holdout')}, {r('avg(p) filter (not ho) - avg(p) filter (ho)', 'gap')} from w""")
 def oof_holdout_gap(spark: SparkSession, d: str) -> DataFrame:
     s = metrics.known(scored_rows(spark, d))
@@ -42,26 +42,26 @@ def oof_holdout_gap(spark: SparkSession, d: str) -> DataFrame:
 _DISC = "case when {p} <= 20 then 1 / log2({p} + 1) else 0 end"
 
 
-@ranking.add("ndcg", f"""with {_KNOWN}, a as (select *, count(*) over (partition by week_key) as n, row_number() over (partition by week_key order by score desc) as p, row_number() over (partition by week_key order by y desc) as q,
+@ranking.add("ndcg", f"""with {KNOWN_SQL}, a as (select *, count(*) over (partition by week_key) as n, row_number() over (partition by week_key order by score desc) as p, row_number() over (partition by week_key order by y desc) as q,
 avg(y) over (partition by week_key, score) as g from kn), b as (select week_key, sum(g * {_DISC.format(p='p')}) as dcg, sum(y * {_DISC.format(p='q')}) as ideal from a where n >= 2 group by week_key)
 select {r('avg(coalesce(dcg / nullif(ideal, 0), 0))', 'ndcg')} from b""")
 def ndcg(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.ndcg(scored_rows(spark, d)))
 
 
-@ranking.add("top_bottom_spread", f"""with {_KNOWN}, lo as (select *, row_number() over (partition by week_key order by score, ticker) as place from has),
+@ranking.add("top_bottom_spread", f"""with {KNOWN_SQL}, lo as (select *, row_number() over (partition by week_key order by score, ticker) as place from has),
 t as (select avg(x) as t from (select avg(fwd_ret) as x from pl where place <= 20 group by week_key)), b as (select avg(x) as b from (select avg(fwd_ret) as x from lo where place <= 20 group by week_key))
 select {r('t', 'top_ret')}, {r('b', 'bottom_ret')}, {r('t - b', 'spread')} from t cross join b""")
 def top_bottom_spread(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.spread(scored_rows(spark, d)))
 
 
-@ranking.add("hit_rate", f"with {_KNOWN}, a as (select week_key, avg((coalesce(fwd_ret > bench_ret, false))::int) as h from pl where place <= 20 and bench_ret is not null group by week_key) select {r('avg(h)', 'hit_rate')} from a")
+@ranking.add("hit_rate", f"with {KNOWN_SQL}, a as (select week_key, avg((coalesce(fwd_ret > bench_ret, false))::int) as h from pl where place <= 20 and bench_ret is not null group by week_key) select {r('avg(h)', 'hit_rate')} from a")
 def hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.hit_rate(scored_rows(spark, d)))
 
 
-@ranking.add("sector_concentration", f"with {_KNOWN}, n as (select week_key, sector, count(*) as n from pl where place <= 20 and sector is not null group by all) select week_key, {r('sum(n * n) / (sum(n) * sum(n))', 'hhi')} from n group by week_key")
+@ranking.add("sector_concentration", f"with {KNOWN_SQL}, n as (select week_key, sector, count(*) as n from pl where place <= 20 and sector is not null group by all) select week_key, {r('sum(n * n) / (sum(n) * sum(n))', 'hhi')} from n group by week_key")
 def sector_concentration(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.sector_concentration(scored_rows(spark, d)))
 
@@ -72,40 +72,40 @@ def _spearman(other: str, least: int) -> str:
 from (select week_key, {rank.format(c='score')} as a, {rank.format(c=other)} as b from has where {other} is not null) group by week_key having count(*) >= {least})"""
 
 
-@ranking.add("rank_stability", f"with {_KNOWN}, {_spearman('y', 5)} select week_key, n, {r('rho', 'spearman')} from sp")
+@ranking.add("rank_stability", f"with {KNOWN_SQL}, {_spearman('y', 5)} select week_key, n, {r('rho', 'spearman')} from sp")
 def rank_stability(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.weekly_spearman(scored_rows(spark, d), "y", 5))
 
 
-@ranking.add("spearman_attribution", f"with {_KNOWN}, {_spearman('fwd_ret', 20)} select week_key, n, {r('rho', 'spearman')} from sp")
+@ranking.add("spearman_attribution", f"with {KNOWN_SQL}, {_spearman('fwd_ret', 20)} select week_key, n, {r('rho', 'spearman')} from sp")
 def spearman_attribution(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.weekly_spearman(scored_rows(spark, d), "fwd_ret", 20))
 
 
-@ranking.add("roc_auc", f"""with {_KNOWN}, a as (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as rk from kn), b as (select sum(y) as p, count(*) - sum(y) as n, sum(rk) filter (y = 1) as s from a)
+@ranking.add("roc_auc", f"""with {KNOWN_SQL}, a as (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as rk from kn), b as (select sum(y) as p, count(*) - sum(y) as n, sum(rk) filter (y = 1) as s from a)
 select {r('(s - p * (p + 1) / 2) / (p * n)', 'auc')} from b""")
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.roc_auc(scored_rows(spark, d)))
 
 
-@ranking.add("average_precision", f"""with {_KNOWN}, a as (select score, sum(y) as p, count(*) as n from kn group by score), b as (select p, sum(p) over (order by score desc) as pu, sum(n) over (order by score desc) as nu, sum(p) over () as total from a)
+@ranking.add("average_precision", f"""with {KNOWN_SQL}, a as (select score, sum(y) as p, count(*) as n from kn group by score), b as (select p, sum(p) over (order by score desc) as pu, sum(n) over (order by score desc) as nu, sum(p) over () as total from a)
 select {r('sum(p / total * pu / nu)', 'average_precision')} from b""")
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.average_precision(scored_rows(spark, d)))
 
 
-@ranking.add("permutation_test", f"""with {_KNOWN}, o as (select avg(x) as o from (select avg(y) as x from pk where place <= 20 group by week_key)),
-z as (select perm, week_key, y, row_number() over (partition by perm, week_key order by md5(perm::varchar || '|' || week_key::varchar || '|' || ticker::varchar)) as k from kn cross join (select unnest(range(40)) as perm)),
+@ranking.add("permutation_test", f"""with {KNOWN_SQL}, o as (select avg(x) as o from (select avg(y) as x from pk where place <= 20 group by week_key)),
+z as (select perm, week_key, y, row_number() over (partition by perm, week_key order by md5(perm::varchar || '|' || week_key::varchar || '|' || ticker::varchar)) as k from kn cross join (select unnest(range(500)) as perm)),
 v as (select perm, avg(x) as v from (select perm, week_key, avg(y) as x from z where k <= 20 group by all) group by perm)
 select {r('max(o)', 'observed')}, {r('avg(v)', 'perm_mean')}, {r('avg((v >= o)::int)', 'p_value')} from v cross join o""")
 def permutation_test(spark: SparkSession, d: str) -> DataFrame:
-    return shown(metrics.permutation_test(scored_rows(spark, d), n=40))
+    return shown(metrics.permutation_test(scored_rows(spark, d)))
 
 
-@ranking.add("permutation_test_full", ranking.sql["permutation_test"].replace("range(40)", "range(500)"))
+@ranking.add("permutation_test_full", ranking.sql["permutation_test"])
 def permutation_test_full(spark: SparkSession, d: str) -> DataFrame:
-    """The same test with the operator's own number of shuffles."""
-    return shown(metrics.permutation_test(scored_rows(spark, d)))
+    """The same, under its older name."""
+    return permutation_test(spark, d)
 
 
 DECILE_SQL = """de as (select week_key, list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as e, count(*) as n from has where fwd_ret is not null group by week_key having count(*) >= 20),
@@ -113,7 +113,7 @@ db as (select has.week_key, fwd_ret, len(e) - 1 as k, greatest(1, len(list_filte
 dm as (select week_key, avg(fwd_ret) filter (b = k) as hi, avg(fwd_ret) filter (b = 1) as lo from db group by week_key having max(k) >= 2)"""
 
 
-@ranking.add("decile_spread", f"with {_KNOWN}, {DECILE_SQL.replace('0.30000000000000004', '0.3')} select week_key, {r('hi', 'top_bucket', 9)}, {r('lo', 'low_bucket', 9)}, {r('hi - lo', 'decile_spread', 9)} from dm")
+@ranking.add("decile_spread", f"with {KNOWN_SQL}, {DECILE_SQL.replace('0.30000000000000004', '0.3')} select week_key, {r('hi', 'top_bucket', 9)}, {r('lo', 'low_bucket', 9)}, {r('hi - lo', 'decile_spread', 9)} from dm")
 def decile_spread(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.decile_spread(scored_rows(spark, d)), 9)
 
@@ -122,37 +122,37 @@ _ATTR = """ab as (select week_key, count(fwd_ret) as n_valid, """ + ", ".join(f"
 sum(fwd_ret * (21 - place)) filter (place <= 20) / sum(21 - place) filter (place <= 20 and fwd_ret is not null) as lw, avg((fwd_ret > bench_ret)::int) filter (place <= 3) as b3, avg((fwd_ret > bench_ret)::int) filter (place <= 10) as b10 from pl group by week_key)"""
 
 
-@ranking.add("attribution", f"with {_KNOWN}, {_ATTR} select week_key, n_valid, {', '.join(r(f't{n}', f'top{n}_ret', 9) for n in (1, 3, 5, 10, 20))}, {r('lw', 'top20_lw_ret', 9)}, {r('b3', 'top3_beat', 9)}, {r('b10', 'top10_beat', 9)} from ab")
+@ranking.add("attribution", f"with {KNOWN_SQL}, {_ATTR} select week_key, n_valid, {', '.join(r(f't{n}', f'top{n}_ret', 9) for n in (1, 3, 5, 10, 20))}, {r('lw', 'top20_lw_ret', 9)}, {r('b3', 'top3_beat', 9)}, {r('b10', 'top10_beat', 9)} from ab")
 def attribution(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.attribution(scored_rows(spark, d)), 9)
 
 
-@ranking.add("attribution_summary", f"""with {_KNOWN}, {_ATTR}, {DECILE_SQL.replace('0.30000000000000004', '0.3')}, {_spearman('fwd_ret', 20)}
+@ranking.add("attribution_summary", f"""with {KNOWN_SQL}, {_ATTR}, {DECILE_SQL.replace('0.30000000000000004', '0.3')}, {_spearman('fwd_ret', 20)}
 select {r('(select avg(rho) from sp)', 'spearman_mean')}, {r('(select median(rho) from sp)', 'spearman_median')}, {r('(select avg((rho > 0)::int) from sp)', 'spearman_positive')},
 {r('(select avg(hi - lo) from dm)', 'mean_decile_spread')}, {r('(select avg(t3 - t20) from ab)', 'top3_less_top20')}""")
 def attribution_summary(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.attribution_summary(scored_rows(spark, d)))
 
 
-@ranking.add("score_shift", f"""with {_KNOWN}, a as (select score, week_key = max(week_key) over () as now from has), b as (select avg(score) filter (now) as m1, avg(score) filter (not now) as m0, stddev_samp(score) filter (not now) as s from a)
+@ranking.add("score_shift", f"""with {KNOWN_SQL}, a as (select score, week_key = max(week_key) over () as now from has), b as (select avg(score) filter (now) as m1, avg(score) filter (not now) as m0, stddev_samp(score) filter (not now) as s from a)
 select {r('m1', 'mean_last')}, {r('m0', 'mean_before')}, {r('s', 'std_before')}, {r('abs(m1 - m0) / greatest(s, 1e-6)', 'shift')}, abs(m1 - m0) / greatest(s, 1e-6) > 1.5 as warned from b""")
 def score_shift(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.score_shift(scored_rows(spark, d)))
 
 
-@ranking.add("turnover", f"""with {_KNOWN}, w as (select week_key, row_number() over (order by week_key) as w from (select distinct week_key from scored)), t as (select ticker, week_key, w from pl join w using (week_key) where place <= 20),
+@ranking.add("turnover", f"""with {KNOWN_SQL}, w as (select week_key, row_number() over (order by week_key) as w from (select distinct week_key from scored)), t as (select ticker, week_key, w from pl join w using (week_key) where place <= 20),
 j as (select t.week_key, t.w, p.ticker as was from t left join t p on p.ticker = t.ticker and p.w = t.w - 1)
 select week_key, count(*) as n, count(was) as kept, {r('1 - count(was) / count(*)', 'turnover')} from j where w > 1 group by week_key""")
 def turnover(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.turnover(scored_rows(spark, d)))
 
 
-@ranking.add("score_smoothing", f"with {_KNOWN} select a.ticker, a.week_key, {r('case when b.score is not null then 0.3 * b.score + 0.7 * a.score else a.score end', 'smoothed', 9)} from scored a left join scored b on b.ticker = a.ticker and b.week_key = a.week_key - 7")
+@ranking.add("score_smoothing", f"with {KNOWN_SQL} select a.ticker, a.week_key, {r('case when b.score is not null then 0.3 * b.score + 0.7 * a.score else a.score end', 'smoothed', 9)} from scored a left join scored b on b.ticker = a.ticker and b.week_key = a.week_key - 7")
 def score_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.smoothed(scored_rows(spark, d), 0.3).select("ticker", "week_key", "smoothed"), 9)
 
 
-@ranking.add("run_comparison", f"""with {_KNOWN}, ra as (select week_key, avg(y) as p from pk where place <= 20 group by week_key),
+@ranking.add("run_comparison", f"""with {KNOWN_SQL}, ra as (select week_key, avg(y) as p from pk where place <= 20 group by week_key),
 rb as (select week_key, avg(y) as p from (select *, row_number() over (partition by week_key order by -score desc, ticker) as k from kn) where k <= 20 group by week_key), j as (select rb.p - ra.p as d from ra full join rb using (week_key))
 select count(*) filter (d > 0) as better, count(*) filter (d < 0) as worse, count(*) filter (d = 0) as same, {r('max(d)', 'best_change')}, {r('min(d)', 'worst_change')}, {r('avg(d)', 'mean_change')} from j""")
 def run_comparison(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ def run_comparison(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.compare_runs(s, s.withColumn("score", -F.col("score"))))
 
 
-SUMMARY_SQL = f"""{_KNOWN}, u as (select week_key, count(*) as universe from has group by week_key), tt as (select * from pl where place <= 20),
+SUMMARY_SQL = f"""{KNOWN_SQL}, u as (select week_key, count(*) as universe from has group by week_key), tt as (select * from pl where place <= 20),
 su as (select week_key, avg(score) as ms, avg(fwd_ret) as mr, max(bench_ret) as br, avg((fwd_ret > bench_ret)::int) as hr, avg(y) as pr, arg_max(ticker, row(fwd_ret, -ticker)) filter (fwd_ret is not null) as bt, arg_min(ticker, row(fwd_ret, ticker)) filter (fwd_ret is not null) as wt from tt group by week_key)"""
 
 
@@ -174,12 +174,12 @@ def backtest_averages(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.backtest_averages(metrics.weekly_summary(scored_rows(spark, d))))
 
 
-@ranking.add("dynamic_k", f"with {_KNOWN}, e as (select week_key, quantile_cont(score, 0.95) as e from has group by week_key) select week_key, cast(least(greatest(count(*) filter (score >= e), 5), 20) as bigint) as k from has join e using (week_key) group by week_key")
+@ranking.add("dynamic_k", f"with {KNOWN_SQL}, e as (select week_key, quantile_cont(score, 0.95) as e from has group by week_key) select week_key, cast(least(greatest(count(*) filter (score >= e), 5), 20) as bigint) as k from has join e using (week_key) group by week_key")
 def dynamic_k(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.dynamic_k(scored_rows(spark, d)))
 
 
-@ranking.add("ranked_list", f"with {_KNOWN} select 'top' as side, week_key, place, ticker from pl where place <= 20 union all select 'bottom', week_key, row_number() over (partition by week_key order by score, ticker) as k, ticker from has qualify k <= 5")
+@ranking.add("ranked_list", f"with {KNOWN_SQL} select 'top' as side, week_key, place, ticker from pl where place <= 20 union all select 'bottom', week_key, row_number() over (partition by week_key order by score, ticker) as k, ticker from has qualify k <= 5")
 def ranked_list(spark: SparkSession, d: str) -> DataFrame:
     s = scored_rows(spark, d).where("score is not null")
     sides = [metrics.top(s, k, best=b).select(F.lit(n).alias("side"), "week_key", "place", "ticker") for n, k, b in (("top", 20, True), ("bottom", 5, False))]
@@ -195,7 +195,7 @@ def _with_models(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("prob", F.round(0.5 + 0.5 * F.col("score") / (1 + F.abs("score")), 6)).withColumn("ranker", F.col("fwd_ret"))
 
 
-@ranking.add("relevance_labels", f"with {_KNOWN}, {_PROB}, m as (select median(prob) as m from pr) select ticker, week_key, cast(case when y = 1 then 2 else 0 end + (prob >= m)::int as bigint) as relevance from pr cross join m")
+@ranking.add("relevance_labels", f"with {KNOWN_SQL}, {_PROB}, m as (select median(prob) as m from pr) select ticker, week_key, cast(case when y = 1 then 2 else 0 end + (prob >= m)::int as bigint) as relevance from pr cross join m")
 def relevance_labels(spark: SparkSession, d: str) -> DataFrame:
     return shown(panel.relevance(_with_models(spark, d)).select("ticker", "week_key", "relevance"))
 
@@ -203,14 +203,14 @@ def relevance_labels(spark: SparkSession, d: str) -> DataFrame:
 _PCT = "(rank() over (partition by {by} order by ranker) + (count(*) over (partition by {by}, ranker) - 1) / 2) / count(*) over (partition by {by})"
 
 
-@ranking.add("blended_score", f"with {_KNOWN}, {_PROB} select ticker, week_key, {r('0.6 * prob + 0.4 * ' + _PCT.format(by='week_key'), 'score')} from pr")
+@ranking.add("blended_score", f"with {KNOWN_SQL}, {_PROB} select ticker, week_key, {r('0.6 * prob + 0.4 * ' + _PCT.format(by='week_key'), 'score')} from pr")
 def blended_score(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.blend(_with_models(spark, d), 0.6).select("ticker", "week_key", "score"))
 
 
 def _grid_sql(fold: str) -> str:
     by = "fold, week_key"
-    return f"""with {_KNOWN}, {_PROB}, q as (select *, {fold} as fold from pr), z as (select *, {_PCT.format(by=by)} as pct from q),
+    return f"""with {KNOWN_SQL}, {_PROB}, q as (select *, {fold} as fold from pr), z as (select *, {_PCT.format(by=by)} as pct from q),
 g as (select z.*, round(0.35 + 0.05 * i, 2) as w from z cross join (select unnest(range(11)) as i)),
 k as (select fold, w, week_key, y, row_number() over (partition by fold, w, week_key order by round(w * prob + (1 - w) * pct, 9) desc, ticker) as k from g),
 p as (select fold, w, round(avg(x), 12) as p from (select fold, w, week_key, avg(y) as x from k where k <= 20 group by all) group by all)"""
@@ -237,7 +237,7 @@ def before_anchor(spark: SparkSession, d: str) -> DataFrame:
     return shown(validate.before_anchor(scored_rows(spark, d), "1999-06-27").select("ticker", "week_key", "y"))
 
 
-@ranking.add("run_parity", f"""with {_KNOWN}, sb as (select *, round(score + case when ticker % 10 = 3 then 0.001 else 0 end, 6) as s2 from has where ticker % 10 <> 4),
+@ranking.add("run_parity", f"""with {KNOWN_SQL}, sb as (select *, round(score + case when ticker % 10 = 3 then 0.001 else 0 end, 6) as s2 from has where ticker % 10 <> 4),
 j as (select coalesce(a.ticker, b.ticker) as ticker, coalesce(a.week_key, b.week_key) as week_key, a.score as a_score, b.s2 as b_score, a.ticker is null as na, b.ticker is null as nb from (select * from has where ticker % 10 <> 5) a full join sb b on a.ticker = b.ticker and a.week_key = b.week_key)
 select ticker, week_key, {r('a_score')}, {r('b_score')}, case when nb then 'a only' when na then 'b only' else 'differs' end as finding from j where na or nb or abs(a_score - b_score) > 1e-4""")
 def run_parity(spark: SparkSession, d: str) -> DataFrame:

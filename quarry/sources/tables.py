@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +37,31 @@ def unpivot_bars(bars: DataFrame) -> DataFrame:
     return bars.unpivot(["ticker", "d"], list(FIELDS), "field", "value")
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, **labels: str) -> None:
-    """One Parquet table for each name under root, partitioned by the labels (run_label, anchor_date)."""
+def write_tables(tables: dict[str, DataFrame], root: str, by: list[str] | None = None, **labels: str) -> None:
+    """One Parquet table for each name under root, partitioned by the labels (such as run_label) and by the columns
+    ``by`` of its own. What is there under the same labels is replaced, so that a repeated run leaves no rows twice."""
     for name, df in tables.items():
-        df.withColumns({k: F.lit(v) for k, v in labels.items()}).write.mode("append").partitionBy(*labels).parquet(f"{root}/{name}")
+        rows = df.withColumns({k: F.lit(v) for k, v in labels.items()})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*labels, *(by or [])).parquet(f"{root}/{name}")
 
 
 def write_consolidated(panel: DataFrame, path: str, order: list[str]) -> None:
     panel.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); in a temporary one only where the session
+    names none and runs on this machine alone, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").rstrip("/")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quarry-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
