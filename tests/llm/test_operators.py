@@ -90,20 +90,8 @@ def near(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard_equals_all_pairs(spark, texts, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL", 3)  # so that groups are dealt over cells
-    for module in (common, components):  # and classes, buckets, hubs and labels are hot
-        monkeypatch.setattr(module, "HOT_ROWS", 2)
-    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
-    rng = np.random.default_rng(1)
-    base = [f"w{x}" for x in rng.integers(0, 1000, 120)]
-    docs = dict(texts)
-    for i in range(12):
-        w = list(base)
-        for at in rng.integers(0, 120, i % 4):
-            w[at] = f"x{i}"
-        docs[10_000 + i] = " ".join(w)
-    docs |= {20_000: None, 20_001: "", 20_002: "one two", 20_003: "One  two"} | {30_000 + i: " ".join(base) for i in range(9)}
+def brute_groups(docs):
+    """({id: smallest id of its group}, {id: number of links}) by all pairs."""
     sets = {k: near(v) for k, v in docs.items()}
     links, parent = collections.Counter(), {k: k for k in docs}
 
@@ -119,8 +107,26 @@ def test_jaccard_equals_all_pairs(spark, texts, monkeypatch):
             links[b] += 1
             x, y = sorted((root(a), root(b)))
             parent[y] = x
+    return {k: root(k) for k in docs}, links
+
+
+def test_jaccard_equals_all_pairs(spark, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", 3)  # so that groups are dealt over cells
+    for module in (common, components):  # and classes, buckets, hubs and labels are hot
+        monkeypatch.setattr(module, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    rng = np.random.default_rng(1)
+    base = [f"w{x}" for x in rng.integers(0, 1000, 120)]
+    docs = dict(texts)
+    for i in range(12):
+        w = list(base)
+        for at in rng.integers(0, 120, i % 4):
+            w[at] = f"x{i}"
+        docs[10_000 + i] = " ".join(w)
+    docs |= {20_000: None, 20_001: "", 20_002: "one two", 20_003: "One  two"} | {30_000 + i: " ".join(base) for i in range(9)}
+    root, links = brute_groups(docs)
     got = jaccard.jaccard_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(k, root(k), links[k]) for k in docs}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(k, root[k], links[k]) for k in docs}
 
 
 def test_components_of_paths_and_stars(spark, monkeypatch):
@@ -550,6 +556,32 @@ def test_length_histogram(spark, empty):
     assert token_counts.histogram(token_counts.lengths(empty, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_pipeline_equals_brute_force(spark, texts):
+    import corpus_pipeline
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs, quality.train(docs, labels)).collect()
+    good = {r.doc_id: texts[r.doc_id] for r in judged if r.kept}
+    root, _ = brute_groups(good)
+    alone = [(k, t) for k, t in good.items() if root[k] == k]
+    cut = [(k, t, f"{rows[k].source}/{rows[k].lang}", rows[k].source) for (k, _), (t, *_) in brute_dedup(alone).items()]
+    left = {row[0]: redacted(row[1], live) for row, (_, live) in brute_secrets(cut).items()}
+    library = Encoder.of(public_tokenizers.path("word_bpe_49k.json"), False).library
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} == left.keys() and 0 < len(left) < len(good) < len(texts)
+    check_packing(out, left, lambda t: library.encode(t or "", add_special_tokens=False).ids)
+
+
+def test_pipeline_takes_odd_rows(spark, odd, empty):
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert (out.columns == docs.columns or name == "packing") and out.count() <= 2 * docs.count(), name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
