@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Fitted models and tokenizers are beyond SQL; tests/llm holds the pipeline against its operators' brute-force versions.
+#: Fitted models and tokenizers are beyond SQL; tests/llm holds run() against the brute-force versions of its stages.
 ORACLE_SQL = None
 
 
