@@ -3,6 +3,7 @@ one shuffle and one sort serve them all."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +88,14 @@ def with_recurrent(bars: DataFrame) -> DataFrame:
         F.when(flag((down > up) & (down > 0)), down).otherwise(0.0).alias("_mdm"),
     )
 
-    def sub(a: float | None, b: float | None) -> float | None:
-        return None if a is None or b is None else a - b
+    def dx(rows: pd.DataFrame) -> pd.Series:
+        total = rows["_p"] + rows["_m"]
+        return 100 * (rows["_p"] - rows["_m"]).abs() / total.where(total != 0)
 
-    def dx(r: dict) -> float | None:
-        p, m = r["_p"], r["_m"]
-        return None if p is None or m is None or p + m == 0 else 100 * abs(p - m) / (p + m)
-
-    then = lambda name: lambda r: r[name] if r["_has"] else None
+    then = lambda name: lambda rows: rows[name].where(rows["_has"])
     t = smooth(t, "ticker", "d", [
-        Smooth("_e12", 12, "ema", lambda r: r["close"]), Smooth("_e26", 26, "ema", lambda r: r["close"]), Smooth("_signal", 9, "ema", lambda r: sub(r["_e12"], r["_e26"])),
-        Smooth("_gain", 14, "rma", then("_g")), Smooth("_loss", 14, "rma", then("_l")), Smooth("ATR", 14, "rma", lambda r: r["_tr"]),
+        Smooth("_e12", 12, "ema", lambda rows: rows["close"]), Smooth("_e26", 26, "ema", lambda rows: rows["close"]), Smooth("_signal", 9, "ema", lambda rows: rows["_e12"] - rows["_e26"]),
+        Smooth("_gain", 14, "rma", then("_g")), Smooth("_loss", 14, "rma", then("_l")), Smooth("ATR", 14, "rma", lambda rows: rows["_tr"]),
         Smooth("_p", 14, "rma", then("_pdm")), Smooth("_m", 14, "rma", then("_mdm")), Smooth("ADX_14", 14, "rma", dx),
     ])
     macd = F.col("_e12") - F.col("_e26")

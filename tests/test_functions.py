@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from quarry.functions.recurrences import Smooth, smooth
 from quarry.functions.windows import percentile_rank, streak
 from quarry.operators import panel, validate
@@ -55,3 +57,23 @@ def test_empty_bars(spark):
 
     empty = spark.createDataFrame([], tables.BARS)
     assert with_trend(empty).count() == with_oscillators(empty).count() == with_recurrent(empty).count() == 0
+
+
+def test_smooth_goes_on_over_stretches_and_batches(spark):
+    rng = np.random.default_rng(3)
+    values = {k: [None if x < -1 else float(x) for x in rng.normal(0, 1, n)] for k, n in ((1, 700), (2, 1), (3, 13), (4, 300))}
+    df = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "ticker int, d int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {(r.ticker, r.d): (r.e, r.r) for r in smooth(df, "ticker", "d", [Smooth("e", 12, "ema", lambda r: r["v"]), Smooth("r", 14, "rma", lambda r: r["v"])]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, vs in values.items():
+        for at, n, w in ((0, 12, 2 / 13), (1, 14, 1 / 14)):
+            seen, y = [], None
+            for i, x in enumerate(vs):
+                if x is not None:
+                    seen.append(x)
+                    y = y + w * (x - y) if len(seen) > n else sum(seen) / n if len(seen) == n else None
+                want = y if x is not None else None
+                assert got[k, i][at] is None if want is None else abs(got[k, i][at] - want) < 1e-9
