@@ -37,16 +37,16 @@ def flag(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def percentile_rank(value: Column, *by: str) -> Column:
-    """Rank of each value in its group as a share of the group's values; ties get the mean of their ranks; null stays."""
-    group, ordered, tie = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value.asc_nulls_last()), Window.partitionBy(*by, value)
-    return F.when(value.isNotNull(), (F.rank().over(ordered) + (F.count(value).over(tie) - 1) / 2) / F.count(value).over(group))
+def average_rank(value: Column, *by: str) -> Column:
+    """Rank from 1 with ties averaged; null stays. Ties are the rows of the same order, so one sort serves both."""
+    ordered = Window.partitionBy(*by).orderBy(value.asc_nulls_last())
+    ties = F.count(value).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(value.isNotNull(), F.rank().over(ordered) + (ties - 1) / 2)
 
 
-def average_rank(value: Column, *by: str) -> Column:
-    """Rank from 1 with ties averaged; null stays."""
-    ordered, tie = Window.partitionBy(*by).orderBy(value.asc_nulls_last()), Window.partitionBy(*by, value)
-    return F.when(value.isNotNull(), F.rank().over(ordered) + (F.count(value).over(tie) - 1) / 2)
+def percentile_rank(value: Column, *by: str) -> Column:
+    """Rank of each value in its group as a share of the group's values; ties get the mean of their ranks; null stays."""
+    return average_rank(value, *by) / F.nullif(F.count(value).over(Window.partitionBy(*by)), F.lit(0))
 
 
 def week_end(day: Column) -> Column:
