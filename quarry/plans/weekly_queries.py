@@ -106,8 +106,8 @@ def tickers_per_week(spark: SparkSession, d: str) -> DataFrame:
     return shown(n.agg(F.percentile("n", F.lit(0.5)).alias("before_masks"), F.percentile("m", F.lit(0.5)).alias("after_masks")))
 
 
-_RANKED = ["Ret_1w_calc", "Vol_12w", "MomAccel_1w", "PriceToHigh4w"]
-_RANK_SQL = FEATURES_SQL + ", rk as (select ticker, week_key, " + ", ".join(f"round({c}, 9) as {c}" for c in _RANKED) + " from feat)"
+_RANKED = ["Ret_1w_calc", "Vol_12w", "MomAccel_1w", "PriceToHigh4w", "GapPct", "RET_3M", "RET_6M", "RiskAdjMom_3M", "RiskAdjMom_6M"]
+_RANK_SQL = FEATURES_SQL + ", rk as (select ticker, week_key, " + ", ".join(f"round({c}, 9) as {c}" for c in _RANKED) + " from (select *, Ret_1w_calc as GapPct, RET_3M / (Vol_12w + 1e-6) as RiskAdjMom_3M, RET_6M / (Vol_12w + 1e-6) as RiskAdjMom_6M from feat))"
 
 
 @weeks.add("rank_features", f"with {_RANK_SQL} select ticker, week_key, {', '.join(r(pct_sql(c), c + '__rank') for c in _RANKED)}, {r('1 - ' + pct_sql('Ret_1w_calc'), 'ReversalSignal_1w')} from rk")
