@@ -54,7 +54,7 @@ def work_path(spark: SparkSession, name: str) -> str:
     names none and runs on this machine alone, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").rstrip("/")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
