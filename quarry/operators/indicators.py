@@ -104,6 +104,15 @@ def with_recurrent(bars: DataFrame) -> DataFrame:
     return t.select(*bars.columns, "MACD", "MACDh", "MACD_Hist_Slope_5", "RSI_14", "ATRp_14", "ADX_14")
 
 
+def with_fallbacks(bars: DataFrame) -> DataFrame:
+    """SMA_20, SMA_50, SMA_200 and ATRp_14 where they are absent: plain means over as many bars as there are."""
+    close, before = F.col("close"), F.lag("close").over(series())
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    t = bars.withColumn("_reach", reach)
+    new = {f"SMA_{n}": rolling(F.avg, close, n, 1) for n in (20, 50, 200)} | {"ATRp_14": ratio(rolling(F.avg, F.col("_reach"), 14, 1), close) * 100}
+    return t.withColumns({k: v for k, v in new.items() if k not in bars.columns}).drop("_reach")
+
+
 def relative_strength(trend: DataFrame, benchmark: DataFrame) -> DataFrame:
     """RS columns: return less the benchmark's on the same day, missing as 0. benchmark: d, bench."""
     w = Window.orderBy("d")

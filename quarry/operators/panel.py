@@ -106,16 +106,18 @@ def gap_shift(value: Column, n: int = 1, most_weeks: int = 2) -> Column:
 
 
 def with_returns(panel: DataFrame) -> DataFrame:
-    """Weekly returns and what follows from them and from prices and volumes of the last weeks."""
+    """Weekly returns and what follows from them and from prices and volumes of the last weeks. Without a volume, relative
+    volume stands for it; without either, what needs it is null."""
+    traded = next((F.col(c) for c in ("volume", "Vol_Rel_20") if c in panel.columns), F.lit(None).cast("double"))
     p = panel.withColumn("Close_prev", gap_shift(F.col("close")))
     p = p.withColumn("Ret_1w_calc", ratio(F.col("close"), F.col("Close_prev")) - 1)
     p = p.select("*", F.when(F.col("close") > 0, F.ln(ratio(F.col("close"), F.col("Close_prev")))).alias("LogRet_1w"), F.col("Ret_1w_calc").alias("GapPct"))
-    vol = F.nullif(F.col("volume"), F.lit(0.0))
-    mean8, std8 = roll(F.avg, F.col("volume"), 8, 4), roll(F.stddev_samp, F.col("volume"), 8, 4)
+    vol = F.nullif(traded, F.lit(0.0))
+    mean8, std8 = roll(F.avg, traded, 8, 4), roll(F.stddev_samp, traded, 8, 4)
     p = p.select(
         "*", roll(F.stddev_samp, F.col("LogRet_1w"), 12, 6).alias("Vol_12w"), (F.col("Ret_1w_calc") - gap_shift(F.col("Ret_1w_calc"))).alias("MomAccel_1w"),
         ratio(F.col("close"), roll(F.max, F.col("close"), 4, 2)).alias("PriceToHigh4w"), ratio(F.col("close"), roll(F.min, F.col("close"), 4, 2)).alias("PriceToLow4w"),
-        ratio(F.col("volume") - mean8, std8).alias("VolZScore_8w"),
+        ratio(traded - mean8, std8).alias("VolZScore_8w"),
         *((F.col("close") / F.nullif(F.lag("close", n).over(series(KEY, TIME)), F.lit(0.0)) - 1).alias(k) for k, n in (("RET_3M", 13), ("RET_6M", 26))),
         roll(F.avg, F.abs(F.col("Ret_1w_calc")) / (F.col("close") * vol), 4, 2).alias("_illiq"),
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import metrics, panel, parity
+from quarry.functions.windows import rolling
+from quarry.operators import indicators, metrics, panel, parity
 from quarry.plans.registry import Catalog, r, shown
 from quarry.plans.scored_queries import KNOWN_SQL
 from quarry.plans.weekly_queries import FEATURES_SQL, week_panel
 from quarry.sources import tables
-from quarry.sources.fixtures import SCORED_SQL, WEEKLY_SQL
+from quarry.sources.fixtures import BARS_SQL, SCORED_SQL, WEEKLY_SQL, bars
 from quarry.sources.fixtures import scored as scored_rows
 
 comparisons = Catalog()
@@ -115,3 +116,34 @@ def benchmark_varies_found(spark: SparkSession, d: str) -> DataFrame:
     """The check of one benchmark value a week, on rows some of which have another."""
     s = scored_rows(spark, d).withColumn("bench_ret", F.when(F.col("ticker") % 50 == 1, F.col("bench_ret") + 0.5).otherwise(F.col("bench_ret")))
     return parity.varies_within(s, "bench_ret", "week_key")
+
+
+_LAST = "over (partition by ticker order by d rows between {} preceding and current row)"
+
+
+@comparisons.add("fallback_indicators", f"""with {BARS_SQL}, a as (select *, lag(close) over (partition by ticker order by d) as c1 from bars),
+b as (select *, greatest(high - low, abs(high - c1), abs(low - c1)) as reach from a)
+select ticker, d, {r(f"avg(close) {_LAST.format(19)}", 'SMA_20')}, {r(f"avg(close) {_LAST.format(49)}", 'SMA_50')}, {r(f"avg(close) {_LAST.format(199)}", 'SMA_200')},
+{r(f"avg(reach) {_LAST.format(13)} / nullif(close, 0) * 100", 'ATRp_14')} from b""")
+def fallback_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Averages and range of bars that come without indicators."""
+    return shown(indicators.with_fallbacks(bars(spark, d)).select("ticker", "d", "SMA_20", "SMA_50", "SMA_200", "ATRp_14"))
+
+
+@comparisons.add("mask_fallbacks", f"""with {WEEKLY_SQL}, a as (select *, volume / avg(volume) over w20 as vr from weekly window w20 as (partition by ticker order by week_key rows between 19 preceding and current row)),
+b as (select *, case when count(close * vr) over w4 >= 2 then avg(close * vr) over w4 end as traded from a window w4 as (partition by ticker order by week_key rows between 3 preceding and current row))
+select ticker, week_key, coalesce(traded > 0.5, false) as by_relative_volume, true as without_any from b""")
+def mask_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """The volume mask by relative volume, and without any volume."""
+    p = week_panel(spark, d).withColumn("r", F.lit(0.1))
+    relative = p.withColumn("Vol_Rel_20", F.col("volume") / rolling(F.avg, F.col("volume"), 20, 1, "ticker", "week_key")).drop("volume")
+    both = panel.with_masks(relative, "r").withColumnRenamed("univ_volume", "by_relative_volume").drop("univ_price", "univ_moves", "univ_pass")
+    return panel.with_masks(both.drop("Vol_Rel_20"), "r").select("ticker", "week_key", "by_relative_volume", F.col("univ_volume").alias("without_any"))
+
+
+@comparisons.add("label_spread", f"""with {KNOWN_SQL}, lo as (select *, row_number() over (partition by week_key order by score, ticker) as place from has),
+t as (select avg(x) as t from (select avg(y) as x from pl where place <= 20 group by week_key)), b as (select avg(x) as b from (select avg(y) as x from lo where place <= 20 group by week_key))
+select {r('t', 'top_ret')}, {r('b', 'bottom_ret')}, {r('t - b', 'spread')} from t cross join b""")
+def label_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The spread of a panel without returns, by its labels."""
+    return shown(metrics.spread(scored_rows(spark, d).drop("fwd_ret")))
