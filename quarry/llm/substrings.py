@@ -33,7 +33,7 @@ from quarry.llm.common import Words, materialize, mix, range_hash, slices, table
 SPAN, MIN_WORDS = 2, 20
 #: One document in SAMPLE shows which runs are common: those with more than COMMON rows there and more than one row in
 #: SHARE, which are SHARE at most.
-SAMPLE, COMMON, SHARE, SALTS = 64, 50, 10_000, 64
+SAMPLE, COMMON, SHARE, SALTS = 64, 16, 10_000, 64
 _NO_ID = -(2**63)
 _RUN = "struct<sentence:int,size:int>"
 
