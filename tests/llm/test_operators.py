@@ -582,6 +582,24 @@ def test_pipeline_takes_odd_rows(spark, odd, empty):
             assert (out.columns == docs.columns or name == "packing") and out.count() <= 2 * docs.count(), name
 
 
+def test_other_columns_change_nothing(spark, odd):
+    names = ["ids", "n_ids", "key1", "key2", "bands", "cls", "copies", "part", "seq", "start", "length", "block", "n_docs", "tier", "score", "y", "at", "x", "sentence", "offending", "quality", "kept"]
+    wide = odd.withColumns({n: F.lit("z") for n in names})
+    piece, byte, word = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
+    runs = [
+        lambda d: sentencepiece.encode_documents(d, piece), jaccard.jaccard_join, lambda d: quality.judge(d, None), lambda d: toxicity.score(d, None),
+        lambda d: packing.pack(d.coalesce(1), word), lambda d: token_counts.histogram(token_counts.lengths(d, byte)),
+    ]
+    for run in runs:
+        assert sorted(map(repr, run(wide).collect())) == sorted(map(repr, run(odd).collect()))
+    kept = quality.filter_documents(wide, None)
+    assert kept.columns == wide.columns and kept.count() == quality.filter_documents(odd, None).count()
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(40)], "vec_id long, embedding array<float>")
+    more = vectors.withColumns({n: F.lit(1) for n in ("ids", "i", "j", "n", "query_id", "rank", "score")})
+    got = [sorted(map(repr, neighbours.nearest(v, v.where("vec_id % 10 = 0")).collect())) for v in (vectors, more)]
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
