@@ -28,23 +28,37 @@ def prepare(rows: DataFrame, features: list[str]) -> Context:
     return Context(rows, tuple(panel.feature_list(rows, features)), str(metrics.anchor(rows).first()["anchor"]))
 
 
-def run_pipeline(c: Context, features: list[str] | None = None, mask: str | None = None, s: Settings = Settings(), folds: int = 6, holdout: int = 20) -> dict[str, DataFrame]:
-    """Tables: holdout (scored), metrics (one row), ranking (production, at the anchor), folds, importance."""
-    own = list(features or c.features)
-    rows = c.rows.where(F.col(mask)) if mask else c.rows
+def _chosen(c: Context, features: list[str] | None, mask: str | None) -> tuple[list[str], DataFrame]:
+    return list(features or c.features), c.rows.where(F.col(mask)) if mask else c.rows
+
+
+def run_holdout(c: Context, features: list[str] | None = None, mask: str | None = None, s: Settings = Settings(), folds: int = 6, holdout: int = 20) -> dict[str, DataFrame]:
+    """Tables: holdout (scored), metrics (one row), folds, importance."""
+    own, rows = _chosen(c, features, mask)
     known = rows.where("y is not null")
     late = validate.holdout_weeks(known, holdout)
     pool = known.join(F.broadcast(late), WEEK, "left_anti")
     fitted = fit_and_score(pool, known.join(F.broadcast(late), WEEK, "left_semi"), own, validate.splits(pool, folds=folds), s)
+    importance = [(i + 1, n, v) for i, (n, v) in enumerate(fitted.features)]
+    return {
+        "holdout": fitted.scored, "metrics": _measured(fitted, s), "folds": fitted.fold_table,
+        "importance": rows.sparkSession.createDataFrame(importance, "place int, feature string, importance double"),
+    }
+
+
+def run_production(c: Context, features: list[str] | None = None, mask: str | None = None, s: Settings = Settings(), folds: int = 6) -> dict[str, DataFrame]:
+    """Tables at the anchor, trained on what was known before it: ranking, all_last, bottom, missing."""
+    own, rows = _chosen(c, features, mask)
     production = validate.before_anchor(rows, c.anchor)
     validate.check_no_lookahead(production, c.anchor)
     now = metrics.anchor_rows(panel.mostly_present(rows, own))
-    ranking = fit_and_score(production, now, own, validate.splits(production, folds=folds), s)
-    return {
-        "holdout": fitted.scored, "metrics": _measured(fitted, s), "ranking": metrics.placed(ranking.scored).where(F.col("place") <= s.k), "all_last": ranking.scored,
-        "bottom": metrics.top(ranking.scored, 5, best=False), "missing": metrics.missing_at_anchor(rows), "folds": fitted.fold_table,
-        "importance": rows.sparkSession.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(fitted.features)], "place int, feature string, importance double"),
-    }
+    scored = fit_and_score(production, now, own, validate.splits(production, folds=folds), s).scored
+    return {"ranking": metrics.placed(scored).where(F.col("place") <= s.k), "all_last": scored, "bottom": metrics.top(scored, 5, best=False), "missing": metrics.missing_at_anchor(rows)}
+
+
+def run_pipeline(c: Context, features: list[str] | None = None, mask: str | None = None, s: Settings = Settings(), folds: int = 6, holdout: int = 20) -> dict[str, DataFrame]:
+    """The tables of both: the holdout evaluation and the production ranking."""
+    return run_holdout(c, features, mask, s, folds, holdout) | run_production(c, features, mask, s, folds)
 
 
 def _measured(f: Fitted, s: Settings) -> DataFrame:
@@ -106,7 +120,7 @@ def run_ablation(c: Context, runs: dict[str, tuple[list[str], str | None]], s: S
     """One row of holdout metrics for each named (features, mask)."""
     out = None
     for label, (features, mask) in runs.items():
-        row = run_pipeline(c, features, mask, s, folds)["metrics"].withColumn("run_label", F.lit(label))
+        row = run_holdout(c, features, mask, s, folds)["metrics"].withColumn("run_label", F.lit(label))
         out = row if out is None else out.unionByName(row)
     return out
 

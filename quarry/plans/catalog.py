@@ -10,8 +10,13 @@ from quarry.plans.scored_queries import ranking
 from quarry.plans.weekly_queries import weeks
 
 
+#: They fit many models, and stand last in this order.
+SLOW = ("feature_importance", "forest_probability", "production_ranking", "pipeline_metrics", "price_variant", "ablation", "backtest_summary")
+
+
 def queries() -> dict[str, Query]:
-    return {**daily.queries, **weeks.queries, **ranking.queries, **comparisons.queries, **models.queries}
+    every = {**daily.queries, **weeks.queries, **ranking.queries, **comparisons.queries, **models.queries}
+    return {name: query for name, query in every.items() if name not in SLOW} | {name: every[name] for name in SLOW}
 
 
 def oracle_sql() -> dict[str, str]:
