@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Words, join_common, materialize, mix, slices, stream, table, texts_of
 from quarry.llm.components import connected_components
 
-CELL = 800
+CELL = 400
 COLUMNS = 4096
 
 
