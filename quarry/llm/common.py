@@ -125,6 +125,11 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", dtype=np.uint8)[text[0] : text[-1]], text - text[0]
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of words: all but space and tab to carriage return."""
+    return _IS_WORD[data]
+
+
 def runs(inside: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of each maximal run of marked bytes within a text."""
     opens, closes = inside.copy(), inside.copy()
