@@ -105,37 +105,35 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, n, n_chars, next_id, next_hash: one row for each id and text of docs (doc_id, hash, n_chars), with
-    the number of rows and the document that comes next by descending id, after the last the first. Only these short
-    rows are sorted; each range of them is a group, and the last of a range looks at the first of the next range."""
-    keys = docs.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
+    """key, hash, doc_id, n, n_chars, next_key, next_hash: one row for each id and text of docs (key, hash, doc_id,
+    n_chars), with the number of rows and the document that comes next by descending id, after the last the first. Only
+    these short rows are sorted; each range of them is a group, and the last of a range looks at the first of the next."""
+    keys = docs.groupBy("key", "hash", "doc_id").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
     ranged = materialize(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "keys")
-    within, own = Window.partitionBy("part").orderBy(*order), F.struct("doc_id", "hash")
+    within, own = Window.partitionBy("part").orderBy(*order), F.struct("key", "hash")
     rows = ranged.withColumn("next", F.lead(own).over(within)).withColumn("place", F.row_number().over(within))
     firsts = rows.where("place = 1").select("part", own.alias("first"))
     parts = Window.orderBy("part")  # one row for each range
     follows = firsts.select("part", F.coalesce(F.lead("first").over(parts), F.first("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     joined = rows.join(follows, "part").withColumn("next", F.coalesce("next", "after"))
-    return joined.select("doc_id", "hash", "n", "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.hash").alias("next_hash"))
+    return joined.select("key", "hash", "doc_id", "n", "n_chars", F.col("next.key").alias("next_key"), F.col("next.hash").alias("next_hash"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, n, n_chars, next_id, next_hash, text, edited: each text, and the text whose last floor(n_chars / 2)
-    code points give way to the first as many (or all) of the next document. One row for each id and text; a text is
-    shuffled once, and half of it once more."""
+    """key, hash, doc_id, n, n_chars, next_key, next_hash, text, edited: each text, and the text whose last
+    floor(n_chars / 2) code points give way to the first as many (or all) of the next document. One row for each id and
+    text. Keys are never null, so that all three joins share one shuffle of the texts; half of them move once more."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    follow = materialize(next_documents(rows.select("doc_id", "hash", F.char_length("text").cast("long").alias("n_chars"))), "next")
-    once = rows.dropDuplicates(["doc_id", "hash"])
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("hash"), "doc_id", "text")
+    follow = materialize(next_documents(rows.select("key", "hash", "doc_id", F.char_length("text").cast("long").alias("n_chars"))), "next")
+    once = rows.select("key", "hash", "text").dropDuplicates(["key", "hash"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    asked = follow.select(F.col("doc_id").alias("own_id"), F.col("hash").alias("own_hash"), half.alias("half"), F.col("next_id").alias("doc_id"), F.col("next_hash").alias("hash"))
-    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
-    heads = once.alias("a").join(asked.alias("b"), same("doc_id", "doc_id") & same("hash", "hash")).select("own_id", "own_hash", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"))
-    every = once.alias("a").join(follow.alias("b"), same("doc_id", "doc_id") & same("hash", "hash")).select("b.*", "a.text")
-    met = every.alias("a").join(heads.alias("b"), same("doc_id", "own_id") & same("hash", "own_hash")).select("a.*", "b.head")
+    asked = follow.select(F.col("key").alias("own_key"), F.col("hash").alias("own_hash"), half.alias("half"), F.col("next_key").alias("key"), F.col("next_hash").alias("hash"))
+    heads = once.join(asked, ["key", "hash"]).select(F.col("own_key").alias("key"), F.col("own_hash").alias("hash"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"))
+    met = once.join(follow, ["key", "hash"]).join(heads, ["key", "hash"])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.col("head"))
-    return met.select("doc_id", "hash", "n", "n_chars", "next_id", "next_hash", "text", edited.alias("edited"))
+    return met.select("key", "hash", "doc_id", "n", "n_chars", "next_key", "next_hash", "text", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -151,13 +149,11 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     made = edited_texts(docs).select(
-        "doc_id", "hash", "n", "n_chars", "next_id", "next_hash", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint")
+        "key", "hash", "doc_id", "n", "n_chars", "next_key", "next_hash", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint")
     )
     made = materialize(made, "fingerprints")
-    after = made.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint")).alias("b")
-    same = F.col("a.next_id").eqNullSafe(F.col("b.next_id")) & (F.col("a.next_hash") == F.col("b.next_hash"))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
-    met = made.alias("a").join(after, same).select("a.*", "next_fingerprint").withColumn("copy", copies)
+    after = made.select(F.col("key").alias("next_key"), F.col("hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint"))
+    met = made.join(after, ["next_key", "next_hash"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return met.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),

@@ -91,7 +91,7 @@ def test_fingerprints_see_order_and_edits(spark):
 
 def check_edits(rows, docs):
     """docs are (id, text) in any order; equal rows count once."""
-    once = sorted({(k, t or "") for k, t in docs}, key=lambda x: (x[0] is None, -(x[0] or 0), common_hash(x[1])))
+    once = sorted({(k, t or "") for k, t in docs}, key=lambda x: (x[0] is None, -(x[0] or 0), common_hash(x[1], x[0] is None)))
     want = {}
     for i, (k, t) in enumerate(once):
         half = len(t) // 2
@@ -100,16 +100,16 @@ def check_edits(rows, docs):
     assert collections.Counter((r.doc_id, r.edited_sha256, r.n_chars) for r in rows) == want
 
 
-def common_hash(text):
+def common_hash(text, no_id):
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    if text not in _HASHES:
-        _HASHES[text] = SparkSession.active().createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
-    return _HASHES[text]
+    if (text, no_id) not in _HASHES:
+        _HASHES[text, no_id] = SparkSession.active().createDataFrame([(text, no_id)], "t string, n boolean").select(F.xxhash64("t", "n")).first()[0]
+    return _HASHES[text, no_id]
 
 
-_HASHES: dict[str, int] = {}
+_HASHES: dict[tuple[str, bool], int] = {}
 
 
 def test_op11_edits_and_cases(spark, texts, odd, empty):
