@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators: each stage takes what the one before kept.
 
-Stages: quality rules (documents that fail go), n-gram Jaccard join (the smallest id of each group stays), substring
+Stages: quality rules (documents that fail go), n-gram Jaccard join (one row of each group stays, of its smallest id), substring
 dedup (repeated sentence spans are cut from the texts), secret scans (live-looking secrets are replaced), packing. All
 but the last return the columns of ``documents``. Defined cases are those of the operators.
 """
@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs, jaccard.jaccard_join(docs))
+    return jaccard.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

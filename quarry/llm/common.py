@@ -80,8 +80,8 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE_VALUE = stream(1, 256)
-_BASE = 0xD1342543DE82EF95
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_BASES = (0x3C6EF372, 0x5BE0CD19)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _IS_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -91,24 +91,34 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo the prime."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        factors = np.full(size, base, dtype=np.uint64)
-        factors[0] = 1
-        have = np.cumprod(factors, dtype=np.uint64)
-        if size <= 2 * CHUNK_BYTES:
+        have = np.ones(1, dtype=np.uint64)
+        while len(have) < max(n, 2 * CHUNK_BYTES):
+            have = np.concatenate((have, have * np.uint64(pow(base, len(have), _PRIME)) % np.uint64(_PRIME)))
+        have = have.astype(np.uint32)
+        if len(have) <= 4 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Polynomial hashes of values[start:end] for many ranges at once, equal for equal content wherever it stands."""
+def _modulo(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Polynomials of values (below 2**31) in the base, over ranges, modulo the prime. Sums of halved products stay below
+    2**64 for up to 2**31 values."""
+    prime = np.uint64(_PRIME)
+    products = values * powers(base, len(values))
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:], dtype=np.uint64)
-    inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    np.cumsum((products & prime) + (products >> np.uint64(31)), out=sums[1:], dtype=np.uint64)
+    inverse = powers(pow(base, -1, _PRIME), len(values) + 1)
+    return (sums[end] - sums[start]) % prime * inverse[start] % prime
+
+
+def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of values[start:end] for many ranges at once, equal for equal content wherever it stands: two
+    bases modulo a prime, each over its own half of the values' bits."""
+    first, second = (_modulo(values >> np.uint64(31 * k) & np.uint64(_PRIME), start, end, base) for k, base in enumerate(_BASES))
+    return mix((first << np.uint64(31) | second) + (end - start).astype(np.uint64) * np.uint64(_STEP))
 
 
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -195,9 +205,10 @@ def sums_by(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
 
 
 def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """The ``most`` rows whose ids hash lowest: a bounded sample that does not depend on the order or number of files."""
+    """At most ``most`` rows, of the ids that hash lowest: a bounded sample that does not depend on the order or number
+    of files. Of ids that many rows repeat those rows are taken that hash lowest."""
     ids = rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
-    return rows.join(F.broadcast(ids), id_col)
+    return rows.join(F.broadcast(ids), id_col).orderBy(F.xxhash64(*rows.columns)).limit(most)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -212,18 +223,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def fit_in_one_task(features: DataFrame, counted: str, most: int, fit: Callable[[pa.Table], object | None]) -> object | None:
     """What fit makes of the rows of features (doc_id and more), in one task, so that the driver gets the model alone.
-    Rows come in the order of their ids' hashes and end before the lists in the column ``counted`` hold more than
-    ``most`` values together, so the task's memory is bounded however long the texts are."""
+    Rows come in the order of their ids' hashes; one with which the lists in the column ``counted`` would hold more than
+    ``most`` values together is left out, so the task's memory is bounded however long the texts are."""
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            stop = held + np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(counted)), 0)))
-            n = int(np.searchsorted(stop, most, "right"))
-            parts.append(batch.slice(0, n))
-            if n < batch.num_rows:
-                break
-            held = int(stop[-1]) if n else held
+            taken = []
+            for i, size in enumerate(np.asarray(pc.fill_null(pc.list_value_length(batch.column(counted)), 0)).tolist()):
+                if held + size <= most:
+                    held += size
+                    taken.append(i)
+            parts.append(batch if len(taken) == batch.num_rows else batch.take(pa.array(taken, pa.int64())))
         model = fit(pa.Table.from_batches(parts).combine_chunks().sort_by("doc_id")) if parts else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 

@@ -2,7 +2,7 @@
 
 The tokenizers' own split never joins characters across the places where ``Encoder`` cuts, so the ids of a text are
 those of its parts one after the other. The parts of all texts of a chunk are hashed at once, and ids of parts met before
-are gathered from ``Known``, flat arrays in the worker's memory; a part is made once. A part of letters and printable
+are gathered from ``Known``, flat arrays in the worker's memory, where its bytes are compared; a part is made once. A part of letters and printable
 ASCII is split into words as the tokenizer splits it, and words go to the library's model; any other part goes through
 the whole library.
 """
@@ -21,10 +21,13 @@ import regex
 from quarry.llm.common import Words, byte_hashes, flat_bytes, runs
 
 MAX_PARTS, MAX_IDS, FRESH = 1_000_000, 8_000_000, 60_000
+#: Eight-byte blocks of known parts' own bytes, and the size from which two parts are compared one by one.
+MAX_BLOCKS, ALONE = 4_000_000, 256
 MAX_WORDS, LONG = 200_000, 256
 #: Parts that are split here, and their split with a space before them or without; special tokens hold "<|".
 _SIMPLE = regex.compile(r"[ \n]?[!-~\p{L}]*")
 _SPACED = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s")
+_WHITE = regex.compile(r"\p{White_Space}+")
 _BARE = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -56,18 +59,32 @@ class Table(dict):
         return value
 
 
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one integer; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _block(every: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Block k of the parts of that many bytes from start on, zeros behind their ends."""
+    left = np.minimum(size - 8 * k, 8).astype(np.uint64)
+    return every[start + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+
+
 class Known:
-    """Ids of parts by their 64-bit hashes, in arrays sorted by hash: an older, large set, and what is new since. Of more
+    """Ids of parts that are looked up by their 64-bit hashes, in arrays sorted by hash: an older, large set, and what is
+    new since. The bytes of a part are kept and compared, so that a part whose hash another one has is made anew. Of more
     than MAX_PARTS parts or MAX_IDS ids the half used last stays."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make, self.clock, self.used, self.flat = make, 0, 0, np.zeros(1 << 16, dtype=np.uint32)
+        self.filled, self.own = 0, np.zeros(1 << 16, dtype=np.uint64)
         self.old, self.new = self._empty(), self._empty()
 
     @staticmethod
     def _empty() -> list[np.ndarray]:
-        """Hashes, first places in flat, numbers of ids, and when each was used last."""
-        return [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        """Hashes, first places in flat, numbers of ids, when each was used last, first blocks in own, sizes in bytes."""
+        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(5))]
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts, one after the other; number of ids of each)."""
@@ -78,50 +95,102 @@ class Known:
         order = np.argsort(hashes)
         ordered = hashes[order]
         first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        at, size = self._find(ordered[first], data, start[order[first]], end[order[first]])
         of = np.empty(len(order), dtype=np.int64)
         of[order] = np.cumsum(first) - 1
-        sizes = size[of]
+        one, every = order[first], blocks(data)
+        at, sizes = (x[of] for x in self._find(ordered[first], data, every, start[one], end[one]))
+        other = np.flatnonzero(~self._same(every, start, end - start, every, start[one][of], (end - start)[one][of], 1))
+        if len(other):  # parts that share the hash of another part of this chunk
+            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+            sizes[other] = [len(x) // 4 for x in made]
+            at[other] = self._store(made)
         stop = np.cumsum(sizes)
-        return self.flat[np.repeat(at[of] - (stop - sizes), sizes) + np.arange(stop[-1])], sizes
+        return self.flat[np.repeat(at - (stop - sizes), sizes) + np.arange(stop[-1])], sizes
 
-    def _find(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, size, todo = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+    @staticmethod
+    def _same(every: np.ndarray, start: np.ndarray, size: np.ndarray, theirs: np.ndarray, their_start: np.ndarray, their_size: np.ndarray, step: int) -> np.ndarray:
+        """Which parts agree byte by byte; the others' next block is ``8 // step`` places on (they lie in bytes or blocks)."""
+        same = size == their_size
+        for k in range(-(-int(min(size.max(initial=0), ALONE)) // 8)):
+            i = np.flatnonzero(same & (size > 8 * k))
+            i = i[start[i] != their_start[i]] if step == 1 and theirs is every else i
+            right = _block(theirs, their_start[i], size[i], k) if step == 1 else theirs[their_start[i] + k]
+            same[i] = _block(every, start[i], size[i], k) == right
+        for i in np.flatnonzero(same & (size > ALONE)).tolist():
+            if step == 1 and theirs is every and start[i] == their_start[i]:
+                continue
+            k = np.arange(-(-int(size[i]) // 8))
+            right = theirs[their_start[i] + 8 * k] if step == 1 else theirs[their_start[i] + k]
+            left = every[start[i] + 8 * k]
+            same[i] = (left[:-1] == right[:-1]).all() and _block(every, start[i : i + 1], size[i : i + 1], int(k[-1]))[0] == (
+                _block(theirs, their_start[i : i + 1], size[i : i + 1], int(k[-1]))[0] if step == 1 else right[-1]
+            )
+        return same
+
+    def _find(self, keys: np.ndarray, data: np.ndarray, every: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, size, todo, fresh = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool), np.ones(len(keys), bool)
         for have in (self.old, self.new):
             if len(have[0]):
                 place = np.minimum(np.searchsorted(have[0], keys), len(have[0]) - 1)
                 hit = np.flatnonzero(have[0][place] == keys)
+                fresh[hit] = False
                 place = place[hit]
+                same = self._same(every, start[hit], end[hit] - start[hit], self.own, have[4][place], have[5][place], 8)
+                hit, place = hit[same], place[same]
                 at[hit], size[hit], todo[hit] = have[1][place], have[2][place], False
                 have[3][place] = self.clock
         missing = np.flatnonzero(todo)
         if len(missing):
             made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
             size[missing] = [len(x) // 4 for x in made]
-            at[missing] = self.used + np.cumsum(size[missing]) - size[missing]
-            self._store(np.frombuffer(b"".join(made), dtype="<u4"))
-            place = np.searchsorted(self.new[0], keys[missing])
-            fresh = (keys[missing], at[missing], size[missing], np.full(len(missing), self.clock))
-            self.new = [np.insert(x, place, y) for x, y in zip(self.new, fresh, strict=True)]
+            at[missing] = self._store(made)
+            keep = missing[fresh[missing]]  # a hash stands for one part alone
+            place = np.searchsorted(self.new[0], keys[keep])
+            own, length = self._keep(every, start[keep], end[keep] - start[keep]), end[keep] - start[keep]
+            added = (keys[keep], at[keep], size[keep], np.full(len(keep), self.clock), own, length)
+            self.new = [np.insert(x, place, y) for x, y in zip(self.new, added, strict=True)]
         return at, size
 
-    def _store(self, ids: np.ndarray) -> None:
+    def _store(self, made: list[bytes]) -> np.ndarray:
+        """Where the ids of each part are in flat from now on."""
+        ids, size = np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(x) // 4 for x in made])
+        at = self.used + np.cumsum(size) - size
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + len(ids), np.uint32)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
+        return at
+
+    def _keep(self, every: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where the bytes of each part are in own from now on, in whole blocks."""
+        n = -(-size // 8)
+        stop = self.filled + np.cumsum(n)
+        if len(n) and stop[-1] > len(self.own):
+            self.own = np.concatenate((self.own[: self.filled], np.zeros(int(stop[-1]), np.uint64)))
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left = np.minimum(np.repeat(size, n) - 8 * k, 8).astype(np.uint64)
+        self.own[self.filled : self.filled + len(k)] = every[np.repeat(start, n) + 8 * k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        self.filled += len(k)
+        return stop - n
+
+    @staticmethod
+    def _moved(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those ranges of flat, one after the other; where each is then)."""
+        stop = np.cumsum(size)
+        return flat[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], stop - size
 
     def _shrink(self) -> None:
-        if len(self.new[0]) > FRESH or self.used > MAX_IDS:
+        full = self.used > MAX_IDS or self.filled > MAX_BLOCKS
+        if len(self.new[0]) > FRESH or full:
             every = [np.concatenate(x) for x in zip(self.old, self.new, strict=True)]
             order = np.argsort(every[0])
             self.old, self.new = [x[order] for x in every], self._empty()
-        if len(self.old[0]) > MAX_PARTS or self.used > MAX_IDS:
-            keep = (self.old[3] > np.median(self.old[3])) & (self.old[2] <= LONG)
-            key, at, size, stamp = (x[keep] for x in self.old)
-            stop = np.cumsum(size)
-            ids = self.flat[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-            self.old, self.used, self.flat = [key, stop - size, size, stamp], len(ids), ids
+        if len(self.old[0]) > MAX_PARTS or full:
+            keep = (self.old[3] > np.median(self.old[3])) & (self.old[2] <= LONG) & (self.old[5] <= 8 * LONG)
+            key, at, size, stamp, own, length = (x[keep] for x in self.old)
+            self.flat, at = self._moved(self.flat, at, size)
+            self.own, own = self._moved(self.own, own, -(-length // 8))
+            self.old, self.used, self.filled = [key, at, size, stamp, own, length], len(self.flat), len(self.own)
 
 
 def _odd_spaces(data: np.ndarray) -> np.ndarray:
@@ -191,7 +260,7 @@ class Encoder:
 
     def _spaced(self, part: str) -> bytes:
         """A part of a text with the white space before it."""
-        if part.isspace():
+        if _WHITE.fullmatch(part):
             return self._word(part)
         if "<|" in part or not _SIMPLE.fullmatch(part):
             return self.whole(part)

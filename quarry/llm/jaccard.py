@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm.common import Words, join_common, materialize, mix, slices, stream, table, texts_of
+from quarry.llm.common import Words, join_common, materialize, mix, slices, stream, table, texts_of, unused
 from quarry.llm.components import connected_components
 
 CELL = 400
@@ -142,9 +143,10 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
-    """doc_id, class_id (smallest id of the documents reached by links), n_links (other documents whose n-gram sets have
-    a Jaccard similarity of at least threshold, equal ones included)."""
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key1, key2, bands of every row; for each class of equal n-gram sets cls, rep (smallest id), n (rows),
+    class_id (smallest id of the documents reached by links), first (the class that has it, of more the smallest), n_links).
+    """
     bands, rows = choose_bands(threshold, recall)
     every = materialize(sketch(docs, n, bands, rows), "sketch")
     keyed = every.where("key1 is not null")
@@ -180,12 +182,19 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     names = classes.select(F.xxhash64("key1", "key2").alias("cls"), "rep", "copies", "n")
     groups = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b")))
     grouped = names.join(groups.withColumnRenamed("v", "cls"), "cls")
-    least = grouped.groupBy("label").agg(F.min("rep").alias("class_id"))
-    joined = grouped.join(least, "label").join(links, "cls").select("cls", "class_id", "links")
+    least = grouped.groupBy("label").agg(F.min(F.struct("rep", "cls")).alias("least"))
+    joined = grouped.join(least, "label").join(links, "cls").select("cls", "least", "links")
     per_class = names.join(joined, "cls", "left").select(
-        "cls", "n", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "cls", "n", "rep", F.coalesce("least.rep", "rep").alias("class_id"), F.coalesce("least.cls", "cls").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    per_class = materialize(per_class, "per-class")
+    return every, materialize(per_class, "per-class")
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
+    """doc_id, class_id (smallest id of the documents reached by links), n_links (other documents whose n-gram sets have
+    a Jaccard similarity of at least threshold, equal ones included)."""
+    every, per_class = jaccard_classes(docs, n, threshold, recall)
+    keyed, per_class = every.where("key1 is not null"), per_class.select("cls", "n", "class_id", "n_links")
     rows_in = join_common(keyed.select("doc_id", F.xxhash64("key1", "key2").alias("cls")), per_class, "cls").select("doc_id", "class_id", "n_links")
     alone = every.where("key1 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return rows_in.union(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
@@ -210,10 +219,47 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, n: int) -> Dat
     return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of docs whose id is the smallest of its group; rows with a null id stay."""
-    gone = groups.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _with_class(docs: DataFrame, name: str, n: int) -> DataFrame:
+    """docs with the class of each row's text, null without words."""
+    whole = docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, name):
+                doc, grams = gram_sets(Words.of(part.column(part.num_columns - 1), lower=True), n)
+                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+                present = np.zeros(part.num_rows, dtype=bool)
+                present[doc[first]] = True
+                keys = []
+                for k in (1, 2):
+                    full = np.zeros(part.num_rows, dtype=np.int64)
+                    full[doc[first]] = np.add.reduceat(mix(grams + np.uint64(k)), first).astype(np.int64) if len(first) else 0
+                    keys.append(pa.array(full, mask=~present))
+                names = [f"c{i}" for i in range(part.num_columns + 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *keys], names=names)
+
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField(f"c{len(docs.columns) + k}", LongType()) for k in (0, 1)]
+    made = whole.mapInArrow(classed, StructType(fields))
+    keys = [F.col(f"c{len(docs.columns) + k}") for k in (0, 1)]
+    return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), F.when(keys[0].isNotNull(), F.xxhash64(*keys)).alias(name))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
+    """One row of each group of near duplicates. It is decided by id and set of n-grams: of a group stays the class with
+    the smallest id, and of its rows with that id one, the first by text and then by a hash of all columns. A null id
+    counts as larger than any other. Other texts of an id whose row goes stay or go with their own group; texts without
+    words have none, and all stay."""
+    largest = F.lit((1 << 63) - 1)
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), largest).alias("doc_id"), "text")
+    _, classes = jaccard_classes(ids, n, threshold, recall)
+    stays = classes.where("cls = first").select(F.col("cls").alias("c"), F.col("rep").alias("r"))
+    cls, row = unused("cls", docs.columns), unused("row", docs.columns)
+    rows = _with_class(docs, cls, n)
+    of_class = rows.join(stays, (F.col(cls) == F.col("c")) & (F.coalesce(F.col("doc_id").cast("long"), largest) == F.col("r")), "left_semi")
+    order = Window.partitionBy(cls).orderBy("text", F.xxhash64(*(f"`{c}`" for c in docs.columns)))
+    one = of_class.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return one.select(*kept).unionAll(rows.where(F.col(cls).isNull()).select(*kept))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules (operator 4): hashed word and character n-gram logistic regression.
 
 The model is fitted on at most ``max_rows`` labelled documents (a bounded sample, the lowest by a hash of their ids, up
-to ``MAX_FEATURES`` features), calibrated by Platt scaling on a fifth of them, in one task, so that the driver gets the
+to ``max_features`` features), calibrated by Platt scaling on a fifth of them, in one task, so that the driver gets the
 weights alone, and applied to every document in Arrow batches against a fixed threshold, after fixed base rules. A
 document's features are the shares of its word 1- and 2-grams and character 4-grams in hashed buckets, so its length
 alone does not move the score.
@@ -27,7 +27,6 @@ WORD_BITS, CHAR_BITS = 16, 14
 WIDTH = (2 << WORD_BITS) + (1 << CHAR_BITS)
 SCALE = 30.0
 BLOCK = 1 << 20
-MAX_FEATURES = 12_000_000
 KEEP_FROM = 0.3
 _SYMBOL = np.isin(np.arange(256), [ord(x) for x in "#*$%&|<>"])
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -68,7 +67,7 @@ class Model:
         return sigmoid(self.a * (raw_scores(words, self.weights) + self.bias) + self.b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int = 120, ridge: float = 1e-4) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_features: int = 12_000_000, steps: int = 120, ridge: float = 1e-4) -> Model | None:
     """Fit on labelled documents; None where the labels lack a class."""
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id is not null and quality in (0, 1)")
     rows = labelled_sample(docs, labels, max_rows)
@@ -90,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, steps: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), buckets, pa.ListArray.from_arrays(cut, value)], names=["doc_id", "y", "at", "x"])
 
     sample = rows.mapInArrow(features, "doc_id long, y int, at array<int>, x array<float>")
-    return fit_in_one_task(sample, "at", MAX_FEATURES, lambda got: _fit(got, steps, ridge))
+    return fit_in_one_task(sample, "at", max_features, lambda got: _fit(got, steps, ridge))
 
 
 def _fit(got: pa.Table, steps: int, ridge: float) -> Model | None:

@@ -2,7 +2,7 @@
 
 A document is a bag of sentences. A sentence's toxicity is a logistic function of its hashed words; a document is toxic
 unless all its sentences are harmless (noisy-or), and only document labels are used to fit the sentence scores. The fit
-takes at most ``max_rows`` labelled documents, a bounded sample of up to ``MAX_WORDS`` words, in one task, so that the
+takes at most ``max_rows`` labelled documents, a bounded sample of up to ``max_words`` words, in one task, so that the
 driver gets the weights alone; every document is scored. A last Platt step on a fifth of the sample calibrates the
 document score. Sentences with a score of ``OFFENDING`` or more are located.
 
@@ -28,7 +28,6 @@ SPARE = 1 << BITS  # the place of features that too few documents have
 PREFIXES = (4, 5, 6)
 OFFENDING = 0.5
 THRESHOLD = 0.7
-MAX_WORDS = 6_000_000
 _PRIOR = -7.0
 
 
@@ -63,7 +62,7 @@ class Model:
         return sigmoid(self.a * _log_odds(harm[of[1:]] - harm[of[:-1]]) + self.b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, steps: int = 150, ridge: float = 3e-4) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_words: int = 6_000_000, steps: int = 150, ridge: float = 3e-4) -> Model | None:
     """Fit on labelled documents outside the held-out third."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and toxic in (0, 1)")
     rows = labelled_sample(docs, labels.where("crc32(cast(doc_id as string)) % 3 <> 1"), max_rows)
@@ -82,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, steps: int =
                 )
 
     sample = rows.mapInArrow(features, "doc_id long, y int, sentence array<int>, " + ", ".join(f"{f} array<int>" for f in families))
-    return fit_in_one_task(sample, "sentence", MAX_WORDS, lambda got: _fit(got, families, steps, ridge))
+    return fit_in_one_task(sample, "sentence", max_words, lambda got: _fit(got, families, steps, ridge))
 
 
 def _fit(got: pa.Table, families: list[str], steps: int, ridge: float) -> Model | None:
