@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import HOT_ROWS, join_common, materialize, stream, table
 
-LETTERS = r"[A-Za-zÀ-ÿ]+"
+LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST, TIMES, LONG = 7, 10, 64
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def letter_runs(docs: DataFrame) -> DataFrame:
-    """word: every run of letters of every text, A-Z in lower case."""
-    found = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(LETTERS), F.lit(0))
+def letter_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """word: every run of at least so many letters of every text, A-Z in lower case."""
+    found = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(f"{LETTERS}{{{least},}}"), F.lit(0))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found).alias("run")).select("doc_id", F.translate("run", *_LOWER).alias("word"))
 
 
@@ -90,29 +90,42 @@ def edge_table(words: DataFrame) -> DataFrame:
     return nodes.select("backward", "node", F.char_length("node").alias("depth"), "edges")
 
 
-def _fits(edge: Column, path: Column, depth: Column) -> Column:
-    """Whether a word may lie behind the edge that goes on as path does after depth + 1 letters."""
-    left = edge["left"].bitwiseAND(_left_bit(F.char_length(path) - depth)) != 0
-    beyond = F.when(edge["many"], edge["next"].bitwiseAND(_next_bit(path, depth + 2)) != 0).otherwise(edge["rest"] == _rest(path, depth + 2))
-    return left & beyond
+#: What a state knows of the text behind the next letter of its path: of one that changes the letter (or goes on), puts
+#: one in, or leaves its own out. Computed once for each state.
+_KINDS = ("same", "more", "less")
 
 
-def _steps(path: Column, depth: Column, edits: Column, edges: Column) -> Column:
+def _with_behind(states: DataFrame) -> DataFrame:
+    """states with own (the next letter), behind, and, for each kind, the bits and the hash that its edges must have."""
+    path, depth = F.col("path"), F.col("depth")
+    cut = states.withColumns({"before": F.substring(path, F.lit(1), depth), "own": F.substring(path, depth + 1, F.lit(1)), "behind": F.substring(path, depth + 2, F.lit(2 * LONG)), "size": F.char_length("path") - depth})
+    texts = {"same": F.col("behind"), "more": F.concat("own", "behind"), "less": F.substring(F.col("behind"), F.lit(2), F.lit(2 * LONG))}
+    sizes = {"same": F.col("size"), "more": F.col("size") + 1, "less": F.greatest(F.col("size") - 1, F.lit(0))}
+    facts = {f"{k}_{name}": value for k in _KINDS for name, value in (("left", _left_bit(sizes[k])), ("next", _next_bit(texts[k], F.lit(1))), ("rest", _rest(texts[k], F.lit(1))))}
+    return cut.withColumns(facts)
+
+
+def _fits(e: Column, kind: str) -> Column:
+    """Whether a word may lie behind the edge that goes on as that kind of state does."""
+    beyond = F.when(e["many"], e["next"].bitwiseAND(F.col(f"{kind}_next")) != 0).otherwise(e["rest"] == F.col(f"{kind}_rest"))
+    return (e["left"].bitwiseAND(F.col(f"{kind}_left")) != 0) & beyond
+
+
+def _steps() -> Column:
     """The states (path, edits, many) that the edges of a state's node lead to; many is false where one word is behind."""
-    before, own, behind = F.substring(path, F.lit(1), depth), F.substring(path, depth + 1, F.lit(1)), F.substring(path, depth + 2, F.lit(2 * LONG))
-    others = F.filter(edges, lambda e: (e["letter"] != own) & (e["letter"] != ""))
-    back = F.filter(edges, lambda e: (e["letter"] == F.substring(behind, F.lit(1), F.lit(1))) & (e["letter"] != own))
+    path, edges, before, own, behind = (F.col(c) for c in ("path", "edges", "before", "own", "behind"))
 
-    def state(new: Column, e: Column) -> Column:
-        return F.struct(F.when(_fits(e, new, depth), new).alias("path"), F.lit(1).alias("edits"), e["many"].alias("many"))
+    def states(test, new, edits: int) -> Column:  # noqa: ANN001
+        return F.transform(F.filter(edges, test), lambda e: F.struct(new(e).alias("path"), F.lit(edits).alias("edits"), e["many"].alias("many")))
 
-    longer = F.transform(others, lambda e: state(F.concat(before, e["letter"], own, behind), e))
-    changed = F.transform(others, lambda e: state(F.concat(before, e["letter"], behind), e))
-    shorter = F.transform(back, lambda e: state(F.concat(before, behind), e))
-    same = F.transform(F.filter(edges, lambda e: (e["letter"] == own) & (own != "") & e["many"]), lambda e: F.struct(path.alias("path"), F.lit(0).alias("edits"), e["many"].alias("many")))
-    edited = F.when(own != "", F.concat(same, changed, longer, shorter)).otherwise(longer)
-    on = F.transform(F.filter(edges, lambda e: e["letter"] == own), lambda e: state(path, e))
-    return F.filter(F.when(edits == 0, edited).otherwise(on), lambda s: s["path"].isNotNull())
+    other = lambda e: (e["letter"] != own) & (e["letter"] != "")
+    longer = states(lambda e: other(e) & _fits(e, "more"), lambda e: F.concat(before, e["letter"], own, behind), 1)
+    changed = states(lambda e: other(e) & _fits(e, "same"), lambda e: F.concat(before, e["letter"], behind), 1)
+    next_letter = F.substring(behind, F.lit(1), F.lit(1))
+    shorter = states(lambda e: (e["letter"] == next_letter) & (e["letter"] != own) & _fits(e, "less"), lambda e: F.concat(before, behind), 1)
+    same = states(lambda e: (e["letter"] == own) & e["many"], lambda e: path, 0)
+    on = states(lambda e: (e["letter"] == own) & _fits(e, "same"), lambda e: path, 1)
+    return F.when(F.col("edits") > 0, on).when(own != "", F.concat(same, changed, longer, shorter)).otherwise(longer)
 
 
 def trie_neighbours(words: DataFrame) -> DataFrame:
@@ -130,7 +143,7 @@ def trie_neighbours(words: DataFrame) -> DataFrame:
         else:
             facts = facts.withColumn("n", F.lit(1))
         met = join_common(keyed, facts, keys, total=total)
-        made = met.select("word", "backward", "depth", F.explode(_steps(F.col("path"), F.col("depth"), F.col("edits"), F.col("edges"))).alias("s"))
+        made = _with_behind(met).select("word", "backward", "depth", F.explode(_steps()).alias("s"))
         made = materialize(made.select("word", "backward", "s.path", (F.col("depth") + 1).alias("depth"), "s.edits", "s.many"), "frontier")
         ended.append(made.where(~F.col("many")).select("word", "backward", "path"))
         states, least = made.where("many").drop("many"), least + 1
