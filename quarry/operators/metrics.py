@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.windows import average_rank, flag, percentile_rank
+from quarry.operators.order_statistics import long_form, quantiles
 from quarry.sources.tables import stored
 
 WEEK = "week_key"
@@ -79,49 +80,66 @@ def weekly_spearman(scored: DataFrame, other: str, least: int) -> DataFrame:
     return ranked.groupBy(WEEK).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("spearman")).where(F.col("n") >= least)
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve, ties counted half. Scores are grouped first, so equal ones are one row."""
-    steps = _thresholds(scored)
+def roc_auc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve, ties counted half, of all rows or of each group. Scores are grouped first, so equal ones
+    are one row."""
     below = F.col("all_neg") - F.col("neg_up")
-    return steps.agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2)), F.max("all_pos") * F.max("all_neg")).alias("auc"))
+    return _thresholds(scored, by or []).groupBy(*(by or [])).agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2)), F.max("all_pos") * F.max("all_neg")).alias("auc"))
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """Sum over thresholds of the step in recall times precision."""
-    steps = _thresholds(scored)
-    return steps.agg(F.sum(F.col("pos") / F.col("all_pos") * F.col("pos_up") / (F.col("pos_up") + F.col("neg_up"))).alias("average_precision"))
+def average_precision(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sum over thresholds of the step in recall times precision, of all rows or of each group."""
+    step = F.try_divide(F.col("pos"), F.col("all_pos")) * F.col("pos_up") / (F.col("pos_up") + F.col("neg_up"))
+    return _thresholds(scored, by or []).groupBy(*(by or [])).agg(F.sum(step).alias("average_precision"))
 
 
-def _thresholds(scored: DataFrame) -> DataFrame:
-    """Distinct scores with their positives and negatives and those at or above them. Scores are dealt over ranges, which
-    are written so that they stay; sums run over the few ranges, and within each."""
-    by = known(scored).groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    ranged = stored(by.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "scores")
-    ranges = ranged.groupBy("range").agg(F.min("score").alias("least"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above, every = Window.orderBy(F.col("least").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+def _thresholds(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct scores of each group with their positives and negatives and those at or above them. Groups and scores are
+    dealt over ranges, which are written so that they stay; sums run over a group's few ranges, and within each. All groups
+    take one pass, and no group is in one task."""
+    by = known(scored).groupBy(*keys, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    ranged = stored(by.repartitionByRange(*keys, "score").withColumn("range", F.spark_partition_id()), "scores")
+    ranges = ranged.groupBy("range", *keys).agg(F.min("score").alias("least"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    above, every = Window.partitionBy(*keys).orderBy(F.col("least").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     ranges = ranges.select(
-        "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in "pn"), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg")
+        "range", *keys, *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in "pn"), F.sum("p").over(every).alias("all_pos"), F.sum("n").over(every).alias("all_neg")
     )
-    up = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(ranges), "range").select(
-        "score", "pos", "neg", "all_pos", "all_neg", (F.col("p_above") + F.sum("pos").over(up)).alias("pos_up"), (F.col("n_above") + F.sum("neg").over(up)).alias("neg_up")
+    up = Window.partitionBy("range", *keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(ranges, ["range", *keys]).select(
+        *keys, "score", "pos", "neg", "all_pos", "all_neg", (F.col("p_above") + F.sum("pos").over(up)).alias("pos_up"), (F.col("n_above") + F.sum("neg").over(up)).alias("neg_up")
     )
 
 
+def fold_measures(scored: DataFrame, fold: str = "fold") -> DataFrame:
+    """fold, n_rows, base_rate, auc, average_precision of each fold's known rows."""
+    sizes = known(scored).groupBy(fold).agg(F.count("*").alias("n_rows"), F.avg("y").alias("base_rate"))
+    return sizes.join(roc_auc(scored, [fold]), fold).join(average_precision(scored, [fold]), fold)
+
+
+CHUNK, MERGED = 1024, 64
+
+
 def permutation_test(scored: DataFrame, k: int = 20, n: int = 500) -> DataFrame:
     """Observed precision at k, its mean under n shuffles of scores within weeks, and the share at least as high. A
-    shuffle orders a week's rows by a hash of its number and the row; only the k first by hash are looked at. A week's rows
-    are one list, so that shuffles move no rows."""
+    shuffle orders a week's rows by a hash of its number and the row; only the k first by hash are looked at. Means are
+    compared after rounding, so that equal ones are, in whatever order they were summed. A week's rows lie in chunks of about CHUNK; each chunk keeps its own k first for every shuffle, and MERGED chunks at a time become
+    one, so that no row or task holds a large week."""
     rows = known(scored).select(WEEK, "ticker", "y")
     observed = precision_by_week(scored, k).agg(F.avg("p_at_k").alias("observed"))
-    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weeks = rows.repartition(parts, WEEK).groupBy(WEEK).agg(F.collect_list(F.struct("ticker", "y")).alias("rows"))
-    shuffled = weeks.crossJoin(F.broadcast(scored.sparkSession.range(n).withColumnRenamed("id", "perm")))
+    largest = rows.groupBy(WEEK).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most, parts = -(-largest // CHUNK), int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.pmod(F.xxhash64("ticker"), F.ceil(F.count("*").over(Window.partitionBy(WEEK)) / CHUNK)) if most > 1 else F.lit(0).cast("long")
+    chunks = rows.withColumn("chunk", chunk).repartition(parts, WEEK, "chunk").groupBy(WEEK, "chunk").agg(F.collect_list(F.struct("ticker", "y")).alias("rows"))
+    shuffled = chunks.crossJoin(F.broadcast(scored.sparkSession.range(n).withColumnRenamed("id", "perm")))
     key = lambda x: F.md5(F.concat_ws("|", F.col("perm").cast("string"), F.col(WEEK).cast("string"), x["ticker"].cast("string")))
     first = F.slice(F.sort_array(F.transform("rows", lambda x: F.struct(key(x).alias("k"), x["y"].cast("double").alias("y")))), 1, k)
-    mean = F.aggregate(first, F.lit(0.0), lambda total, x: total + x["y"]) / F.size(first)
-    perms = shuffled.select("perm", mean.alias("v")).groupBy("perm").agg(F.avg("v").alias("v"))
-    return perms.crossJoin(observed).agg(F.max("observed").alias("observed"), F.avg("v").alias("perm_mean"), F.avg(F.when(F.col("v") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"))
+    kept = shuffled.select(WEEK, "chunk", "perm", first.alias("first"))
+    while most > 1:
+        some = kept.withColumn("chunk", F.floor(F.col("chunk") / MERGED)).groupBy(WEEK, "chunk", "perm").agg(F.collect_list("first").alias("lists"))
+        kept, most = some.select(WEEK, "chunk", "perm", F.slice(F.sort_array(F.flatten("lists")), 1, k).alias("first")), -(-most // MERGED)
+    mean = F.aggregate("first", F.lit(0.0), lambda total, x: total + x["y"]) / F.size("first")
+    perms = kept.select("perm", mean.alias("v")).groupBy("perm").agg(F.avg("v").alias("v"))
+    return perms.crossJoin(observed).agg(F.max("observed").alias("observed"), F.avg("v").alias("perm_mean"), F.avg(F.when(F.round("v", 12) >= F.round("observed", 12), 1.0).otherwise(0.0)).alias("p_value"))
 
 
 def decile_spread(scored: DataFrame, buckets: int = 10, least: int = 20) -> DataFrame:
@@ -201,7 +219,7 @@ def weekly_summary(scored: DataFrame, k: int = 20) -> DataFrame:
     known_ret = F.when(F.col("fwd_ret").isNotNull(), F.col("ticker"))
     best = t.groupBy(WEEK).agg(
         F.avg("score").alias("mean_score"), F.avg("fwd_ret").alias("mean_ret"), F.max("bench_ret").alias("bench_ret"), F.avg(beat_benchmark(F.col("fwd_ret"), F.col("bench_ret"))).alias("hit_rate"),
-        F.avg("y").alias("precision"), F.max_by(known_ret, F.struct("fwd_ret", -F.col("ticker"))).alias("best_ticker"), F.min_by(known_ret, F.when(F.col("fwd_ret").isNotNull(), F.struct("fwd_ret", "ticker"))).alias("worst_ticker"),
+        F.avg("y").alias("precision"), F.min_by(known_ret, F.when(F.col("fwd_ret").isNotNull(), F.struct(-F.col("fwd_ret"), F.col("ticker")))).alias("best_ticker"), F.min_by(known_ret, F.when(F.col("fwd_ret").isNotNull(), F.struct("fwd_ret", "ticker"))).alias("worst_ticker"),
     )
     return universe.join(best, WEEK)
 
@@ -242,10 +260,9 @@ def profile(panel: DataFrame, columns: list[str]) -> DataFrame:
     long = panel.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))))
     shares = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
     n = F.count("v")
-    out = long.groupBy("feature").agg(
-        (1 - n / F.count("*")).alias("null_share"), F.percentile("v", F.array(*map(F.lit, shares))).alias("q"), F.when(n > 2, F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew")
-    )
-    return out.select("feature", "null_share", *(F.col("q")[i].alias(f"q{round(100 * s)}") for i, s in enumerate(shares)), "skew")
+    out = long.groupBy("feature").agg((1 - n / F.count("*")).alias("null_share"), F.when(n > 2, F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
+    found = quantiles(long_form(panel, columns), shares).groupBy(F.col("grp").alias("feature")).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"q{round(100 * s)}") for s in shares))
+    return out.join(found, "feature", "left").select("feature", "null_share", *(f"q{round(100 * s)}" for s in shares), "skew")
 
 
 def correlations(panel: DataFrame, new: list[str], base: list[str], alert: float = 0.85) -> DataFrame:

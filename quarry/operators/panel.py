@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.windows import clip, flag, last_rows, percentile_rank, ratio, rolling, series
+from quarry.operators.order_statistics import medians
 
 KEY, TIME = "ticker", "week_key"
 
@@ -56,6 +57,13 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def check_panel(df: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
+    """df, if it has the columns and rows whose label is known."""
+    if require(df, columns).where(F.col(label).isNotNull()).isEmpty():
+        raise ValueError("no rows with a known label")
+    return df
+
+
 def normal_ticker(c: Column) -> Column:
     return F.upper(F.trim(c))
 
@@ -75,11 +83,15 @@ def filled(c: Column, backward_first: bool = True) -> Column:
     return F.coalesce(back, forth) if backward_first else F.coalesce(forth, back)
 
 
+def in_band(price: Column, low: float | None = None, high: float | None = None) -> Column:
+    """low < price < high; a missing price is outside if there is a limit."""
+    over = flag(price > low) if low is not None else F.lit(True)
+    return over & (flag(price < high) if high is not None else F.lit(True))
+
+
 def price_between(df: DataFrame, price: str, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Rows with low < price < high; a missing price goes if there is a limit."""
-    if low is not None:
-        df = df.where(F.col(price) > low)
-    return df.where(F.col(price) < high) if high is not None else df
+    """Rows within the band."""
+    return df.where(in_band(F.col(price), low, high))
 
 
 def mostly_present(df: DataFrame, features: list[str], most_missing: float = 0.55) -> DataFrame:
@@ -206,10 +218,9 @@ def relevance(scored: DataFrame, label: str = "y", prob: str | None = "prob") ->
     """Relevance 0 to 3 from the label and whether the probability is at or above the global median; 2y without one."""
     if prob is None or prob not in scored.columns:
         return scored.withColumn("relevance", 2 * F.col(label))
-    s = scored.crossJoin(F.broadcast(scored.agg(F.percentile(prob, F.lit(0.5)).alias("_m"))))
-    high = F.col(prob) >= F.col("_m")
+    high = F.col(prob) >= F.lit(medians(scored, [prob]).get(prob)).cast("double")
     r = F.when((F.col(label) == 1) & high, 3).when(F.col(label) == 1, 2).when((F.col(label) == 0) & high, 1).when(F.col(label) == 0, 0)
-    return s.withColumn("relevance", r).drop("_m")
+    return scored.withColumn("relevance", r)
 
 
 def date_spread(panel: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import metrics, panel, parity, validate
+from quarry.operators import boosting, metrics, panel, parity, validate
 from quarry.plans.registry import Catalog, r, shown
 from quarry.sources.fixtures import SCORED_SQL
 from quarry.sources.fixtures import scored as scored_rows
@@ -97,15 +97,38 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 @ranking.add("permutation_test", f"""with {KNOWN_SQL}, o as (select avg(x) as o from (select avg(y) as x from pk where place <= 20 group by week_key)),
 z as (select perm, week_key, y, row_number() over (partition by perm, week_key order by md5(perm::varchar || '|' || week_key::varchar || '|' || ticker::varchar)) as k from kn cross join (select unnest(range(500)) as perm)),
 v as (select perm, avg(x) as v from (select perm, week_key, avg(y) as x from z where k <= 20 group by all) group by perm)
-select {r('max(o)', 'observed')}, {r('avg(v)', 'perm_mean')}, {r('avg((v >= o)::int)', 'p_value')} from v cross join o""")
+select {r('max(o)', 'observed')}, {r('avg(v)', 'perm_mean')}, {r('avg((round(v, 12) >= round(o, 12))::int)', 'p_value')} from v cross join o""")
 def permutation_test(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.permutation_test(scored_rows(spark, d)))
 
 
-@ranking.add("permutation_test_full", ranking.sql["permutation_test"])
+@ranking.add("permutation_test_full", ranking.sql["permutation_test"].replace("range(500)", "range(1000)"))
 def permutation_test_full(spark: SparkSession, d: str) -> DataFrame:
-    """The same, under its older name."""
-    return permutation_test(spark, d)
+    """The older pipeline's number of shuffles, 1,000."""
+    return shown(metrics.permutation_test(scored_rows(spark, d), n=1000))
+
+
+@ranking.add("fold_measures", f"""with {KNOWN_SQL}, f as (select *, year(week_key) as fold from kn),
+a as (select fold, score, sum(y) as p, sum(1 - y) as n from f group by all), b as (select *, sum(p) over w as pu, sum(n) over w as nu, sum(p) over (partition by fold) as ap, sum(n) over (partition by fold) as an from a window w as (partition by fold order by score desc))
+select fold, cast(sum(p + n) as bigint) as n_rows, {r('sum(p) / sum(p + n)', 'base_rate')}, {r('sum(p * (an - nu + n / 2)) / max(ap * an)', 'auc')}, {r('sum(p / ap * pu / (pu + nu))', 'average_precision')} from b group by fold""")
+def fold_measures(spark: SparkSession, d: str) -> DataFrame:
+    """A year stands for a fold."""
+    return shown(metrics.fold_measures(scored_rows(spark, d).withColumn("fold", F.year("week_key").cast("long"))))
+
+
+@ranking.add("pair_gradients", f"""with {KNOWN_SQL}, v as (select *, median(score) over (partition by week_key) as m from kn),
+x as (select *, 2 * y + (score >= m)::int as rel, row_number() over (partition by week_key order by score desc, ticker) as k from v), z as (select *, 2 ** rel - 1 as gain, case when k <= 20 then 1 / log2(k + 1) else 0 end as disc from x),
+i as (select week_key, sum(gain / log2(q + 1)) as ideal from (select *, row_number() over (partition by week_key order by gain desc, ticker) as q from z) where q <= 20 group by week_key),
+pr as (select a.week_key, a.ticker, sign(a.rel - b.rel) as s, abs(a.gain - b.gain) * abs(a.disc - b.disc) / ideal as delta, 1 / (1 + exp(greatest(-50, least(50, sign(a.rel - b.rel) * (a.score - b.score))))) as rho
+  from z a join z b on a.week_key = b.week_key and a.rel <> b.rel and (a.k <= 20 or b.k <= 20) join i on i.week_key = a.week_key where ideal > 0),
+t as (select week_key, ticker, -sum(s * rho * delta) as g, sum(rho * (1 - rho) * delta) as h from pr group by all)
+select ticker, week_key, {r('coalesce(g, 0)', 'gradient')}, {r('coalesce(h, 0)', 'curvature')} from kn left join t using (ticker, week_key)""")
+def pair_gradients(spark: SparkSession, d: str) -> DataFrame:
+    """The ranker's gradients at the panel's scores; a row's relevance is 2y, and 1 more from the week's median score on."""
+    s = metrics.known(scored_rows(spark, d))
+    m = F.percentile("score", F.lit(0.5)).over(Window.partitionBy("week_key"))
+    graded = s.withColumn("relevance", 2 * F.col("y") + (F.col("score") >= m).cast("int"))
+    return shown(boosting.pair_gradients(graded, 20))
 
 
 DECILE_SQL = """de as (select week_key, list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as e, count(*) as n from has where fwd_ret is not null group by week_key having count(*) >= 20),
@@ -169,6 +192,15 @@ def weekly_summary(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.weekly_summary(scored_rows(spark, d)))
 
 
+@ranking.add("weekly_summary_symbols", f"""with {SUMMARY_SQL}, b as (select week_key, 'T' || lpad(ticker::varchar, 6, '0') as t, fwd_ret from tt where fwd_ret is not null),
+e as (select week_key, arg_min(t, row(-fwd_ret, t)) as best_ticker, arg_min(t, row(fwd_ret, t)) as worst_ticker from b group by week_key)
+select week_key, universe, {r('ms', 'mean_score')}, {r('mr', 'mean_ret')}, {r('br', 'bench_ret')}, {r('hr', 'hit_rate')}, {r('pr', 'precision')}, best_ticker, worst_ticker from u join su using (week_key) left join e using (week_key)""")
+def weekly_summary_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """With tickers that are strings."""
+    s = scored_rows(spark, d)
+    return shown(metrics.weekly_summary(s.withColumn("ticker", F.concat(F.lit("T"), F.lpad(F.col("ticker").cast("string"), 6, "0")))))
+
+
 @ranking.add("backtest_averages", f"""with {SUMMARY_SQL} select {r('avg(pr)', 'precision')}, {r('avg(mr)', 'mean_ret')}, {r('avg(hr)', 'hit_rate')}, arg_max(week_key, mr) as best_week, arg_min(week_key, mr) as worst_week, count(*) as weeks from su where mr is not null""")
 def backtest_averages(spark: SparkSession, d: str) -> DataFrame:
     return shown(metrics.backtest_averages(metrics.weekly_summary(scored_rows(spark, d))))

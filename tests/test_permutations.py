@@ -1,15 +1,25 @@
-"""The registered permutation test runs the operator's own number of shuffles."""
+"""The registered permutation tests run the operator's own number of shuffles and the older one; chunks change nothing."""
 
 import inspect
 
 from quarry.operators import metrics
 from quarry.plans import catalog
+from quarry.sources.fixtures import scored
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_permutation_test_of_500_shuffles(spark):
     n = inspect.signature(metrics.permutation_test).parameters["n"].default
-    assert n == 500 and all("range(500)" in catalog.oracle_sql()[q] for q in ("permutation_test", "permutation_test_full"))
-    p = catalog.queries()["permutation_test_full"](spark, SF).first()["p_value"]
+    assert n == 500 and "range(500)" in catalog.oracle_sql()["permutation_test"] and "range(1000)" in catalog.oracle_sql()["permutation_test_full"]
+    p = catalog.queries()["permutation_test"](spark, SF).first()["p_value"]
     assert abs(p * n - round(p * n)) < 1e-6
+
+
+def test_chunks_of_a_week_change_nothing(spark, monkeypatch):
+    rows = scored(spark, SF)
+    whole = metrics.permutation_test(rows, 3, 40).first()
+    monkeypatch.setattr(metrics, "CHUNK", 2)
+    monkeypatch.setattr(metrics, "MERGED", 2)
+    cut = metrics.permutation_test(rows, 3, 40).first()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(whole, cut, strict=True))

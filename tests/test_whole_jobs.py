@@ -2,7 +2,6 @@
 
 import pytest
 
-from quarry.operators import validate
 from quarry.operators.model import Settings
 from quarry.plans import backtest, catalog, model_queries
 from quarry.sources.fixtures import bars
@@ -14,25 +13,27 @@ class Seen(Exception):
     pass
 
 
-def test_default_rule_scores_of_every_bar(spark):
+@pytest.mark.parametrize("name", ["rule_scores_defaults", "rule_scores_defaults_all"])
+def test_default_rule_scores_of_every_bar(spark, name):
     every = bars(spark, SF).select("ticker", "d")
-    got = catalog.queries()["rule_scores_defaults_all"](spark, SF).select("ticker", "d")
+    got = catalog.queries()[name](spark, SF).select("ticker", "d")
     assert got.count() == every.count() and got.exceptAll(every).count() == 0
     assert not any("n % 20" in sql for sql in catalog.oracle_sql().values())
 
 
-@pytest.mark.parametrize("name", ["pipeline_metrics", "production_ranking", "price_variant", "backtest_summary", "ablation"])
-def test_model_queries_run_at_the_librarys_sizes(spark, monkeypatch, name):
+@pytest.mark.parametrize(("name", "jobs"), [("pipeline_metrics", 1), ("production_ranking", 1), ("price_variant", 1), ("backtest_summary", 17), ("ablation", 3), ("fold_table", 1), ("run_variants", 3)])
+def test_model_queries_run_at_the_librarys_sizes(spark, monkeypatch, name, jobs):
     seen = []
 
-    def fit(train, score, features, folds, s):
-        seen.append((s, folds.select("fold").distinct().count(), len(validate.fold_bounds(validate.numbered_weeks(train).count(), folds=6))))
+    def fit(rows, found, s):
+        seen.append((s, [len(j.folds) for j in found]))
         raise Seen
 
-    monkeypatch.setattr(backtest, "fit_and_score", fit)
+    monkeypatch.setattr(backtest, "fit_jobs", fit)
     with pytest.raises(Seen):
         catalog.queries()[name](spark, SF)
-    assert {s for s, *_ in seen} == {Settings()} and all(found == six for _, found, six in seen)
+    (s, folds), = seen
+    assert s == Settings() and s.trees >= 60 and len(folds) == jobs and all(n >= 5 for n in folds)
 
 
 @pytest.mark.parametrize("name", ["forest_probability", "feature_importance"])
