@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.windows import percentile_rank
-from quarry.operators import metrics, panel, validate
+from quarry.operators import asof, metrics, panel, validate
 from quarry.plans.registry import Catalog, r, shown
 from quarry.sources.fixtures import SECTORS_SQL, WEEKLY_SQL, bars, sectors, weekly, weekly_benchmark
 
@@ -264,3 +264,32 @@ def incremental_momentum(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("week_key")
     ret = lambda n: F.col("close") / F.nullif(F.lag("close", n).over(w), F.lit(0.0)) - 1
     return shown(week_panel(spark, d).select("ticker", "week_key", ret(1).alias("plain_ret"), ret(4).alias("ret_4")))
+
+
+_BUSY_SQL = WEEKLY_SQL + ", busy as (select ticker, d as day, close as busy_close from bars where volume >= 45)"
+
+
+def _asof(spark: SparkSession, d: str, direction: str, tolerance: float | None = None) -> DataFrame:
+    """Each week's row with a day of large volume of its ticker."""
+    busy = bars(spark, d).where("volume >= 45").select("ticker", F.col("d").alias("day"), F.col("close").alias("busy_close"))
+    found = asof.asof_join(week_panel(spark, d).select("ticker", "week_key", "close"), busy, ["ticker"], "week_key", "day", direction, tolerance)
+    return shown(found)
+
+
+@weeks.add("asof_backward", f"with {_BUSY_SQL} select w.ticker, w.week_key, {r('w.close', 'close')}, day, {r('busy_close')} from weekly w asof left join busy b on w.ticker = b.ticker and w.week_key >= b.day")
+def asof_backward(spark: SparkSession, d: str) -> DataFrame:
+    return _asof(spark, d, "backward")
+
+
+@weeks.add("asof_forward", f"""with {_BUSY_SQL}, j as (select w.ticker, w.week_key, close, day, busy_close, coalesce(day - w.week_key <= 30, false) as near from weekly w asof left join busy b on w.ticker = b.ticker and w.week_key <= b.day)
+select ticker, week_key, {r('close')}, case when near then day end as day, {r('case when near then busy_close end', 'busy_close')} from j""")
+def asof_forward(spark: SparkSession, d: str) -> DataFrame:
+    return _asof(spark, d, "forward", 30)
+
+
+@weeks.add("asof_nearest", f"""with {_BUSY_SQL}, x as (select w.ticker, w.week_key, close, day as d1, busy_close as c1 from weekly w asof left join busy b on w.ticker = b.ticker and w.week_key >= b.day),
+y as (select x.*, day as d2, busy_close as c2 from x asof left join busy b on x.ticker = b.ticker and x.week_key <= b.day), z as (select *, d1 is null or coalesce(d2 - week_key < week_key - d1, false) as late from y),
+q as (select *, case when late then d2 else d1 end as day0, case when late then c2 else c1 end as c0 from z)
+select ticker, week_key, {r('close')}, case when abs(day0 - week_key) <= 10 then day0 end as day, {r('case when abs(day0 - week_key) <= 10 then c0 end', 'busy_close')} from q""")
+def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return _asof(spark, d, "nearest", 10)
