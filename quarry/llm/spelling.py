@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HOT_ROWS, join_common, materialize, stream, table
+from quarry.llm.common import HOT_ROWS, HOT_SHARE, materialize, stream, table
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 LEAST, TIMES, LONG = 7, 10, 64
@@ -128,6 +128,19 @@ def _steps() -> Column:
     return F.when(F.col("edits") > 0, on).when(own != "", F.concat(same, changed, longer, shorter)).otherwise(longer)
 
 
+def _at_nodes(states: DataFrame, nodes: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """states with the edges of their nodes. Up to HOT_ROWS states are broadcast, so that the last levels shuffle nothing;
+    of more, the nodes at which more than HOT_ROWS and one in HOT_SHARE stand, HOT_SHARE at most, are."""
+    if total <= HOT_ROWS:
+        return nodes.join(F.broadcast(states), keys)
+    often = states.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(*keys)
+    often = materialize(often, "common-nodes")
+    if often.isEmpty():
+        return states.join(nodes, keys)
+    few = F.broadcast(nodes.join(F.broadcast(often), keys))
+    return states.join(few, keys).unionByName(states.join(F.broadcast(often), keys, "left_anti").join(nodes, keys))
+
+
 def trie_neighbours(words: DataFrame) -> DataFrame:
     """word, near: every pair of words (word, n) of at most LONG letters that one edit parts, in both orders."""
     two = F.explode(F.array(F.struct(F.lit(False).alias("backward"), F.col("word").alias("path")), F.struct(F.lit(True).alias("backward"), F.reverse("word").alias("path"))))
@@ -138,12 +151,7 @@ def trie_neighbours(words: DataFrame) -> DataFrame:
     while total := states.count():
         keyed = states.withColumn("node", F.substring(F.col("path"), F.lit(1), F.col("depth")))
         facts = nodes.where(F.col("depth") >= least).drop("depth")  # each level is a letter deeper
-        if total > HOT_ROWS:
-            facts = facts.join(keyed.groupBy(*keys).agg(F.count("*").alias("n")), keys)
-        else:
-            facts = facts.withColumn("n", F.lit(1))
-        met = join_common(keyed, facts, keys, total=total)
-        made = _with_behind(met).select("word", "backward", "depth", F.explode(_steps()).alias("s"))
+        made = _with_behind(_at_nodes(keyed, facts, keys, total)).select("word", "backward", "depth", F.explode(_steps()).alias("s"))
         made = materialize(made.select("word", "backward", "s.path", (F.col("depth") + 1).alias("depth"), "s.edits", "s.many"), "frontier")
         ended.append(made.where(~F.col("many")).select("word", "backward", "path"))
         states, least = made.where("many").drop("many"), least + 1

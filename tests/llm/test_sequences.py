@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
-from quarry.llm import common, fingerprints, periodic, spelling  # noqa: E402
+from quarry.llm import fingerprints, periodic, spelling  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, word string, hash string, n string, runs string"
@@ -180,8 +180,7 @@ def test_variants_of_crowded_words(spark, monkeypatch, long):
     """Few letters, so that all edits at all places occur; long words from 9 letters on in one run; all nodes hot."""
     monkeypatch.setattr(spelling, "LONG", long)
     monkeypatch.setattr(spelling, "HOT_ROWS", 2)
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
-    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(spelling, "HOT_SHARE", 10**9)
     rng = random.Random(2)
     count = {"".join(rng.choice("aabé") for _ in range(rng.randrange(7, 13))): rng.choice([2, 3, 30, 400, 5000]) for _ in range(700)}
     got = [tuple(r) for r in spelling.variants(spark.createDataFrame(list(count.items()), "word string, n long")).collect()]
