@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.windows import clip, flag, last_rows, percentile_rank, ratio, rolling, series
+from quarry.functions.windows import clip, flag, last_rows, percentile_rank, ratio, rolling, series, week_end
 from quarry.operators.order_statistics import medians
 
 KEY, TIME = "ticker", "week_key"
@@ -176,13 +176,17 @@ def funnel(masked: DataFrame) -> DataFrame:
     return masked.agg(*(F.countDistinct(F.when(test, F.col(KEY))).alias(k) for k, test in steps.items()))
 
 
-def regime(benchmark: DataFrame, value: str = "bench_close") -> DataFrame:
-    """week_key, regime of the benchmark: 0 volatile, 1 falling, 3 rising, 2 else."""
+def regime(benchmark: DataFrame, value: str = "bench_close", expanding: bool = False) -> DataFrame:
+    """week_key, regime of the benchmark: 0 volatile, 1 falling, 3 rising, 2 else. Volatile is above the quartile of all
+    weeks, or, expanding, of the weeks so far, without a look ahead. One row for each week."""
     w = Window.orderBy(TIME)
     w4 = w.rowsBetween(-3, 0)
     b = benchmark.select(TIME, (ratio(F.col(value), F.lag(value, 4).over(w)) - 1).alias("r4"), F.ln(ratio(F.col(value), F.lag(value).over(w))).alias("_l"))
     b = b.withColumn("vol4", F.when(F.count("_l").over(w4) >= 2, F.stddev_samp("_l").over(w4)))
-    b = b.crossJoin(b.agg(F.percentile("vol4", F.lit(0.75)).alias("_q")))
+    if expanding:
+        b = b.withColumn("_q", F.percentile("vol4", F.lit(0.75)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        b = b.crossJoin(b.agg(F.percentile("vol4", F.lit(0.75)).alias("_q")))
     r = F.when(F.col("r4").isNull() | F.col("vol4").isNull(), None).when(F.col("vol4") > F.col("_q"), 0).when(F.col("r4") < -0.02, 1).when(F.col("r4") > 0.02, 3).otherwise(2)
     return b.select(TIME, "r4", "vol4", r.alias("regime"))
 
@@ -191,9 +195,22 @@ def regime(benchmark: DataFrame, value: str = "bench_close") -> DataFrame:
 
 
 def ranks(panel: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """<column>__rank: percentile rank of each column in its week."""
+    """<column>__rank: percentile rank of each column in its week; the panel has a row for each ticker and week. All
+    columns are ranked in one long shuffle by week and column, so the tasks are as many as weeks times columns."""
     own = columns if columns is not None else [c for c in RANKED if c in panel.columns]
-    return panel.select("*", *(percentile_rank(F.col(c), TIME).alias(f"{c}__rank") for c in own))
+    values = F.array(*(F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(own)))
+    long = panel.select(KEY, TIME, F.inline(values)).where(F.col("_v").isNotNull())
+    ranked = long.select(KEY, TIME, "_i", percentile_rank(F.col("_v"), TIME, "_i").alias("_p"))
+    wide = ranked.groupBy(KEY, TIME).agg(*(F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(f"{c}__rank") for i, c in enumerate(own)))
+    return panel.join(wide, [KEY, TIME], "left").select(*panel.columns, *(f"{c}__rank" for c in own))
+
+
+def with_snapshot(weekly: DataFrame, daily: DataFrame, columns: list[str], day: str = "d") -> DataFrame:
+    """weekly with the columns of each ticker's last daily row of the week, which replace its own of the same name;
+    risk-adjusted momenta follow the daily returns. Weeks without a daily row go."""
+    last = first_of(daily.withColumn(TIME, week_end(F.col(day))).select(KEY, TIME, day, *columns), [KEY, TIME], [F.col(day).desc()]).drop(day)
+    p = weekly.drop(*columns).join(last, [KEY, TIME])
+    return p.withColumns({f"RiskAdjMom_{k}": F.col(f"RET_{k}") / (F.col("Vol_12w") + 1e-6) for k in ("3M", "6M") if f"RET_{k}" in columns})
 
 
 def winsorised(panel: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:

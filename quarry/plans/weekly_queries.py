@@ -140,6 +140,12 @@ def regime_join(spark: SparkSession, d: str) -> DataFrame:
     return shown(p.join(panel.regime(weekly_benchmark(p)), "week_key", "left").groupBy("regime").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close")))
 
 
+@weeks.add("regime_expanding", f"""with {REGIME_SQL}, q as (select *, quantile_cont(vol4, 0.75) over (order by week_key rows unbounded preceding) as q from g1)
+select week_key, {r('r4')}, {r('vol4')}, cast(case when r4 is null or vol4 is null then null when vol4 > q then 0 when r4 < -0.02 then 1 when r4 > 0.02 then 3 else 2 end as bigint) as regime from q""")
+def regime_expanding(spark: SparkSession, d: str) -> DataFrame:
+    return shown(panel.regime(weekly_benchmark(week_panel(spark, d)), expanding=True))
+
+
 @weeks.add("time_decay", f"with {WEEKLY_SQL} select ticker, week_key, {r('pow(0.5, ((select max(week_key) from weekly) - week_key) / 7.0 / 26)', 'weight')} from weekly")
 def time_decay(spark: SparkSession, d: str) -> DataFrame:
     p = week_panel(spark, d)
