@@ -104,12 +104,16 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def _modulo(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomials of values (below 2**31) in the base, over ranges, modulo the prime. Sums of halved products stay below
+    """Polynomials of values (below 2**31, overwritten) in the base, over ranges, modulo the prime. Sums of halved products stay below
     2**64 for up to 2**31 values."""
     prime = np.uint64(_PRIME)
-    products = values * powers(base, len(values))
+    values *= powers(base, len(values))
+    upper = values >> np.uint64(31)
+    values &= prime
+    values += upper
+    del upper
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((products & prime) + (products >> np.uint64(31)), out=sums[1:], dtype=np.uint64)
+    np.cumsum(values, out=sums[1:], dtype=np.uint64)
     inverse = powers(pow(base, -1, _PRIME), len(values) + 1)
     return (sums[end] - sums[start]) % prime * inverse[start] % prime
 
@@ -117,7 +121,12 @@ def _modulo(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -
 def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hashes of values[start:end] for many ranges at once, equal for equal content wherever it stands: two
     bases modulo a prime, each over its own half of the values' bits."""
-    first, second = (_modulo(values >> np.uint64(31 * k) & np.uint64(_PRIME), start, end, base) for k, base in enumerate(_BASES))
+    parts = []
+    for k, base in enumerate(_BASES):
+        half = values >> np.uint64(31 * k)
+        half &= np.uint64(_PRIME)
+        parts.append(_modulo(half, start, end, base))
+    first, second = parts
     return mix((first << np.uint64(31) | second) + (end - start).astype(np.uint64) * np.uint64(_STEP))
 
 

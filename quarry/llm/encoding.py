@@ -22,7 +22,7 @@ from quarry.llm.common import Words, byte_hashes, flat_bytes, runs
 
 MAX_PARTS, MAX_IDS, FRESH = 1_000_000, 8_000_000, 60_000
 #: Eight-byte blocks of known parts' own bytes, and the size from which two parts are compared one by one.
-MAX_BLOCKS, ALONE = 4_000_000, 256
+MAX_BLOCKS, ALONE = 2_000_000, 256
 MAX_WORDS, LONG = 200_000, 256
 #: Parts that are split here, and their split with a space before them or without; special tokens hold "<|".
 _SIMPLE = regex.compile(r"[ \n]?[!-~\p{L}]*")
@@ -84,7 +84,7 @@ class Known:
     @staticmethod
     def _empty() -> list[np.ndarray]:
         """Hashes, first places in flat, numbers of ids, when each was used last, first blocks in own, sizes in bytes."""
-        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(5))]
+        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int32) for _ in range(5))]
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts, one after the other; number of ids of each)."""
@@ -148,7 +148,7 @@ class Known:
             place = np.searchsorted(self.new[0], keys[keep])
             own, length = self._keep(every, start[keep], end[keep] - start[keep]), end[keep] - start[keep]
             added = (keys[keep], at[keep], size[keep], np.full(len(keep), self.clock), own, length)
-            self.new = [np.insert(x, place, y) for x, y in zip(self.new, added, strict=True)]
+            self.new = [np.insert(x, place, y.astype(x.dtype)) for x, y in zip(self.new, added, strict=True)]
         return at, size
 
     def _store(self, made: list[bytes]) -> np.ndarray:
@@ -176,7 +176,7 @@ class Known:
     @staticmethod
     def _moved(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(those ranges of flat, one after the other; where each is then)."""
-        stop = np.cumsum(size)
+        stop = np.cumsum(size, dtype=np.int64)
         return flat[np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], stop - size
 
     def _shrink(self) -> None:
@@ -190,7 +190,7 @@ class Known:
             key, at, size, stamp, own, length = (x[keep] for x in self.old)
             self.flat, at = self._moved(self.flat, at, size)
             self.own, own = self._moved(self.own, own, -(-length // 8))
-            self.old, self.used, self.filled = [key, at, size, stamp, own, length], len(self.flat), len(self.own)
+            self.old, self.used, self.filled = [key, at.astype(np.int32), size, stamp, own.astype(np.int32), length], len(self.flat), len(self.own)
 
 
 def _odd_spaces(data: np.ndarray) -> np.ndarray:

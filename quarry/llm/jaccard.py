@@ -221,12 +221,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, n: int) -> Dat
 
 def _with_class(docs: DataFrame, name: str, n: int) -> DataFrame:
     """docs with the class of each row's text, null without words."""
-    whole = docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plain = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    text, columns = docs.columns.index("text"), len(docs.columns)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, name):
-                doc, grams = gram_sets(Words.of(part.column(part.num_columns - 1), lower=True), n)
+            for part in slices(batch, "text"):
+                doc, grams = gram_sets(Words.of(part.column(text), lower=True), n)
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
                 present = np.zeros(part.num_rows, dtype=bool)
                 present[doc[first]] = True
@@ -235,12 +236,11 @@ def _with_class(docs: DataFrame, name: str, n: int) -> DataFrame:
                     full = np.zeros(part.num_rows, dtype=np.int64)
                     full[doc[first]] = np.add.reduceat(mix(grams + np.uint64(k)), first).astype(np.int64) if len(first) else 0
                     keys.append(pa.array(full, mask=~present))
-                names = [f"c{i}" for i in range(part.num_columns + 1)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *keys], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *keys], names=[f"c{i}" for i in range(columns + 2)])
 
-    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField(f"c{len(docs.columns) + k}", LongType()) for k in (0, 1)]
-    made = whole.mapInArrow(classed, StructType(fields))
-    keys = [F.col(f"c{len(docs.columns) + k}") for k in (0, 1)]
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(plain.schema)] + [StructField(f"c{columns + k}", LongType()) for k in (0, 1)]
+    made = plain.mapInArrow(classed, StructType(fields))
+    keys = [F.col(f"c{columns + k}") for k in (0, 1)]
     return made.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), F.when(keys[0].isNotNull(), F.xxhash64(*keys)).alias(name))
 
 
@@ -248,18 +248,16 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     """One row of each group of near duplicates. It is decided by id and set of n-grams: of a group stays the class with
     the smallest id, and of its rows with that id one, the first by text and then by a hash of all columns. A null id
     counts as larger than any other. Other texts of an id whose row goes stay or go with their own group; texts without
-    words have none, and all stay."""
+    words have none, and all stay. Texts are shuffled once, and rows without words are spread at will."""
     largest = F.lit((1 << 63) - 1)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), largest).alias("doc_id"), "text")
     _, classes = jaccard_classes(ids, n, threshold, recall)
-    stays = classes.where("cls = first").select(F.col("cls").alias("c"), F.col("rep").alias("r"))
-    cls, row = unused("cls", docs.columns), unused("row", docs.columns)
-    rows = _with_class(docs, cls, n)
-    of_class = rows.join(stays, (F.col(cls) == F.col("c")) & (F.coalesce(F.col("doc_id").cast("long"), largest) == F.col("r")), "left_semi")
-    order = Window.partitionBy(cls).orderBy("text", F.xxhash64(*(f"`{c}`" for c in docs.columns)))
-    one = of_class.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*kept).unionAll(rows.where(F.col(cls).isNull()).select(*kept))
+    cls, own, row, stays = (unused(x, docs.columns) for x in ("cls", "own", "row", "stays"))
+    kept = classes.where("cls = first").select(F.col("cls").alias(cls), F.col("rep").alias(own), F.lit(True).alias(stays))
+    rows = _with_class(docs, cls, n).withColumn(own, F.when(F.col(cls).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.coalesce(F.col("doc_id").cast("long"), largest)))
+    met = rows.join(kept, [cls, own], "left").where(F.col(stays) | F.col(cls).isNull())
+    order = Window.partitionBy(cls, own).orderBy("text", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return met.withColumn(row, F.row_number().over(order)).where((F.col(row) == 1) | F.col(cls).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
