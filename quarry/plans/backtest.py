@@ -162,7 +162,7 @@ def run_single_backtest(c: Context, anchor: str, features: list[str] | None = No
     return run_anchors(c, [anchor], features, mask, s, folds)
 
 
-def run_backtest(c: Context, anchors: list[str], features: list[str] | None = None, mask: str | None = None, s: Settings = Settings(), folds: int = 6) -> dict[str, DataFrame]:
+def run_backtest(c: Context, anchors: list[str], s: Settings = Settings(), folds: int = 6, features: list[str] | None = None, mask: str | None = None) -> dict[str, DataFrame]:
     """All anchors that the panel has, fitted together. Tables: scored (written), summary, attribution, averages, absent
     (anchors that the panel lacks)."""
     wanted = c.rows.sparkSession.createDataFrame([(a,) for a in anchors], "a string").select(F.col("a").cast("date").alias(WEEK))
