@@ -25,6 +25,6 @@ QUERIES = {
     )
 }
 
-#: None of the thirteen can be said in SQL (tokenizers, fitted models, regular-expression places, hashed indexes); tests/llm
-#: holds each against a brute-force version, an exact round trip or held-out labels.
+#: None of the thirteen can be said in SQL (tokenizers, fitted models, regular-expression places, hashed indexes, checksums
+#: that the SQL engine lacks); tests/llm holds each against a brute-force version, an exact round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
