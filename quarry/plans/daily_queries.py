@@ -198,10 +198,16 @@ def rule_scores_defaults(spark: SparkSession, d: str) -> DataFrame:
     return shown(rules.rule_scores(t).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))
 
 
-@daily.add("rule_scores_defaults_all", f"""with {BARS_SQL}, s as (select ticker, d, coalesce(close / nullif(close, 0), 1) as ma, 0.2 as dd, 0.5 as pct, 1.0 as vol from bars)
+@daily.add("rule_scores_defaults_all", _RULE)
+def rule_scores_defaults_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same rules on every bar of every ticker, over trend and relative strength."""
+    return rule_scores_defaults(spark, d)
+
+
+@daily.add("rule_scores_without_indicators", f"""with {BARS_SQL}, s as (select ticker, d, coalesce(close / nullif(close, 0), 1) as ma, 0.2 as dd, 0.5 as pct, 1.0 as vol from bars)
 select ticker, d, round(((ma >= 1.02)::int * 2) / 5.0 * 100, 0) + 0.0 as Trend_Score, 0.0 as Momentum_Score, 25.0 as RelStr_Score, round((1 + (not (pct >= 0.9 and vol < 1.2))::int) / 4.0 * 100, 0) + 0.0 as RiskPos_Score,
 cast((pct >= 0.9 and vol < 1.2)::int as bigint) as NearHigh_NoVol, 'RiskPos' as Setup_Tag, cast(0 as bigint) as ScoreSimple from s""")
-def rule_scores_defaults_all(spark: SparkSession, d: str) -> DataFrame:
+def rule_scores_without_indicators(spark: SparkSession, d: str) -> DataFrame:
     """Rules on bars without any indicator: every column has its default, the averages the close."""
     rows = bars(spark, d).select("ticker", "d", "close")
     return shown(rules.rule_scores(rows).select("ticker", "d", "Trend_Score", "Momentum_Score", "RelStr_Score", "RiskPos_Score", "NearHigh_NoVol", "Setup_Tag", "ScoreSimple"))

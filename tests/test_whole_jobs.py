@@ -50,3 +50,11 @@ def test_backtest_anchors_and_ablation_runs(spark):
     known = sorted(str(r[0]) for r in rows.where("y is not null").select("week_key").distinct().collect())
     assert len(anchors) == 17 and anchors == known[-17:]
     assert model_queries.RUNS["ABLATION"] == (model_queries.RUNS["BASELINE"][0], model_queries.RUNS["NEW"][1])
+
+
+def test_default_rule_scores_of_every_bar_are_computed_from_its_indicators(spark):
+    """The job had become one of bars without indicators, whose scores are all the same."""
+    got = catalog.queries()["rule_scores_defaults_all"](spark, SF).groupBy("Trend_Score", "RelStr_Score", "Setup_Tag").count().collect()
+    assert len(got) > 3
+    assert "SMA_200" in catalog.oracle_sql()["rule_scores_defaults_all"]
+    assert catalog.queries()["rule_scores_without_indicators"](spark, SF).count() == bars(spark, SF).count()
