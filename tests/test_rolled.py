@@ -39,3 +39,20 @@ def test_no_long_frames_and_one_shuffle(spark, name):
 def test_fallbacks_of_bars_that_have_all(spark):
     rows = spark.createDataFrame([(1, 1, 2.0, 1.0, 1.5, 9.0, 9.0, 9.0, 7.0)], "ticker int, d int, high double, low double, close double, SMA_20 double, SMA_50 double, SMA_200 double, ATRp_14 double")
     assert indicators.with_fallbacks(rows).collect() == rows.collect()
+
+
+def test_ranks_of_missing_and_tied_values(spark):
+    from quarry.functions.windows import percentile_rank
+    from quarry.operators import panel
+
+    values = [None, 1.0, 1.0, float("nan"), float("nan"), -0.0, 0.0, None, 5.0]
+    df = spark.createDataFrame([(t, w, v, None if w else v) for w in range(2) for t, v in enumerate(values)], "ticker int, week_key int, a double, b double")
+    got = panel.ranks(df, ["a", "b"]).select("ticker", "week_key", "a__rank", "b__rank")
+    want = df.select("ticker", "week_key", *(percentile_rank(F.col(c), "week_key").alias(f"{c}__rank") for c in "ab"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert len(re.findall(r"Exchange hashpartitioning", _plan(panel.ranks(df, ["a", "b"])))) == 1
+
+
+@pytest.mark.parametrize("name", ["rule_scores", "full_panel_ranks"])
+def test_indicators_come_without_joins_of_bars(spark, name):
+    assert not re.findall(r"SortMergeJoin \[ticker#\d+L?, d#", _plan(catalog.queries()[name](spark, SF)))
