@@ -56,3 +56,30 @@ def test_ranks_of_missing_and_tied_values(spark):
 @pytest.mark.parametrize("name", ["rule_scores", "full_panel_ranks"])
 def test_indicators_come_without_joins_of_bars(spark, name):
     assert not re.findall(r"SortMergeJoin \[ticker#\d+L?, d#", _plan(catalog.queries()[name](spark, SF)))
+
+
+@pytest.mark.parametrize(("module", "name", "times"), [("order_statistics", "relevance_labels", 1), ("order_statistics", "median_imputer", 1), ("metrics", "fold_measures", 1)])
+def test_passes_read_what_is_stored_once(spark, monkeypatch, module, name, times):
+    import importlib
+
+    from quarry.sources import tables
+
+    found, seen = importlib.import_module(f"quarry.operators.{module}"), []
+    monkeypatch.setattr(found, "stored", lambda df, what: seen.append(what) or tables.stored(df, what), raising=False)
+    catalog.queries()[name](spark, SF).collect()
+    assert len(seen) == times
+
+
+@pytest.mark.parametrize(("module", "name"), [("comparison_queries", "saved_runs"), ("model_queries", "forest_probability"), ("model_queries", "feature_importance")])
+def test_queries_that_read_rows_many_times_store_them(spark, monkeypatch, module, name):
+    import importlib
+
+    class Stored(Exception):
+        pass
+
+    def stop(df, what):
+        raise Stored
+
+    monkeypatch.setattr(importlib.import_module(f"quarry.plans.{module}").tables, "stored", stop)
+    with pytest.raises(Stored):
+        catalog.queries()[name](spark, SF)
