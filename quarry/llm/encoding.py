@@ -26,10 +26,13 @@ MAX_BLOCKS, ALONE = 2_000_000, 256
 MAX_WORDS, LONG = 200_000, 256
 #: Parts that are split here, and their split with a space before them or without; special tokens hold "<|".
 _SIMPLE = regex.compile(r"[ \n]?[!-~\p{L}]*")
+#: Parts that the tokenizer splits from one another wherever they stand side by side, and how many go to it at once.
+_APART, AT_ONCE = regex.compile(r"[ \n][!-~\p{L}]+"), 1 << 14
 _SPACED = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s")
 _WHITE = regex.compile(r"\p{White_Space}+")
 _BARE = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
+_ODD, _WIDE = np.isin(np.arange(256), [9, 11, 12, 13]), np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level tokenizers show a byte as itself where that prints, the others in order as the characters from 256 on.
 _SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -76,8 +79,9 @@ class Known:
     new since. The bytes of a part are kept and compared, so that a part whose hash another one has is made anew. Of more
     than MAX_PARTS parts or MAX_IDS ids the half used last stays."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.clock, self.used, self.flat = make, 0, 0, np.zeros(1 << 16, dtype=np.uint32)
+    def __init__(self, make: Callable[[str], bytes], make_all: Callable[[list[bytes]], list[bytes]] | None = None):
+        """make_all, if given, does what make does to many parts at once, given as bytes."""
+        self.make, self.make_all, self.clock, self.used, self.flat = make, make_all, 0, 0, np.zeros(1 << 16, dtype=np.uint32)
         self.filled, self.own = 0, np.zeros(1 << 16, dtype=np.uint64)
         self.old, self.new = self._empty(), self._empty()
 
@@ -101,7 +105,7 @@ class Known:
         at, sizes = (x[of] for x in self._find(ordered[first], data, every, start[one], end[one]))
         other = np.flatnonzero(~self._same(every, start, end - start, every, start[one][of], (end - start)[one][of], 1))
         if len(other):  # parts that share the hash of another part of this chunk
-            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+            made = self._made(data, start[other], end[other])
             sizes[other] = [len(x) // 4 for x in made]
             at[other] = self._store(made)
         stop = np.cumsum(sizes)
@@ -141,7 +145,7 @@ class Known:
                 have[3][place] = self.clock
         missing = np.flatnonzero(todo)
         if len(missing):
-            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+            made = self._made(data, start[missing], end[missing])
             size[missing] = [len(x) // 4 for x in made]
             at[missing] = self._store(made)
             keep = missing[fresh[missing]]  # a hash stands for one part alone
@@ -151,6 +155,10 @@ class Known:
             self.new = [np.insert(x, place, y.astype(x.dtype)) for x, y in zip(self.new, added, strict=True)]
         return at, size
 
+    def _made(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        parts = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return self.make_all(parts) if self.make_all else [self.make(x.decode()) for x in parts]
+
     def _store(self, made: list[bytes]) -> np.ndarray:
         """Where the ids of each part are in flat from now on."""
         ids, size = np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(x) // 4 for x in made])
@@ -195,15 +203,15 @@ class Known:
 
 def _odd_spaces(data: np.ndarray) -> np.ndarray:
     """Bytes of white space other than space and line end: tab, vertical tab, form feed, return, and the wide ones."""
-    odd = np.isin(data, [9, 11, 12, 13])
-    one, two = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: len(data)]
-    pair = (data == 0xC2) & ((one == 0x85) | (one == 0xA0))
-    general = (data == 0xE2) & (((one == 0x80) & (((two >= 0x80) & (two <= 0x8A)) | np.isin(two, [0xA8, 0xA9, 0xAF]))) | ((one == 0x81) & (two == 0x9F)))
-    triple = general | ((data == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((data == 0xE3) & (one == 0x80) & (two == 0x80))
-    for first, n in ((pair, 2), (triple, 3)):
-        at = np.flatnonzero(first)
+    odd, padded = _ODD[data], np.append(data, [0, 0])
+    wide = np.flatnonzero(_WIDE[data])
+    first, one, two = padded[wide], padded[wide + 1], padded[wide + 2]
+    pair = (first == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    general = (first == 0xE2) & (((one == 0x80) & (((two >= 0x80) & (two <= 0x8A)) | np.isin(two, [0xA8, 0xA9, 0xAF]))) | ((one == 0x81) & (two == 0x9F)))
+    triple = general | ((first == 0xE1) & (one == 0x9A) & (two == 0x80)) | ((first == 0xE3) & (one == 0x80) & (two == 0x80))
+    for found, n in ((pair, 2), (triple, 3)):
         for k in range(n):
-            odd[at + k] = True
+            odd[wide[found] + k] = True
     return odd
 
 
@@ -238,7 +246,11 @@ class Encoder:
         self.library, self.spaces = Tokenizer.from_file(path), spaces
         self.model = self.library.model
         self.words = Table(self._word)
-        self.known = Known(self._spaced if spaces else self._bare)
+        self.known = Known(self._spaced, self._spaced_all) if spaces else Known(self._bare)
+        #: Bytes that each id stands for: byte-level tokens show each byte as one character.
+        self.sizes = np.zeros(self.library.get_vocab_size() if spaces else 0, dtype=np.int64)
+        for token, k in self.library.get_vocab().items() if spaces else ():
+            self.sizes[k] = len(token)
 
     @classmethod
     def of(cls, path: str, spaces: bool) -> Encoder:
@@ -266,6 +278,24 @@ class Encoder:
             return self.whole(part)
         return b"".join(map(self.words.__getitem__, _SPACED.findall(part)))
 
+    def _spaced_all(self, parts: list[bytes]) -> list[bytes]:
+        """What _spaced gives for each part. Most go to the library side by side, as one text; as each id stands for a
+        number of bytes, the parts' sizes tell where their ids end."""
+        texts = [x.decode() for x in parts]
+        out: list[bytes] = [b""] * len(parts)
+        apart = [i for i, x in enumerate(texts) if _APART.fullmatch(x) and "<|" not in x]
+        for k in range(0, len(apart), AT_ONCE):
+            some = apart[k : k + AT_ONCE]
+            got = self.library.encode_batch_fast(["".join([texts[i] for i in some])], add_special_tokens=False)[0].ids
+            ids, ends = np.array(got, dtype="<u4"), np.cumsum([len(parts[i]) for i in some])
+            stops = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(stops, ends)
+            if stops[-1] == ends[-1] and (stops[last] == ends).all():
+                raw, cut = ids.tobytes(), (4 * (last + 1)).tolist()
+                for i, a, b in zip(some, [0, *cut[:-1]], cut, strict=True):
+                    out[i] = raw[a:b]
+        return [x or self._spaced(t) for x, t in zip(out, texts, strict=True)]
+
     def _bare(self, part: str) -> bytes:
         """A part without white space at its ends."""
         if not part.isascii() and ("Σ" in part or "İ" in part or not unicodedata.is_normalized("NFC", part)):

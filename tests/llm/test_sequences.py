@@ -257,3 +257,23 @@ def test_words_are_told_apart_by_their_bytes(spark):
     b = a.translate(str.maketrans("ab", "ba"))
     docs = spark.createDataFrame([(1, " ".join([a, b] * 7)), (2, " ".join([a] * 14))], "doc_id long, text string")
     assert {r.doc_id: r.runs[0].period for r in periodic.periodic_runs(docs).collect()} == {1: 2, 2: 1}
+
+
+def test_unseen_parts_go_to_the_tokenizer_together():
+    """op3's time went into one call for each unseen word."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from quarry.llm.encoding import Encoder
+
+    words = [f"{a}{b}" for a in ("alpha", "beté", "Gam", "ßö", "don't", "x9", "$$$", "日本", "é") for b in ("rol", "sun,", "'s", "&&&", " z", "7.", "\tq", "<|endoftext|>y")]
+    texts = [" ".join(words), "\n".join(words[::-1]), "".join(f"{w} \n\n " for w in words), "", " ", "\t \n", "one", "<|endoftext|>", " a\t", "\n b"]
+    for sizes_known in (True, False):
+        encoder, alone = Encoder(public_tokenizers.path("byte_bpe_50k.json"), spaces=True), []
+        if not sizes_known:  # nothing is taken from the text of all parts, unless it can be cut
+            encoder.sizes[:] = 7
+        make = encoder.words.make
+        encoder.words.make = lambda word, make=make, alone=alone: alone.append(word) or make(word)
+        assert encoder.encode_each(pa.array(texts)) == [encoder.whole(t) for t in texts]
+        plain = [w for w in alone if w[:1] == " " and w[1:].isalpha()]
+        assert (not plain) == sizes_known
