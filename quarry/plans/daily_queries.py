@@ -84,7 +84,7 @@ select ticker, d, {r('case when n >= 15 then 100 * pos / nullif(pos + neg, 0) en
 {r('case when n >= 20 then (tp - mean_tp) / nullif(0.015 * dev, 0) end', 'CCI_20')}, {r('k', 'STOCHk')}, {r('dd', 'STOCHd')}, {r('au', 'Aroon_up')}, {r('ad', 'Aroon_down')}, {r('au - ad', 'Aroon_Diff_25')},
 cast(case when pk <= pd and k > dd then 1 when pk >= pd and k < dd then -1 else 0 end as bigint) as STOCH_Cross from g""")
 def oscillators(spark: SparkSession, d: str) -> DataFrame:
-    return shown(indicators.with_oscillators(bars(spark, d, by_ticker=True)).select("ticker", "d", *_OSC, "STOCH_Cross"))
+    return shown(indicators.with_oscillators(bars(spark, d, by_ticker=True).drop("open")).select("ticker", "d", *_OSC, "STOCH_Cross"))
 
 
 _RECURRENT_FINAL = f"""select ticker, d, {r('macd', 'MACD')}, {r('macd - sig', 'MACDh')}, {r('(macd - sig) - lag(macd - sig, 5) over w', 'MACD_Hist_Slope_5')}, {r('100 * gain / nullif(gain + loss, 0)', 'RSI_14')},
