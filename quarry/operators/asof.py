@@ -2,7 +2,8 @@
 
 Rows of both sides are dealt over ranges of (keys, time), so one key may lie in many ranges. Within a range the last right
 row seen is a window; what a range does not know comes from the ranges before it, of which each key that crosses an edge
-has one row: no more than there are ranges.
+has one row: no more than there are ranges. An edge may lie between rows of one time, so the side that is looked at goes
+first within a time: right rows before left ones, and after them for a join that only looks forward.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right
     for k in (*keys, "_t"):
         fits = fits & F.col(k).isNotNull()
     rows = a.where(fits).unionByName(b.where(fits), allowMissingColumns=True).withColumn("_h", F.xxhash64("_l", "_r"))
-    ranged = stored(rows.repartitionByRange(*keys, "_t", "_side", "_h").withColumn("_part", F.spark_partition_id()), "asof")
+    inner = [F.col(c).desc() if direction == "forward" else F.col(c) for c in ("_side", "_h")]
+    ranged = stored(rows.repartitionByRange(*keys, "_t", *inner).withColumn("_part", F.spark_partition_id()), "asof")
     out = ranged
     for name in ("backward", "forward"):
         if direction in (name, "nearest"):
@@ -51,14 +53,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, right
 
 
 def _seen(rows: DataFrame, ranged: DataFrame, keys: list[str], direction: str) -> DataFrame:
-    """rows with _backward or _forward: t and r of the nearest right row that way."""
+    """rows with _backward or _forward: t, h and r of the nearest right row that way, of equally near ones that of the
+    highest hash, which may lie in another range than the first of them."""
     ahead = direction == "forward"
     order = [F.col("_t").desc(), F.col("_side"), F.col("_h")] if ahead else [F.col("_t"), F.col("_side"), F.col("_h")]
     here = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mine = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_r").alias("r")))
-    best = F.struct(-F.col("_t") if ahead else F.col("_t"), F.col("_h"))
-    ends = ranged.groupBy("_part", *keys).agg(F.max_by(mine, F.when(F.col("_side") == 0, best)).alias("_end"))
+    mine = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_h").alias("h"), F.col("_r").alias("r")))
+    best = lambda t, h: F.struct(-t if ahead else t, h)
+    ends = ranged.groupBy("_part", *keys).agg(F.max_by(mine, F.when(F.col("_side") == 0, best(F.col("_t"), F.col("_h")))).alias("_end"))
     before = Window.partitionBy(*keys).orderBy(F.col("_part").desc() if ahead else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_part", *keys, F.last("_end", ignorenulls=True).over(before).alias("_carried")).where(F.col("_carried").isNotNull())
+    end = F.when(F.col("_end").isNotNull(), best(F.col("_end")["t"], F.col("_end")["h"]))
+    carried = ends.select("_part", *keys, F.max_by("_end", end).over(before).alias("_carried")).where(F.col("_carried").isNotNull())
     joined = rows.join(F.broadcast(carried), ["_part", *keys], "left")  # one row for each key that crosses into a range
-    return joined.withColumn(f"_{direction}", F.coalesce(F.last(mine, ignorenulls=True).over(here), F.col("_carried"))).drop("_carried")
+    seen, other = F.col("_here"), F.col("_carried")
+    higher = (other["t"] == seen["t"]) & (other["h"] > seen["h"])
+    return joined.withColumn("_here", F.last(mine, ignorenulls=True).over(here)).withColumn(f"_{direction}", F.when(seen.isNull() | higher, other).otherwise(seen)).drop("_carried", "_here")

@@ -35,3 +35,23 @@ def test_asof_of_empty_tables(spark):
     left, right = spark.createDataFrame([(1, 5)], "k int, t int"), spark.createDataFrame([], "k int, at int, v int")
     assert [tuple(r) for r in asof_join(left, right, ["k"], "t", "at").collect()] == [(1, 5, None, None)]
     assert asof_join(left.limit(0), right, ["k"], "t", "at").count() == 0
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_edges_between_rows_of_one_time(spark, direction):
+    """Ranges end anywhere, so also between right and left rows of one key and time, or between such right rows."""
+    rng = random.Random(2)
+    left = [(k, t, i) for i, (k, t) in enumerate((k, t) for k in range(12) for t in (10, 20, 30) for _ in range(3))]
+    right = [(k, t, rng.randrange(10**6)) for k in range(12) for t in (10, 20, 25) for _ in range(3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        many = asof_join(spark.createDataFrame(left, "k int, t int, i int"), spark.createDataFrame(right, "k int, at int, v int"), ["k"], "t", "at", direction).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = asof_join(spark.createDataFrame(left, "k int, t int, i int"), spark.createDataFrame(right, "k int, at int, v int"), ["k"], "t", "at", direction).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {10: 10, 20: 20, 30: {"backward": 25, "forward": None, "nearest": 25}[direction]}
+    assert len(many) == len(left) and all(r.at == want[r.t] for r in many)
+    assert {tuple(r) for r in many} == {tuple(r) for r in one}
